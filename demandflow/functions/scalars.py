@@ -100,3 +100,9 @@ def performance_grade(score) -> Column:
     for cut, name in GRADES:
         out = F.when(s >= cut, name) if out is None else out.when(s >= cut, name)
     return out.otherwise("Poor")
+
+
+def ts_text(ts) -> Column:
+    """Timestamp as 'yyyy-MM-dd HH:mm:ss' text (query outputs compared
+    across engines)."""
+    return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss")

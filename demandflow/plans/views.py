@@ -49,9 +49,9 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.max("value").alias("windSpeed")))
 
 
-def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every events row, with nulls in ``ozone``/``region``, unparsable time
-    strings, and 2% of the rows appended a second time as exact duplicates."""
+def dirty_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every events row, with nulls in ``ozone``/``region`` and unparsable
+    time strings."""
     ev = table(spark, sf_dir, "events")
     eid = F.col("event_id")
     base = ev.select(
@@ -63,7 +63,14 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 100 == 9, F.lit("bad"))
          .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("time_str"),
     )
-    return base.unionAll(base.where(eid % 50 == 0))
+    return base
+
+
+def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dirty_base`` plus 2% of its rows appended a second time as exact
+    duplicates."""
+    base = dirty_base(spark, sf_dir)
+    return base.unionAll(base.where(F.col("event_id") % 50 == 0))
 
 
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
