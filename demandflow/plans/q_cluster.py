@@ -1,3 +1,191 @@
-"""Registered queries."""
+"""Registered clustering queries.
+
+Oracles exist for the linear-time silhouette, the adjusted Rand index and
+nearest-centre assignment; model fits (PCA, K-Means, Ward) are checked by
+row counts here and by numpy references in the unit tests.
+"""
 
 from __future__ import annotations
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from demandflow.functions.scalars import r6, ts_text
+from demandflow.operators import cluster as C
+from demandflow.operators import features as FE
+from demandflow.plans import sqlgen as G
+from demandflow.plans import views as V
+from demandflow.plans.catalog import query
+
+FEATS = G.CLUSTER_FEATURES
+
+
+# --- silhouette, linear time (C9) ------------------------------------------------
+
+Z_SQL = "SELECT series, " + ", ".join(
+    f"""({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1
+        ELSE stddev_pop({c}) OVER () END AS z{i}""" for i, c in enumerate(FEATS)) + " FROM w"
+
+SIL_TAIL_CTES = [
+    ("d", """SELECT p.l AS pl, c.l AS cl, c.n, (c.n * p.n2 - 2 * list_dot_product(p.x, c.s) + c.q) AS summed,
+                  p.pid FROM pts p CROSS JOIN cs c"""),
+    ("per", """SELECT pid, pl, max(CASE WHEN pl = cl THEN n END) AS own_n,
+               max(CASE WHEN pl = cl AND n > 1 THEN summed / (n - 1) END) AS a,
+               min(CASE WHEN pl <> cl THEN summed / n END) AS b
+        FROM d GROUP BY pid, pl"""),
+    ("sc", """SELECT CASE WHEN own_n <= 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END
+              AS s FROM per"""),
+]
+SIL_FINAL = """SELECT round(CASE WHEN (SELECT count(*) FROM cs) >= 2 THEN avg(s) END, 6) AS silhouette,
+       count(*) AS n_points FROM sc"""
+
+SIL_W_CTES = [
+    ("zs", Z_SQL),
+    ("pts", "SELECT row_number() OVER () AS pid, series AS l, [z0, z1, z2] AS x, "
+            "z0 * z0 + z1 * z1 + z2 * z2 AS n2 FROM zs"),
+    ("cs", """SELECT series AS l, count(*) AS n, sum(z0 * z0 + z1 * z1 + z2 * z2) AS q,
+              [sum(z0), sum(z1), sum(z2)] AS s FROM zs GROUP BY series"""),
+] + SIL_TAIL_CTES
+
+
+@query("silhouette_fast", V.with_views(SIL_FINAL, "w", ctes=SIL_W_CTES))
+def q_silhouette_fast(spark, sf):
+    w = V.weather(spark, sf)
+    pts = C.scaled_vectors(w, FEATS).withColumnRenamed("series", "label")
+    return C.silhouette_sq(pts, "label").withColumn("silhouette", r6("silhouette"))
+
+
+EMB_CTES = [
+    ("ex", "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"),
+    ("eu", """SELECT label, vec_id, unnest(x) AS v, unnest(generate_series(1, len(x))) AS i FROM ex"""),
+]
+
+SIL_EMB_CTES = EMB_CTES + [
+    ("pts", "SELECT vec_id AS pid, label AS l, x, list_dot_product(x, x) AS n2 FROM ex"),
+    ("cs0", "SELECT label AS l, i, sum(v) AS sv FROM eu GROUP BY label, i"),
+    ("cs", """SELECT c.l, n, q, list(sv ORDER BY i) AS s FROM cs0 c
+       JOIN (SELECT l, count(*) AS n, sum(n2) AS q FROM pts GROUP BY l) p USING (l) GROUP BY c.l, n, q"""),
+] + SIL_TAIL_CTES
+SIL_EMB_SQL = "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in SIL_EMB_CTES) + "\n" + SIL_FINAL
+
+
+@query("silhouette_embeddings", SIL_EMB_SQL)
+def q_silhouette_embeddings(spark, sf):
+    e = V.vectors(spark, sf)
+    pts = e.select("label", array_to_vector(F.transform("embedding", lambda v: v.cast("double")))
+                   .alias(C.VEC))
+    return C.silhouette_sq(pts, "label").withColumn("silhouette", r6("silhouette"))
+
+
+# --- nearest centre and adjusted Rand (J7, C12) -------------------------------------
+
+NEAREST_CTES = EMB_CTES + [
+    ("cen", "SELECT label AS cl, i, avg(v) AS m FROM eu GROUP BY label, i"),
+    ("dist", """SELECT eu.vec_id, cen.cl, sum((eu.v - cen.m) * (eu.v - cen.m)) AS d2
+                FROM eu JOIN cen USING (i) GROUP BY eu.vec_id, cen.cl"""),
+    ("near", """SELECT vec_id, arg_min(cl, (d2, cl)) AS nearest, min(d2) AS d2 FROM dist GROUP BY vec_id"""),
+]
+
+
+def _nearest(spark, sf):
+    e = V.vectors(spark, sf)
+    centres = C.label_centroids(e, "label", "embedding")
+    return C.assign_nearest(e, "embedding", centres, "label")
+
+
+@query("assign_nearest", "WITH " + ", ".join(f"{n} AS ({q})" for n, q in NEAREST_CTES) + """
+SELECT ex.vec_id, ex.label, near.nearest, round(sqrt(near.d2), 4) AS nearest_distance
+FROM ex JOIN near USING (vec_id)""")
+def q_assign_nearest(spark, sf):
+    out = _nearest(spark, sf)
+    return out.select("vec_id", "label", "nearest",
+                      F.round("nearest_distance", 4).alias("nearest_distance"))
+
+
+ARI_SQL = """, ab AS (SELECT ex.label AS a, near.nearest AS b FROM ex JOIN near USING (vec_id)),
+cont AS (SELECT a, b, count(*) AS nij FROM ab GROUP BY a, b),
+t AS (SELECT (SELECT sum(nij * (nij - 1) / 2) FROM cont) AS sij,
+             (SELECT sum(nij) FROM cont) AS n,
+             (SELECT sum(ni * (ni - 1) / 2) FROM (SELECT a, sum(nij) AS ni FROM cont GROUP BY a)) AS sa,
+             (SELECT sum(nj * (nj - 1) / 2) FROM (SELECT b, sum(nij) AS nj FROM cont GROUP BY b)) AS sb)
+SELECT CAST(n AS BIGINT) AS n,
+       round(CASE WHEN (sa + sb) / 2 = sa * sb / (n * (n - 1) / 2) THEN 1.0
+             ELSE (sij - sa * sb / (n * (n - 1) / 2)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2)) END, 6)
+       AS ari FROM t"""
+
+
+@query("adjusted_rand", "WITH " + ", ".join(f"{n} AS ({q})" for n, q in NEAREST_CTES) + ARI_SQL)
+def q_adjusted_rand(spark, sf):
+    return C.adjusted_rand(_nearest(spark, sf), "label", "nearest").withColumn("ari", r6("ari"))
+
+
+# --- model fits, rows only (C2-C7, C10, C11, C15) ----------------------------------
+
+@query("pca_variance")
+def q_pca_variance(spark, sf):
+    return C.pca_variance(V.weather(spark, sf), G.W_MEASURES)
+
+
+@query("pca_project")
+def q_pca_project(spark, sf):
+    out = C.pca_project(V.weather(spark, sf), G.W_MEASURES, k=2, keep=["series", "ts"])
+    return out.withColumn("ts", ts_text("ts"))
+
+
+@query("pca_loadings")
+def q_pca_loadings(spark, sf):
+    return C.pca_loadings(V.weather(spark, sf), G.W_MEASURES, k=2)
+
+
+@query("kmeans_cluster")
+def q_kmeans_cluster(spark, sf):
+    out = C.kmeans_cluster(V.weather(spark, sf), FEATS, k=3, keep=["series", "ts"])
+    return out.withColumn("ts", ts_text("ts"))
+
+
+@query("select_k")
+def q_select_k(spark, sf):
+    return C.select_k(V.weather(spark, sf), FEATS, ks=range(2, 11))
+
+
+@query("elbow_curve")
+def q_elbow_curve(spark, sf):
+    return C.select_k(V.weather(spark, sf), FEATS, ks=range(2, 11),
+                      with_silhouette=False).select("k", "inertia")
+
+
+@query("cluster_centers")
+def q_cluster_centers(spark, sf):
+    return C.cluster_centers(V.weather(spark, sf), FEATS, k=3)
+
+
+@query("cluster_stability")
+def q_cluster_stability(spark, sf):
+    return C.cluster_stability(V.weather(spark, sf), FEATS, k=3, n_runs=5)
+
+
+@query("ward_cluster")
+def q_ward_cluster(spark, sf):
+    out, _ = C.ward_cluster(V.weather(spark, sf), FEATS, n_clusters=3, keep=["series", "ts"])
+    return out.withColumn("ts", ts_text("ts"))
+
+
+@query("ward_merges")
+def q_ward_merges(spark, sf):
+    _, merges = C.ward_cluster(V.weather(spark, sf), FEATS, n_clusters=3)
+    return merges
+
+
+@query("cluster_report")
+def q_cluster_report(spark, sf):
+    """The cluster request of the web app for all series: PCA(2) points with
+    K-Means labels, joined to the silhouette of the labelling."""
+    w = V.weather(spark, sf)
+    vec = C.scaled_vectors(w, FEATS).persist()
+    model = C.kmeans_best(vec, 3)
+    labelled = model.transform(vec)
+    sil = C.silhouette_sq(labelled, "cluster").select("silhouette")
+    pcs = C.pca_project(w, FEATS, k=2, keep=["series", "ts"])
+    lab = labelled.select("series", "ts", "cluster")
+    return (pcs.join(lab, ["series", "ts"]).crossJoin(sil)
+               .select("series", ts_text("ts").alias("ts"), "PC1", "PC2", "cluster", "silhouette"))
