@@ -1,3 +1,134 @@
-"""Registered queries."""
+"""Registered model queries (M1-M10, O6): rows-only checks, since fitted
+models have no SQL twin. Unit tests compare linear and ridge fits with
+numpy normal equations and the ARIMA fit with a simulated series."""
 
 from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from demandflow.functions.scalars import r6, ts_text
+from demandflow.operators import arima as AR
+from demandflow.operators import metrics as M
+from demandflow.operators import models as MO
+from demandflow.plans import views as V
+from demandflow.plans.catalog import query
+
+OUT = ["series", "model", "n", "mae", "rmse", "r2", "mape", "mae_improvement",
+       "rmse_improvement", "mape_improvement"]
+
+
+def _data(spark, sf):
+    table = MO.feature_table(V.weather(spark, sf))
+    return MO.design(table, MO.MODEL_FEATURES).persist()
+
+
+def _fit_eval(spark, sf, name):
+    _, pred = MO.fit_predict(_data(spark, sf), name)
+    out = MO.evaluate(pred, name)
+    return out.select(*OUT).withColumns({c: r6(c) for c in OUT[3:]})
+
+
+@query("fit_linear")
+def q_fit_linear(spark, sf):
+    return _fit_eval(spark, sf, "linear")
+
+
+@query("fit_ridge")
+def q_fit_ridge(spark, sf):
+    return _fit_eval(spark, sf, "ridge")
+
+
+@query("fit_random_forest")
+def q_fit_random_forest(spark, sf):
+    return _fit_eval(spark, sf, "random_forest")
+
+
+@query("fit_gbt")
+def q_fit_gbt(spark, sf):
+    return _fit_eval(spark, sf, "xgboost")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    data = _data(spark, sf)
+    model, _ = MO.fit_predict(data, "random_forest")
+    feats = [f for f in MO.MODEL_FEATURES if f in data.columns]
+    rows = MO.feature_importance(model, feats)
+    return spark.createDataFrame(rows, "feature string, importance double")
+
+
+@query("fit_stacking")
+def q_fit_stacking(spark, sf):
+    data = _data(spark, sf)
+    pred = MO.stacking(data, ["linear", "ridge", "random_forest"])
+    out = MO.evaluate(pred, "stacking")
+    return out.select(*OUT).withColumns({c: r6(c) for c in OUT[3:]})
+
+
+def _arima_eval(spark, sf, first_test_rows=100):
+    """Per-series ARIMA(1,1,1) on the last 1,000 train rows, scored on the
+    first ``first_test_rows`` test rows next to the seasonal-naive forecast
+    of the same rows (Q15)."""
+    h = V.hourly(spark, sf)
+    params = AR.fit_arima(h, "series", "ts", "demand").persist()
+    fc = AR.arima_forecast(h, "series", "ts", "demand", params)
+    naive = (MO.feature_table(h, lags=(24,), windows=(6,))
+               .select("series", "ts", "demand_lag24"))
+    rows = fc.where(F.col("h") <= first_test_rows).join(naive, ["series", "ts"], "left")
+    m = M.regression_metrics(rows, ["series"], "actual", "forecast").withColumn("model", F.lit("arima"))
+    b = M.regression_metrics(rows, ["series"], "actual", "demand_lag24")
+    return M.improvement_over_baseline(m, b, ["series"]).join(params, "series")
+
+
+@query("fit_arima")
+def q_fit_arima(spark, sf):
+    out = _arima_eval(spark, sf)
+    return out.select(*OUT, "phi", "theta").withColumns({c: r6(c) for c in OUT[3:]})
+
+
+@query("arima_forecast")
+def q_arima_forecast(spark, sf):
+    h = V.hourly(spark, sf)
+    params = AR.fit_arima(h, "series", "ts", "demand")
+    fc = AR.arima_forecast(h, "series", "ts", "demand", params)
+    return fc.select("series", ts_text("ts").alias("ts"), "h", "actual", r6("forecast").alias("forecast"))
+
+
+def forecast_report(spark, sf, models=("linear", "random_forest", "xgboost", "arima")):
+    """The forecast request of the web app for every series and several
+    models at once (M8): metrics, normalised metrics, score and grade."""
+    data = None
+    frames = []
+    for name in models:
+        if name == "arima":
+            frames.append(_arima_eval(spark, sf).drop("phi", "theta", "sigma2", "n_train"))
+            continue
+        MO.make_estimator(name)                   # unknown names fail before any job
+        data = data if data is not None else _data(spark, sf)
+        _, pred = MO.fit_predict(data, name)
+        test = pred.where(F.col("split") == "test")
+        frames.append(MO.evaluate(pred, name).join(
+            M.regression_metrics(test, ["series"], "demand", "predicted").select("series", "mean_actual"),
+            "series"))
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return M.performance_score(M.normalized_metrics(out))
+
+
+@query("forecast_report")
+def q_forecast_report(spark, sf):
+    out = forecast_report(spark, sf)
+    cols = ["mae", "rmse", "r2", "mape", "mae_norm", "rmse_norm", "r2_norm", "mape_norm",
+            "performance_score"]
+    return out.select("series", "model", *cols, "performance_grade").withColumns(
+        {c: r6(c) for c in cols})
+
+
+@query("sample_rows")
+def q_sample_rows(spark, sf):
+    """100 rows drawn without replacement by a seeded random order (O6): a
+    per-partition top-100, never a sort of the whole table."""
+    w = V.weather(spark, sf)
+    return (w.orderBy(F.rand(42)).limit(100)
+             .select("series", ts_text("ts").alias("ts"), "demand"))
