@@ -126,7 +126,7 @@ def stacking(data: DataFrame, bases: Sequence[str], keys=("series",), ts: str =
             part = cols[b] if part is None else part.join(cols[b], [*keys, ts])
         oof = part if oof is None else oof.unionByName(part)
     full = data.where(F.col("split") == "train")
-    preds = data.select(*keys, ts, "split", target)
+    preds = data.drop("fold")
     for b in bases:
         est = _sized(b, full, target, alpha)
         preds = preds.join(est.fit(full).transform(data).select(*keys, ts, F.col("predicted").alias(b)),
