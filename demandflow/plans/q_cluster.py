@@ -189,3 +189,83 @@ def q_cluster_report(spark, sf):
     lab = labelled.select("series", "ts", "cluster")
     return (pcs.join(lab, ["series", "ts"]).crossJoin(sil)
                .select("series", ts_text("ts").alias("ts"), "PC1", "PC2", "cluster", "silhouette"))
+
+
+# --- DBSCAN on a fine grid (J5, C13, C14) -------------------------------------------
+
+from demandflow.operators import dbscan as DB  # noqa: E402
+
+EPS, MIN_SAMPLES = 0.08, 10
+E3 = ["e0", "e1", "e2"]
+
+
+def _emb3(spark, sf):
+    e = V.vectors(spark, sf)
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c)
+                                         for i, c in enumerate(E3)])
+
+
+E3_CTES = [
+    ("e3", "SELECT vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, "
+           "embedding[3]::DOUBLE AS e2 FROM embeddings"),
+    ("nb", f"""SELECT a.vec_id AS a, b.vec_id AS b FROM e3 a JOIN e3 b
+               ON (a.e0 - b.e0) * (a.e0 - b.e0) + (a.e1 - b.e1) * (a.e1 - b.e1)
+                  + (a.e2 - b.e2) * (a.e2 - b.e2) <= {EPS} * {EPS}"""),
+]
+
+
+@query("epsilon_neighbor_counts", "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in E3_CTES)
+       + "\nSELECT a AS vec_id, count(*) AS n_neighbors FROM nb GROUP BY a")
+def q_epsilon_neighbor_counts(spark, sf):
+    return DB.neighbor_counts(_emb3(spark, sf), "vec_id", E3, EPS)
+
+
+DBSCAN_CTES = E3_CTES + [
+    ("cnt", f"SELECT a AS id, count(*) >= {MIN_SAMPLES} AS core FROM nb GROUP BY a"),
+    ("ce", """SELECT nb.a, nb.b FROM nb JOIN cnt ca ON ca.id = nb.a AND ca.core
+              JOIN cnt cb ON cb.id = nb.b AND cb.core"""),
+]
+DBSCAN_SQL = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in DBSCAN_CTES) + """,
+reach(src, dst) AS (SELECT id, id FROM cnt WHERE core
+                    UNION SELECT r.src, ce.b FROM reach r JOIN ce ON ce.a = r.dst),
+comp AS (SELECT src AS id, min(dst) AS c FROM reach GROUP BY src),
+num AS (SELECT id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS cluster FROM comp),
+border AS (SELECT nb.a AS id, min(num.cluster) AS cluster FROM nb JOIN num ON num.id = nb.b GROUP BY nb.a)
+SELECT cnt.id AS vec_id, cnt.core AS is_core, coalesce(num.cluster, border.cluster, -1) AS label
+FROM cnt LEFT JOIN num USING (id) LEFT JOIN border USING (id)"""
+
+
+@query("dbscan", DBSCAN_SQL)
+def q_dbscan(spark, sf):
+    out = DB.dbscan(_emb3(spark, sf).drop("label"), "vec_id", E3, EPS, MIN_SAMPLES)
+    return out.select("vec_id", "is_core", "label")
+
+
+@query("dbscan_grid")
+def q_dbscan_grid(spark, sf):
+    """eps x min_samples grid (C14): clusters, noise share, silhouette
+    (squared, noise left out); admissible when more than one cluster and
+    less than half noise; ``best`` marks the highest silhouette."""
+    pts = _emb3(spark, sf).drop("label").persist()
+    rows = []
+    for eps in (0.06, 0.08, 0.1):
+        for ms in (10, 15, 20):
+            lab = DB.dbscan(pts, "vec_id", E3, eps, ms).persist()
+            s = DB.dbscan_summary(lab).first()
+            sil = None
+            if s["n_clusters"] and s["n_clusters"] > 1:
+                vec = C.assemble(lab.where(F.col("label") >= 0), E3)
+                sil = C.silhouette_sq(vec, "label").first()["silhouette"]
+            ok = bool(s["n_clusters"] and s["n_clusters"] > 1 and s["noise_share"] < 0.5)
+            rows.append((eps, ms, int(s["n_clusters"]), float(s["noise_share"]),
+                         float(sil) if sil is not None else None, ok))
+            lab.unpersist()
+    out = spark.createDataFrame(rows, "eps double, min_samples int, n_clusters int, "
+                                      "noise_share double, silhouette double, admissible boolean")
+    best = out.where("admissible").agg(F.max_by(F.struct("eps", "min_samples"),
+                                                 F.col("silhouette")).alias("_b"))
+    return (out.crossJoin(best)
+               .withColumn("best", F.coalesce((F.col("eps") == F.col("_b.eps"))
+                                              & (F.col("min_samples") == F.col("_b.min_samples")),
+                                              F.lit(False)))
+               .drop("_b"))
