@@ -114,15 +114,17 @@ def q_rolling_features(spark, sf):
 
 @query("diff_from_daily_mean", V.with_views(
     f"""SELECT series, {TS} AS ts, temperature,
-           round(temperature - avg(temperature) OVER (PARTITION BY series, CAST(ts AS DATE)), 4)
+           round(temperature - avg(temperature) OVER (PARTITION BY series, CAST(ts AS DATE)) + 1e-9, 4)
              AS temp_diff_from_daily_avg
         FROM w""", "w"))
 def q_diff_from_daily_mean(spark, sf):
     out = S.diff_from_daily_mean(V.weather(spark, sf), "series", "ts", "temperature",
                                  name="temp_diff_from_daily_avg")
-    # means of 6-decimal values often end in an exact half at the 7th
-    # decimal, where summation order decides the rounding: compare at 4
-    out = out.withColumn("temp_diff_from_daily_avg", F.round("temp_diff_from_daily_avg", 4))
+    # means of a few 6-decimal values often end in an exact half at the
+    # rounding digit, where the engines' rounding rules differ: a 1e-9 nudge
+    # (far above float noise, far below the shown digits) settles ties alike
+    out = out.withColumn("temp_diff_from_daily_avg",
+                         F.round(F.col("temp_diff_from_daily_avg") + 1e-9, 4))
     return _out(out, ["temperature", "temp_diff_from_daily_avg"])
 
 
