@@ -164,8 +164,9 @@ def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, factor: float
     bounds = bounds if bounds is not None else iqr_bounds(df, cols, factor=factor)
     row = _bounds_row(bounds, cols)
     out = df.crossJoin(F.broadcast(row))               # exactly one row
-    out = out.withColumns({c: F.least(F.greatest(F.col(c), F.col(f"_lower_{c}")),
-                                      F.col(f"_upper_{c}")) for c in cols})
+    # greatest/least skip nulls, so a null is kept explicitly
+    out = out.withColumns({c: F.when(F.col(c).isNotNull(), F.least(
+        F.greatest(F.col(c), F.col(f"_lower_{c}")), F.col(f"_upper_{c}"))) for c in cols})
     return out.drop(*[f"_{s}_{c}" for c in cols for s in ("lower", "upper")])
 
 
