@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandflow.operators import series as S
+from demandflow.session import ship_package
 
 BOUND = 0.99
 
@@ -85,6 +86,7 @@ def fit_arima(df: DataFrame, keys, ts: str, target: str, train_frac: float = 0.8
         row.update(phi=[phi], theta=[theta], sigma2=[s2], n_train=[len(pdf)])
         return pd.DataFrame(row)
 
+    ship_package(df.sparkSession)
     schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     schema += ", phi double, theta double, sigma2 double, n_train long"
     return (window.select(*keys, S.ROW, target)

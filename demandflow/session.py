@@ -62,3 +62,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="demandflow-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``demandflow`` importable in Python workers (needed by the few
+    pandas-UDF operators): zip the package once per application and add it
+    with ``addPyFile``, which Spark distributes to every executor."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    import shutil
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="demandflow-py-"), "demandflow")
+    archive = shutil.make_archive(base, "zip", root_dir=os.path.dirname(pkg),
+                                  base_dir=os.path.basename(pkg))
+    sc.addPyFile(archive)
+    _SHIPPED.add(sc.applicationId)
