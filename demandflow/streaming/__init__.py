@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference reads complete files only; it has no event-time window,
+watermark, state or late-data logic, and its row-based lags have no
+Structured Streaming counterpart. Batch DataFrames cover every operator.
+"""
