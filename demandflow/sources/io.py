@@ -43,8 +43,9 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 def write_lines(lines: DataFrame, path: str, col: str | None = None, mode: str = "overwrite") -> None:
     """Text report sink (S6): one line per row, written by the executors."""
-    col = col or lines.columns[0]
-    lines.select(lines[col].cast("string").alias("value")).write.mode(mode).text(path)
+    i = lines.columns.index(col) if col else 0
+    named = lines.toDF(*[f"_c{j}" for j in range(len(lines.columns))])   # any column name
+    named.select(F.col(f"_c{i}").cast("string").alias("value")).write.mode(mode).text(path)
 
 
 def write_json_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
