@@ -102,6 +102,26 @@ def performance_grade(score) -> Column:
     return out.otherwise("Poor")
 
 
+def trunc_ntz(ts, unit: str) -> Column:
+    """Wall-clock truncation of a timestamp to 'hour' or 'day' as
+    TIMESTAMP_NTZ, built from its fields so no session time zone is
+    involved."""
+    t = _c(ts)
+    h = F.hour(t) if unit == "hour" else F.lit(0)
+    if unit not in ("hour", "day"):
+        raise ValueError(unit)
+    return F.make_timestamp_ntz(F.year(t), F.month(t), F.dayofmonth(t), h, F.lit(0), F.lit(0))
+
+
+EPOCH_NTZ = "1970-01-01 00:00:00"
+
+
+def epoch_micros(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 of the wall-clock value (no time
+    zone involved for TIMESTAMP_NTZ)."""
+    return F.timestamp_diff("MICROSECOND", F.lit(EPOCH_NTZ).cast("timestamp_ntz"), _c(ts))
+
+
 def ts_text(ts) -> Column:
     """Timestamp as 'yyyy-MM-dd HH:mm:ss' text (query outputs compared
     across engines)."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandflow.functions.scalars import EPOCH_NTZ
 from demandflow.operators.profile import describe, numeric_columns, string_columns
 from demandflow.operators.quantiles import quantile_wide
 
@@ -193,8 +194,10 @@ def parse_time(df: DataFrame, col: str, name: str = "time", unit: str = "s",
     elif isinstance(dt, T.DateType):
         out = c.cast("timestamp_ntz")
     elif isinstance(dt, NUMERIC_TYPES):
-        conv = {"s": F.timestamp_seconds, "ms": F.timestamp_millis, "us": F.timestamp_micros}[unit]
-        out = conv(c.cast("long")).cast("timestamp_ntz")
+        # unix time as UTC wall clock, independent of the session time zone
+        per = {"s": 1_000_000, "ms": 1_000, "us": 1}[unit]
+        out = F.timestamp_add("MICROSECOND", (c * F.lit(per)).cast("long"),
+                              F.lit(EPOCH_NTZ).cast("timestamp_ntz"))
     else:
         parsed = F.try_to_timestamp(c, F.lit(fmt)) if fmt else F.try_to_timestamp(c)
         out = parsed.cast("timestamp_ntz")

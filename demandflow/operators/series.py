@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from demandflow.functions.scalars import epoch_micros
+
 DEFAULT_CHUNK_ROWS = 1_000_000
 DEFAULT_BUCKET_WIDTH = 3600          # seconds for time columns; units for numbers
 BROADCAST_ROW_LIMIT = 2_000_000       # rows of a counted helper table we may broadcast
@@ -43,8 +45,10 @@ def _as_list(x) -> list[str]:
 def bucket_of(df: DataFrame, col: str, width: float) -> Column:
     dt = df.schema[col].dataType
     c = F.col(col)
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(int(width * 1_000_000)))
+    if isinstance(dt, T.TimestampNTZType):
+        return F.floor(epoch_micros(c) / F.lit(int(width * 1_000_000)))
+    if isinstance(dt, T.TimestampType):
+        return F.floor(F.unix_micros(c) / F.lit(int(width * 1_000_000)))
     if isinstance(dt, T.DateType):
         return F.floor(F.unix_date(c) * F.lit(86400) / F.lit(width))
     return F.floor(c / F.lit(width))
@@ -241,8 +245,7 @@ def time_order_report(df, keys, ts, step_seconds=3600, **layout):
     keys = _as_list(keys)
     prev = with_series_windows(df.select(*keys, ts), keys, ts, 1,
                                lambda w: {"_prev": F.lag(ts, 1).over(w)}, **layout)
-    delta = (F.unix_micros(F.col(ts).cast("timestamp"))
-             - F.unix_micros(F.col("_prev").cast("timestamp"))) / 1_000_000
+    delta = F.timestamp_diff("MICROSECOND", F.col("_prev"), F.col(ts)) / 1_000_000
     return (prev.groupBy(*keys)
                 .agg(F.count(F.lit(1)).alias("n_rows"),
                      F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),

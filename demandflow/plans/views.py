@@ -18,13 +18,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from demandflow.functions.scalars import epoch_micros, trunc_ntz
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _hour(ts):
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
+    return trunc_ntz(ts, "hour")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def dirty_base(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(eid % 10 == 3, F.lit(None).cast("double")).otherwise(F.col("value")).alias("ozone"),
         F.when(eid % 10 == 7, F.lit(None).cast("string"))
          .otherwise(F.concat(F.lit("R"), (F.col("user_id") % 5).cast("string"))).alias("region"),
-        F.unix_seconds(F.col("ts").cast("timestamp")).alias("time_s"),
+        F.floor(epoch_micros("ts") / 1_000_000).alias("time_s"),
         F.when(eid % 100 == 9, F.lit("bad"))
          .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("time_str"),
     )
@@ -76,7 +78,7 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return (o.groupBy(F.col("o_orderpriority").alias("series"),
-                      F.date_trunc("day", "o_orderdate").cast("timestamp_ntz").alias("ts"))
+                      trunc_ntz("o_orderdate", "day").alias("ts"))
              .agg(F.round(F.sum("o_totalprice"), 2).alias("demand")))
 
 
