@@ -71,21 +71,29 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     rounds = 0
     while todo.limit(1).count() and rounds < 8:
         rounds += 1
-        # approximate grid of each open bracket
+        # approximate grid of each open bracket; in the first round every
+        # bracket of a group is the whole group, so one sketch per group
         grid_p = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-        approx = (inside(long, todo.select(*g, "p", "lo", "hi"))
-                  .groupBy(*g, "p").agg(F.percentile_approx("x", grid_p, accuracy).alias("q")))
+        if rounds == 1:
+            groups = todo.select(*g).distinct()
+            approx = (long.join(checked_broadcast(groups, rows=n_targets), g)
+                      .groupBy(*g).agg(F.percentile_approx("x", grid_p, accuracy).alias("q")))
+            on = g
+        else:
+            approx = (inside(long, todo.select(*g, "p", "lo", "hi"))
+                      .groupBy(*g, "p").agg(F.percentile_approx("x", grid_p, accuracy).alias("q")))
+            on = [*g, "p"]
         rel = (F.col("k1") - F.col("below")) / F.col("m")
         rel2 = (F.col("k2") - F.col("below")) / F.col("m")
         i_lo = F.greatest(F.lit(0), F.floor(rel * grid) - 2).cast("int")
         i_hi = F.least(F.lit(grid), F.ceil(rel2 * grid) + 2).cast("int")
-        nb = (todo.join(approx, [*g, "p"])
+        nb = (todo.join(approx, on)
                   .withColumn("nlo", F.when(i_lo == 0, F.col("lo"))
                               .otherwise(F.try_element_at("q", i_lo + 1)))
                   .withColumn("nhi", F.when(i_hi == grid, F.col("hi"))
                               .otherwise(F.try_element_at("q", i_hi + 1)))
                   .drop("q"))
-        # exact counts below / inside the new bracket
+    # exact counts below / inside the new bracket
         cnt = (inside(long, nb.select(*g, "p", "lo", "hi", "nlo", "nhi"))
                .groupBy(*g, "p").agg(
                    F.count_if(F.col("nlo").isNotNull() & (F.col("x") < F.col("nlo"))).alias("add"),
@@ -111,8 +119,10 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         ensure_checkpoint_dir(tt.sparkSession)
         tt = tt.checkpoint(eager=True)
         n_targets = tt.count()
-    per_value = (inside(long, tt.select(*g, "p", "lo", "hi", "below", "k1", "k2"))
-                 .groupBy(*g, "p", "below", "k1", "k2", "x").agg(F.count(F.lit(1)).alias("c")))
+    # count each distinct value once (map-side combining collapses ties),
+    # then keep the values inside each target's bracket
+    values = long.groupBy(*g, "x").agg(F.count(F.lit(1)).alias("c"))
+    per_value = inside(values, tt.select(*g, "p", "lo", "hi", "below", "k1", "k2"))
     w = Window.partitionBy(*g, "p").orderBy("x")
     ranked = (per_value.withColumn("cum", F.col("below") + F.sum("c").over(w))
                        .withColumn("first", F.col("cum") - F.col("c")))
