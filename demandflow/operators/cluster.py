@@ -35,6 +35,25 @@ def scaled_vectors(df: DataFrame, cols: Sequence[str], out: str = VEC) -> DataFr
         .drop(*[f"{c}__z" for c in cols])
 
 
+ROWS_PER_PARTITION = 1_000_000
+
+
+def cached_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Scaled feature vectors, cached for the repeated scans of iterative
+    fits, with the partition count sized to the counted rows: iterative
+    algorithms pay per task in every iteration, so tiny partitions are
+    merged (``coalesce``, no shuffle) while large inputs keep their spread."""
+    vec = scaled_vectors(df, cols).persist()
+    n = vec.count()
+    want = max(1, -(-n // ROWS_PER_PARTITION))
+    if want < vec.rdd.getNumPartitions():
+        small = vec.coalesce(want).persist()
+        small.count()
+        vec.unpersist()
+        return small
+    return vec
+
+
 # --- PCA (C2-C4, W5) -----------------------------------------------------------
 
 def pca_fit(df: DataFrame, cols: Sequence[str], k: int | None = None):
@@ -50,16 +69,16 @@ def pca_fit(df: DataFrame, cols: Sequence[str], k: int | None = None):
 
 def pca_variance(df: DataFrame, cols: Sequence[str], threshold: float = 0.85) -> DataFrame:
     """Per component: explained-variance ratio, cumulative ratio, and the
-    first component count reaching ``threshold`` (C2, W5)."""
+    first component count reaching ``threshold`` (C2, W5). The d ratios
+    come from the fitted model (d = number of features)."""
     model, _ = pca_fit(df, cols)
     ratios = [float(x) for x in model.explainedVariance.toArray()]
-    spark = df.sparkSession
-    rows = spark.createDataFrame([(i + 1, r) for i, r in enumerate(ratios)],
-                                 "component int, ratio double")
-    w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)   # d rows
-    out = rows.withColumn("cumulative", F.sum("ratio").over(w))
-    k85 = out.where(F.col("cumulative") >= threshold - 1e-12).agg(F.min("component").alias("k"))
-    return out.crossJoin(k85).withColumn("k_for_threshold", F.col("k")).drop("k")
+    cum = np.cumsum(ratios)
+    reach = [i + 1 for i, c in enumerate(cum) if c >= threshold - 1e-12]
+    k = reach[0] if reach else None
+    rows = [(i + 1, r, float(c), k) for i, (r, c) in enumerate(zip(ratios, cum))]
+    return df.sparkSession.createDataFrame(
+        rows, "component int, ratio double, cumulative double, k_for_threshold int")
 
 
 def pca_project(df: DataFrame, cols: Sequence[str], k: int = 2, keep: Sequence[str] = ()) -> DataFrame:
@@ -114,7 +133,7 @@ def kmeans_best(vec: DataFrame, k: int, seed: int = 42, n_init: int = 10,
 def kmeans_cluster(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42,
                    n_init: int = 10, keep: Sequence[str] = ()) -> DataFrame:
     """Rows with their cluster label."""
-    vec = scaled_vectors(df, cols).persist()
+    vec = cached_vectors(df, cols)
     model = kmeans_best(vec, k, seed, n_init)
     out = model.transform(vec).select(*keep, *cols, "cluster")
     return out
@@ -124,7 +143,7 @@ def cluster_centers(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int =
                     n_init: int = 10) -> DataFrame:
     """Centres of the best fit in original units (C10): one row per cluster."""
     stats = FE.scaler_stats(df, cols)
-    vec = scaled_vectors(df, cols).persist()
+    vec = cached_vectors(df, cols)
     model = kmeans_best(vec, k, seed, n_init)
     rows = [(i, *[float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centres = df.sparkSession.createDataFrame(
@@ -175,7 +194,7 @@ def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11
     """Silhouette (squared, linear time) and inertia per k from one set of
     fits (C6, C7; the reference fits every k twice); ``best`` flags the
     highest silhouette, lowest k on ties."""
-    vec = scaled_vectors(df, cols).persist()
+    vec = cached_vectors(df, cols)
     ks = [int(k) for k in ks]
     specs = [(k, seed + i) for k in ks for i in range(n_init)]
     models = _fit_kmeans(vec, specs, parallelism=parallelism)
@@ -241,7 +260,7 @@ def cluster_stability(df: DataFrame, cols: Sequence[str], k: int, n_runs: int =
                       seed: int = 42, n_init: int = 10) -> DataFrame:
     """Mean ARI between (fit on 70 %, predict 30 %) and (fit on the 30 %)
     over ``n_runs`` random splits (C11)."""
-    vec = scaled_vectors(df, cols).persist()
+    vec = cached_vectors(df, cols)
     rows = []
     for i in range(n_runs):
         train, test = vec.randomSplit([0.7, 0.3], seed=seed + i)
@@ -314,7 +333,7 @@ def ward_cluster(df: DataFrame, cols: Sequence[str], n_clusters: int = 3,
     ``micro`` weighted micro-clusters, exact size-weighted Ward on those,
     and the micro -> final map (``micro`` rows) broadcast back. Returns
     (labelled rows, merges table)."""
-    vec = scaled_vectors(df, cols).persist()
+    vec = cached_vectors(df, cols)
     n = vec.count()
     m = int(min(micro, n))
     km = KMeans(k=m, seed=seed, featuresCol=VEC, predictionCol="_micro", maxIter=50).fit(vec)

@@ -181,7 +181,7 @@ def q_cluster_report(spark, sf):
     """The cluster request of the web app for all series: PCA(2) points with
     K-Means labels, joined to the silhouette of the labelling."""
     w = V.weather(spark, sf)
-    vec = C.scaled_vectors(w, FEATS).persist()
+    vec = C.cached_vectors(w, FEATS)
     model = C.kmeans_best(vec, 3)
     labelled = model.transform(vec)
     sil = C.silhouette_sq(labelled, "cluster").select("silhouette")
