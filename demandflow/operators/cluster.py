@@ -333,23 +333,36 @@ def ward_cluster(df: DataFrame, cols: Sequence[str], n_clusters: int = 3,
     ``micro`` weighted micro-clusters, exact size-weighted Ward on those,
     and the micro -> final map (``micro`` rows) broadcast back. Returns
     (labelled rows, merges table)."""
-    vec = cached_vectors(df, cols)
-    n = vec.count()
-    m = int(min(micro, n))
-    km = KMeans(k=m, seed=seed, featuresCol=VEC, predictionCol="_micro", maxIter=50).fit(vec)
-    lab = km.transform(vec)
-    sizes = {r["_micro"]: r["c"] for r in
-             lab.groupBy("_micro").agg(F.count(F.lit(1)).alias("c")).collect()}   # <= micro rows
-    centres = np.array(km.clusterCenters())
-    ids = sorted(sizes)
-    x = centres[ids]
-    w = np.array([sizes[i] for i in ids], dtype=float)
-    merges = ward_merges_local(x, w)
-    labels = cut_merges(len(ids), merges, n_clusters)
-    mapping = [(int(ids[p]), int(labels[p])) for p in range(len(ids))]
+    vec = cached_vectors(df, cols).withColumn("_p", vector_to_array(VEC))
     spark = df.sparkSession
-    mp = spark.createDataFrame(mapping, "_micro int, ward_cluster int")
-    out = lab.join(F.broadcast(mp), "_micro").select(*keep, *cols, "ward_cluster")
+    distinct = vec.groupBy("_p").agg(F.count(F.lit(1)).alias("c"))
+    few = distinct.limit(micro + 1).count() <= micro
+    if few:
+        # no more distinct points than micro-clusters: Ward on the points
+        # themselves (equal points weighted by their count) is exact
+        pts = distinct.collect()                                   # <= micro rows
+        x = np.array([r["_p"] for r in pts])
+        w = np.array([r["c"] for r in pts], dtype=float)
+        lab = vec
+        key = "_p"
+    else:
+        km = KMeans(k=micro, seed=seed, featuresCol=VEC, predictionCol="_micro", maxIter=50).fit(vec)
+        lab = km.transform(vec)
+        sizes = {r["_micro"]: r["c"] for r in
+                 lab.groupBy("_micro").agg(F.count(F.lit(1)).alias("c")).collect()}   # <= micro rows
+        ids = sorted(sizes)                                        # non-empty micro-clusters
+        x = np.array(km.clusterCenters())[ids]
+        w = np.array([sizes[i] for i in ids], dtype=float)
+        key = "_micro"
+    merges = ward_merges_local(x, w)
+    labels = cut_merges(len(x), merges, n_clusters)
+    if few:
+        mp = spark.createDataFrame([(list(map(float, pts[i]["_p"])), int(labels[i])) for i in range(len(pts))],
+                                   "_p array<double>, ward_cluster int")
+    else:
+        mp = spark.createDataFrame([(int(ids[i]), int(labels[i])) for i in range(len(ids))],
+                                   "_micro int, ward_cluster int")
+    out = lab.join(F.broadcast(mp), key).select(*keep, *cols, "ward_cluster")
     mt = spark.createDataFrame([(i + 1, int(a), int(b), float(h), float(sz))
                                 for i, (a, b, h, sz) in enumerate(merges)],
                                "step int, a int, b int, height double, size double")
