@@ -1,9 +1,9 @@
 """Cleaning (L1-L9, S2-S4): imputation, null and duplicate removal, IQR
 outlier counting and capping, time parsing, column resolution.
 
-Statistics used to fill or cap (means, modes, bounds) form one row per
-column; they are joined back as a single broadcast row, whose size is fixed
-by the column count.
+Statistics used to fill or cap (means, modes, bounds) are fitted like a
+Spark ML estimator: one aggregate yields one value per column (a size fixed
+by the column count), applied to the rows as literals.
 """
 
 from __future__ import annotations
@@ -69,14 +69,14 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Fill nulls (and NaN) of numeric columns with the column mean (L2)."""
+    """Fill nulls (and NaN) of numeric columns with the column mean (L2).
+    Fit/transform like ``Imputer``: one aggregate gives one value per
+    column, applied as literals."""
     cols = list(cols or numeric_columns(df))
-    means = column_means(df, cols).select(*[F.col(c).alias(f"_mean_{c}") for c in cols])
-    out = df.crossJoin(F.broadcast(means))            # exactly one row
-    out = out.withColumns({c: F.coalesce(_nan_to_null(c, df.schema[c].dataType),
-                                         F.col(f"_mean_{c}").cast(df.schema[c].dataType))
+    means = column_means(df, cols).first()             # one value per column
+    return df.withColumns({c: F.coalesce(_nan_to_null(c, df.schema[c].dataType),
+                                         F.lit(means[c]).cast(df.schema[c].dataType))
                            for c in cols})
-    return out.drop(*[f"_mean_{c}" for c in cols])
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -99,13 +99,9 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def impute_mode(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Fill nulls of (string) columns with the column mode (L3)."""
     cols = list(cols or string_columns(df))
-    modes = column_modes(df, cols)
-    row = modes.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(f"_mode_{c}")
-                      for c in cols])
-    out = df.crossJoin(F.broadcast(row))              # exactly one row
-    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_mode_{c}").cast(df.schema[c].dataType))
+    modes = {r["column"]: r["mode"] for r in column_modes(df, cols).collect()}   # one per column
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(modes.get(c)).cast(df.schema[c].dataType))
                            for c in cols})
-    return out.drop(*[f"_mode_{c}" for c in cols])
 
 
 def drop_null_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
@@ -135,21 +131,21 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (),
                     (F.col("q3") + factor * iqr).alias("upper"))
 
 
-def _bounds_row(bounds: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return bounds.agg(*[F.max(F.when(F.col("column") == c, F.col(s))).alias(f"_{s}_{c}")
-                        for c in cols for s in ("lower", "upper")])
+def _bounds(bounds: DataFrame) -> dict[str, tuple[float, float]]:
+    """(lower, upper) per column: one row per column."""
+    return {r["column"]: (r["lower"], r["upper"]) for r in bounds.collect()}
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
     """Per column: bounds, number and percent of values strictly outside
     (L6). Two passes: exact quartiles, then one counting aggregate."""
     cols = list(cols or numeric_columns(df))
-    bounds = iqr_bounds(df, cols, factor=factor)
-    row = _bounds_row(bounds, cols)
-    counted = df.crossJoin(F.broadcast(row)).agg(
+    bounds = iqr_bounds(df, cols, factor=factor).persist()
+    b = _bounds(bounds)
+    counted = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if((F.col(c) < F.col(f"_lower_{c}")) | (F.col(c) > F.col(f"_upper_{c}")))
-           .alias(f"_out_{c}") for c in cols])
+        *[F.count_if((F.col(c) < F.lit(b[c][0])) | (F.col(c) > F.lit(b[c][1]))).alias(f"_out_{c}")
+          for c in cols])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_out_{c}").alias("n_outliers"))
                         for c in cols])
     counts = counted.select("_rows", F.inline(entries))
@@ -163,12 +159,10 @@ def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, factor: float
     """Clip each column to its IQR bounds; nulls stay null."""
     cols = list(cols or numeric_columns(df))
     bounds = bounds if bounds is not None else iqr_bounds(df, cols, factor=factor)
-    row = _bounds_row(bounds, cols)
-    out = df.crossJoin(F.broadcast(row))               # exactly one row
+    b = _bounds(bounds)
     # greatest/least skip nulls, so a null is kept explicitly
-    out = out.withColumns({c: F.when(F.col(c).isNotNull(), F.least(
-        F.greatest(F.col(c), F.col(f"_lower_{c}")), F.col(f"_upper_{c}"))) for c in cols})
-    return out.drop(*[f"_{s}_{c}" for c in cols for s in ("lower", "upper")])
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(
+        F.greatest(F.col(c), F.lit(b[c][0])), F.lit(b[c][1]))) for c in cols})
 
 
 def capping_report(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:

@@ -157,8 +157,8 @@ def silhouette_sq(points: DataFrame, label: str, features: str = VEC) -> DataFra
     For point x and cluster c the summed squared distance is
     n_c |x|^2 - 2 x.S_c + Q_c with S_c the vector sum and Q_c the summed
     squared norms: one aggregate gives (n_c, S_c, Q_c) for every cluster,
-    a k-row table joined to each point in one array. Singleton clusters
-    score 0; fewer than 2 clusters gives null.
+    k rows of d + 2 numbers that every point reads as one literal array.
+    Singleton clusters score 0; fewer than 2 clusters gives null.
     """
     arr = F.col("_x")
     pts = points.select(F.col(label).alias("_l"), vector_to_array(features).alias("_x"))
@@ -169,11 +169,12 @@ def silhouette_sq(points: DataFrame, label: str, features: str = VEC) -> DataFra
     sums = long.groupBy("_l", "_i").agg(F.sum("_v").alias("_s"))
     per = pts.groupBy("_l").agg(F.count(F.lit(1)).alias("n"), F.sum("_n2").alias("q"))
     vecs = sums.groupBy("_l").agg(F.array_sort(F.collect_list(F.struct("_i", "_s"))).alias("_sv"))
-    stats = (per.join(vecs, "_l")
-                .select(F.struct(F.col("_l").alias("l"), "n", "q",
-                                 F.transform("_sv", lambda s: s["_s"]).alias("s")).alias("c")))
-    table = stats.agg(F.collect_list("c").alias("_cs"))             # k entries
-    joined = pts.crossJoin(F.broadcast(table))
+    stats = per.join(vecs, "_l").collect()                         # k rows of d + 2 numbers
+    table = F.array(*[F.struct(F.lit(r["_l"]).alias("l"), F.lit(r["n"]).alias("n"),
+                               F.lit(float(r["q"])).alias("q"),
+                               F.array(*[F.lit(float(e["_s"])) for e in r["_sv"]]).alias("s"))
+                      for r in stats])
+    joined = pts.withColumn("_cs", table)
 
     def summed(c):
         dot = F.aggregate(F.zip_with(arr, c["s"], lambda a, b: a * b), F.lit(0.0), lambda x, y: x + y)
@@ -184,9 +185,9 @@ def silhouette_sq(points: DataFrame, label: str, features: str = VEC) -> DataFra
     b = F.array_min(F.transform(others, lambda c: summed(c) / c["n"]))
     s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise(
         F.try_divide(b - a, F.greatest(a, b)))
-    scored = joined.withColumn("_s", F.coalesce(s, F.lit(0.0))).withColumn("_k", F.size("_cs"))
-    return scored.agg(F.when(F.max("_k") >= 2, F.avg("_s")).alias("silhouette"),
-                      F.count(F.lit(1)).alias("n_points"))
+    scored = joined.withColumn("_s", F.coalesce(s, F.lit(0.0)))
+    sil = F.avg("_s") if len(stats) >= 2 else F.lit(None).cast("double")
+    return scored.agg(sil.alias("silhouette"), F.count(F.lit(1)).alias("n_points"))
 
 
 def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11), seed: int = 42,
@@ -206,9 +207,10 @@ def select_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 11
             sil = silhouette_sq(m.transform(vec), "cluster").first()["silhouette"]
         rows.append((k, float(sil) if sil is not None else None, float(m.summary.trainingCost)))
     vec.unpersist()
-    out = df.sparkSession.createDataFrame(rows, "k int, silhouette double, inertia double")
-    best = out.agg(F.min_by("k", F.struct((-F.col("silhouette")).alias("s"), F.col("k"))).alias("_b"))
-    return out.crossJoin(best).withColumn("best", F.col("k") == F.col("_b")).drop("_b")
+    scored = [r for r in rows if r[1] is not None]
+    best = min(scored, key=lambda r: (-r[1], r[0]))[0] if scored else None
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows],
+                                           "k int, silhouette double, inertia double, best boolean")
 
 
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -218,10 +220,14 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
     def c2(x):
         return x * (x - 1) / 2
-    cells = cont.agg(F.sum(c2(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
-    ra = cont.groupBy(a).agg(F.sum("nij").alias("ni")).agg(F.sum(c2(F.col("ni"))).alias("sa"))
-    rb = cont.groupBy(b).agg(F.sum("nij").alias("nj")).agg(F.sum(c2(F.col("nj"))).alias("sb"))
-    t = cells.crossJoin(ra).crossJoin(rb)
+    # cells, row sums and column sums as one long table, summed in one pass
+    parts = (cont.select(F.lit("ij").alias("kind"), F.col("nij").alias("v"))
+             .unionByName(cont.groupBy(a).agg(F.sum("nij").alias("v")).select(F.lit("a").alias("kind"), "v"))
+             .unionByName(cont.groupBy(b).agg(F.sum("nij").alias("v")).select(F.lit("b").alias("kind"), "v")))
+    t = parts.agg(F.sum(F.when(F.col("kind") == "ij", c2(F.col("v")))).alias("sij"),
+                  F.sum(F.when(F.col("kind") == "ij", F.col("v"))).alias("n"),
+                  F.sum(F.when(F.col("kind") == "a", c2(F.col("v")))).alias("sa"),
+                  F.sum(F.when(F.col("kind") == "b", c2(F.col("v")))).alias("sb"))
     expected = F.col("sa") * F.col("sb") / c2(F.col("n"))
     maxi = (F.col("sa") + F.col("sb")) / 2
     ari = F.when(maxi == expected, F.lit(1.0)).otherwise(
@@ -239,21 +245,22 @@ def label_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
 
 def assign_nearest(df: DataFrame, vector: str, centres: DataFrame, label: str,
                    out: str = "nearest") -> DataFrame:
-    """Nearest centre per row (J7) without a shuffle: the k centres travel
-    as one broadcast array and each row keeps the closest (ties: the
-    smaller label)."""
-    table = centres.agg(F.array_sort(F.collect_list(F.struct(F.col(label).alias("l"),
-                                                             F.col("centre").alias("c")))).alias("_cs"))
+    """Nearest centre per row (J7) without a shuffle: the k centres (fitted
+    like a model, k x d numbers) are one literal array and each row keeps
+    the closest (ties: the smaller label)."""
+    rows = sorted(centres.select(label, "centre").collect(), key=lambda r: r[0])   # k centres
+    cs = F.array(*[F.struct(F.lit(r[0]).alias("l"), F.array(*[F.lit(float(v)) for v in r[1]]).alias("c"))
+                   for r in rows])
     x = F.transform(F.col(vector), lambda v: v.cast("double"))
 
     def dist(c):
         return F.aggregate(F.zip_with(x, c["c"], lambda p, q: (p - q) * (p - q)),
                            F.lit(0.0), lambda s, v: s + v)
-    scored = F.transform("_cs", lambda c: F.struct(dist(c).alias("d"), c["l"].alias("l")))
+    scored = F.transform(cs, lambda c: F.struct(dist(c).alias("d"), c["l"].alias("l")))
     best = F.array_min(scored)                  # by distance, then label
-    return (df.crossJoin(F.broadcast(table))
-              .withColumn(out, best["l"]).withColumn(f"{out}_distance", F.sqrt(best["d"]))
-              .drop("_cs"))
+    return (df.withColumn("_best", best)
+              .withColumn(out, F.col("_best.l")).withColumn(f"{out}_distance", F.sqrt("_best.d"))
+              .drop("_best"))
 
 
 def cluster_stability(df: DataFrame, cols: Sequence[str], k: int, n_runs: int = 5,

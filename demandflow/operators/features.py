@@ -78,9 +78,13 @@ def scaler_stats(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -
 
 
 def _attach(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # without keys the statistics are exactly one row; with keys one row per
-    # group, joined by key (broadcast is left to AQE's measured size)
-    return df.crossJoin(F.broadcast(stats)) if not keys else df.join(stats, list(keys), "left")
+    # without keys the statistics are one row (two values per feature),
+    # applied as literals; with keys one row per group, joined by key
+    # (broadcast is left to AQE's measured size)
+    if keys:
+        return df.join(stats, list(keys), "left")
+    row = stats.first().asDict()
+    return df.withColumns({k: F.lit(v).cast("double") for k, v in row.items()})
 
 
 def standardize(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None,

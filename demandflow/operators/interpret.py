@@ -126,11 +126,13 @@ def describe_clusters(df: DataFrame, label: str, features: Sequence[str],
     sizes = cluster_sizes(df, label)
     means = cluster_means(df, label, features)
     overall = df.agg(*[F.avg(c).alias(f"_all_{c}") for c in features],
-                     *([F.avg(target).alias("_all_target")] if target else []))
-    parts = [F.format_string("%s: %.2f (Dataset Mean: %.2f)", F.lit(c), F.col(c), F.col(f"_all_{c}"))
+                     *([F.avg(target).alias("_all_target")] if target else [])).first()   # one row
+    parts = [F.format_string("%s: %.2f (Dataset Mean: %.2f)", F.lit(c), F.col(c),
+                             F.lit(overall[f"_all_{c}"]).cast("double"))
              for c in features]
-    out = (sizes.join(means, label).crossJoin(F.broadcast(overall))
-                .withColumn("features", F.concat_ws("; ", *parts)))
+    out = sizes.join(means, label).withColumn("features", F.concat_ws("; ", *parts))
+    if target:
+        out = out.withColumn("_all_target", F.lit(overall["_all_target"]).cast("double"))
     if hour:
         out = out.join(_joined_top(df, label, hour, 3,
                                    lambda v: F.concat(v.cast("string"), F.lit(":00")))

@@ -49,7 +49,11 @@ def improvement_over_baseline(metrics: DataFrame, baseline: DataFrame, keys=(),
     group (E2). The baseline side has one row per group."""
     keys = _keys(keys)
     b = baseline.select(*keys, *[F.col(c).alias(f"_base_{c}") for c in cols])
-    out = metrics.crossJoin(F.broadcast(b)) if not keys else metrics.join(b, keys, "left")
+    if keys:
+        out = metrics.join(b, keys, "left")
+    else:                                   # one baseline row: its values as literals
+        row = b.first().asDict()
+        out = metrics.withColumns({k: F.lit(v).cast("double") for k, v in row.items()})
     for c in cols:
         out = out.withColumn(f"{c}_improvement",
                              (F.col(f"_base_{c}") - F.col(c))

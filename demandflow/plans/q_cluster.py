@@ -184,10 +184,10 @@ def q_cluster_report(spark, sf):
     vec = C.cached_vectors(w, FEATS)
     model = C.kmeans_best(vec, 3)
     labelled = model.transform(vec)
-    sil = C.silhouette_sq(labelled, "cluster").select("silhouette")
+    sil = C.silhouette_sq(labelled, "cluster").first()["silhouette"]
     pcs = C.pca_project(w, FEATS, k=2, keep=["series", "ts"])
     lab = labelled.select("series", "ts", "cluster")
-    return (pcs.join(lab, ["series", "ts"]).crossJoin(sil)
+    return (pcs.join(lab, ["series", "ts"]).withColumn("silhouette", F.lit(sil).cast("double"))
                .select("series", ts_text("ts").alias("ts"), "PC1", "PC2", "cluster", "silhouette"))
 
 
@@ -260,12 +260,8 @@ def q_dbscan_grid(spark, sf):
             rows.append((eps, ms, int(s["n_clusters"]), float(s["noise_share"]),
                          float(sil) if sil is not None else None, ok))
             lab.unpersist()
-    out = spark.createDataFrame(rows, "eps double, min_samples int, n_clusters int, "
-                                      "noise_share double, silhouette double, admissible boolean")
-    best = out.where("admissible").agg(F.max_by(F.struct("eps", "min_samples"),
-                                                 F.col("silhouette")).alias("_b"))
-    return (out.crossJoin(best)
-               .withColumn("best", F.coalesce((F.col("eps") == F.col("_b.eps"))
-                                              & (F.col("min_samples") == F.col("_b.min_samples")),
-                                              F.lit(False)))
-               .drop("_b"))
+    adm = [r for r in rows if r[5] and r[4] is not None]
+    best = max(adm, key=lambda r: (r[4], -r[0], -r[1]))[:2] if adm else None
+    return spark.createDataFrame([(*r, r[:2] == best) for r in rows],
+                                 "eps double, min_samples int, n_clusters int, noise_share double, "
+                                 "silhouette double, admissible boolean, best boolean")

@@ -68,11 +68,12 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``demandflow`` importable in Python workers (needed by the few
-    pandas-UDF operators): zip the package once per application and add it
-    with ``addPyFile``, which Spark distributes to every executor."""
+    """Make ``demandflow`` importable in Python workers of a local session
+    (needed by the pandas-UDF operators): zip the package once and add it
+    with ``addPyFile``. On a cluster the package is deployed with the job
+    (``--py-files`` / ``spark.submit.pyFiles``), so nothing is done there."""
     sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
+    if sc.applicationId in _SHIPPED or not sc.master.startswith("local"):
         return
     import shutil
     pkg = os.path.dirname(os.path.abspath(__file__))
