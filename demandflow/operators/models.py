@@ -10,6 +10,7 @@ chronological, so no test row reaches a fit.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -104,7 +105,7 @@ def feature_importance(model, features: Sequence[str]) -> list[tuple[str, float]
 
 def stacking(data: DataFrame, bases: Sequence[str], keys=("series",), ts: str = "ts",
              target: str = "demand", n_folds: int = 5, alpha: float = 1.0,
-             **layout) -> DataFrame:
+             parallelism: int = 4, **layout) -> DataFrame:
     """Stacked regression (M6): out-of-fold predictions of each base model
     over contiguous folds of the train rows (per series, as an unshuffled
     K-fold), a ridge model on those, bases refit on all train rows.
@@ -112,25 +113,32 @@ def stacking(data: DataFrame, bases: Sequence[str], keys=("series",), ts: str =
     keys = list(keys)
     train = data.where(F.col("split") == "train")
     folds = S.stacking_folds(train.select(*keys, ts), keys, ts, n_folds, **layout)
-    data = data.join(folds, [*keys, ts], "left")
-    oof = None
-    for f in range(n_folds):
+    data = data.join(folds, [*keys, ts], "left").persist()    # read by every fit
+    full = data.where(F.col("split") == "train")
+
+    def fit_one(job):
+        # one base model on one fold (f) or on all train rows (f is None)
+        b, f = job
+        if f is None:
+            return _sized(b, full, target, alpha).fit(full).transform(data) \
+                .select(*keys, ts, F.col("predicted").alias(b))
         fold_train = data.where((F.col("split") == "train") & (F.col("fold") != f))
         fold_pred = data.where(F.col("fold") == f)
-        cols = {}
-        for b in bases:
-            est = _sized(b, fold_train, target, alpha)
-            cols[b] = est.fit(fold_train).transform(fold_pred).select(*keys, ts, F.col("predicted").alias(b))
+        return _sized(b, fold_train, target, alpha).fit(fold_train).transform(fold_pred) \
+            .select(*keys, ts, F.col("predicted").alias(b))
+
+    jobs = [(b, f) for f in [*range(n_folds), None] for b in bases]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:   # independent fits, concurrent jobs
+        fitted = dict(zip(jobs, pool.map(fit_one, jobs)))
+    oof = None
+    for f in range(n_folds):
         part = None
         for b in bases:
-            part = cols[b] if part is None else part.join(cols[b], [*keys, ts])
+            part = fitted[(b, f)] if part is None else part.join(fitted[(b, f)], [*keys, ts])
         oof = part if oof is None else oof.unionByName(part)
-    full = data.where(F.col("split") == "train")
     preds = data.drop("fold")
     for b in bases:
-        est = _sized(b, full, target, alpha)
-        preds = preds.join(est.fit(full).transform(data).select(*keys, ts, F.col("predicted").alias(b)),
-                           [*keys, ts])
+        preds = preds.join(fitted[(b, None)], [*keys, ts])
     meta_train = oof.join(data.select(*keys, ts, target), [*keys, ts])
     meta_in = assemble(meta_train, list(bases), "_m")
     st = meta_in.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()

@@ -7,6 +7,8 @@ row counts here and by numpy references in the unit tests.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -247,19 +249,23 @@ def q_dbscan_grid(spark, sf):
     (squared, noise left out); admissible when more than one cluster and
     less than half noise; ``best`` marks the highest silhouette."""
     pts = _emb3(spark, sf).drop("label").persist()
-    rows = []
-    for eps in (0.06, 0.08, 0.1):
-        for ms in (10, 15, 20):
-            lab = DB.dbscan(pts, "vec_id", E3, eps, ms).persist()
-            s = DB.dbscan_summary(lab).first()
-            sil = None
-            if s["n_clusters"] and s["n_clusters"] > 1:
-                vec = C.assemble(lab.where(F.col("label") >= 0), E3)
-                sil = C.silhouette_sq(vec, "label").first()["silhouette"]
-            ok = bool(s["n_clusters"] and s["n_clusters"] > 1 and s["noise_share"] < 0.5)
-            rows.append((eps, ms, int(s["n_clusters"]), float(s["noise_share"]),
-                         float(sil) if sil is not None else None, ok))
-            lab.unpersist()
+
+    def run(setting):
+        eps, ms = setting
+        lab = DB.dbscan(pts, "vec_id", E3, eps, ms).persist()
+        s = DB.dbscan_summary(lab).first()
+        sil = None
+        if s["n_clusters"] and s["n_clusters"] > 1:
+            vec = C.assemble(lab.where(F.col("label") >= 0), E3)
+            sil = C.silhouette_sq(vec, "label").first()["silhouette"]
+        ok = bool(s["n_clusters"] and s["n_clusters"] > 1 and s["noise_share"] < 0.5)
+        lab.unpersist()
+        return (eps, ms, int(s["n_clusters"]), float(s["noise_share"]),
+                float(sil) if sil is not None else None, ok)
+
+    grid = [(eps, ms) for eps in (0.06, 0.08, 0.1) for ms in (10, 15, 20)]
+    with ThreadPoolExecutor(max_workers=3) as pool:       # independent runs as concurrent jobs
+        rows = list(pool.map(run, grid))
     adm = [r for r in rows if r[5] and r[4] is not None]
     best = max(adm, key=lambda r: (r[4], -r[0], -r[1]))[:2] if adm else None
     return spark.createDataFrame([(*r, r[:2] == best) for r in rows],

@@ -179,3 +179,19 @@ def test_assign_nearest_and_centroids(spark):
 def test_unknown_model_name():
     with pytest.raises(ValueError):
         MO.make_estimator("prophet")
+
+
+def test_stacking_out_of_fold_and_accuracy(spark):
+    rng = np.random.default_rng(2)
+    n = 120
+    X = rng.normal(size=(n, 2))
+    y = X @ np.array([2.0, -1.0]) + 5 + rng.normal(scale=0.05, size=n)
+    rows = [("s", i, float(a), float(b), float(t), "train" if i < 96 else "test")
+            for i, ((a, b), t) in enumerate(zip(X, y))]
+    df = spark.createDataFrame(rows, "series string, ts long, a double, b double, demand double, "
+                                     "split string")
+    data = MO.design(df, ["a", "b"])
+    pred = MO.stacking(data, ["linear", "ridge"], keys=["series"], ts="ts")
+    test = pred.where("split = 'test'").select("demand", "predicted").toPandas()
+    assert len(test) == 24
+    assert np.abs(test["demand"] - test["predicted"]).mean() < 0.2
