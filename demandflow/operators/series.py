@@ -46,14 +46,26 @@ def bucket_of(df: DataFrame, col: str, width: float) -> Column:
     dt = df.schema[col].dataType
     c = F.col(col)
     if isinstance(dt, T.TimestampNTZType):
-        return F.floor(epoch_micros(c) / F.lit(int(width * 1_000_000)))
+        return F.floor(epoch_micros(c) / F.lit(max(1, int(round(width * 1_000_000)))))
     if isinstance(dt, T.TimestampType):
-        return F.floor(F.unix_micros(c) / F.lit(int(width * 1_000_000)))
+        return F.floor(F.unix_micros(c) / F.lit(max(1, int(round(width * 1_000_000)))))
     if isinstance(dt, T.DateType):
         return F.floor(F.unix_date(c) * F.lit(86400) / F.lit(width))
     return F.floor(c / F.lit(width))
 
 
+def _min_width(df: DataFrame, col: str) -> float:
+    """Smallest meaningful bucket width of an order column (1 us for times)."""
+    dt = df.schema[col].dataType
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        return 1e-6
+    if isinstance(dt, T.DateType):
+        return 86400.0
+    if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return 1.0
+    return 1e-9
+
+
 def checked_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT,
                       rows: int | None = None) -> DataFrame:
     """Broadcast ``small`` only when its counted row number is under the limit;
@@ -78,12 +90,28 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
     keys, order = _as_list(keys), _as_list(order)
     if halo >= chunk_rows:
         raise ValueError("halo must be smaller than chunk_rows")
-    bucket = bucket_of(df, order[0], bucket_width)
-    counts = (df.groupBy(*keys, bucket.alias(BUCKET)).agg(F.count(F.lit(1)).alias("_cnt"))
-                .persist())
-    stats = (counts.groupBy(*keys).agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("b"))
-                   .agg(F.max("n").alias("max_n"), F.sum("b").alias("buckets"))).first()
+    def count_buckets(width):
+        b = bucket_of(df, order[0], width)
+        c = df.groupBy(*keys, b.alias(BUCKET)).agg(F.count(F.lit(1)).alias("_cnt")).persist()
+        st = (c.groupBy(*keys).agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("b"),
+                                   F.max("_cnt").alias("mb"))
+               .agg(F.max("n").alias("max_n"), F.sum("b").alias("buckets"),
+                    F.max("mb").alias("max_bucket"))).first()
+        return b, c, st
+
+    bucket, counts, stats = count_buckets(bucket_width)
     max_n = stats["max_n"] or 0
+    # a chunk never splits a bucket: when one bucket is dense enough to
+    # overfill a chunk, count once more with proportionally finer buckets
+    # (down to the order column's unit; rows sharing one exact timestamp stay
+    # together, their order among themselves being arbitrary anyway)
+    max_bucket = stats["max_bucket"] or 0
+    if max_n > chunk_rows and max_bucket > chunk_rows // 2:
+        finer = max(bucket_width * (chunk_rows // 4) / max_bucket, _min_width(df, order[0]))
+        if finer < bucket_width:
+            counts.unpersist()
+            bucket_width = finer
+            bucket, counts, stats = count_buckets(bucket_width)
 
     if max_n <= chunk_rows:
         counts.unpersist()
