@@ -68,10 +68,10 @@ def make_estimator(name: str, target: str = "demand", n_train: int | None = None
         # are split per pass), not the model: small enough that every task
         # slot of an executor can hold one
         return RandomForestRegressor(numTrees=100, maxDepth=10, featureSubsetStrategy="all",
-                                     seed=seed, maxMemoryInMB=64, **common)
+                                     seed=seed, maxMemoryInMB=16, **common)
     if name in ("gbt", "xgboost"):
         # no xgboost here: gradient-boosted trees with the same shape (M5)
-        return GBTRegressor(maxIter=100, maxDepth=5, stepSize=0.1, seed=seed, maxMemoryInMB=64,
+        return GBTRegressor(maxIter=100, maxDepth=5, stepSize=0.1, seed=seed, maxMemoryInMB=16,
                             **common)
     raise ValueError(f"unknown model {name!r}")
 
