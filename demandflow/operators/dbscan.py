@@ -105,7 +105,9 @@ def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     und = und.checkpoint(eager=True)
     lab = nodes.select(F.col("node"), F.col("node").alias("comp")).checkpoint(eager=True)
+    rounds = 0
     while True:
+        rounds += 1
         via = (und.join(lab, und["a"] == lab["node"])
                   .groupBy(und["b"].alias("node")).agg(F.min("comp").alias("c2")))
         new = (lab.join(via, "node", "left")
@@ -145,6 +147,10 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float,
     """Rows of ``df`` with a DBSCAN ``label`` (noise -1) and ``is_core``."""
     pts, side, d = _grid(df, id_col, cols, eps)
     counts, near, partial = _counts(pts, side, d, eps)
+    # the near-cell rows and boundary pairs feed core counts, edges and
+    # border labels: computed once, kept (spilling to disk if large)
+    near = near.select("id", "ncell", "full").persist()
+    partial = partial.persist()
     counts = counts.withColumn("core", F.col("n_neighbors") >= min_samples).persist()
     core = counts.where("core").select("id", "cell")
     # one node per cell holding cores: its smallest core id
