@@ -98,8 +98,11 @@ def arima_forecast(df: DataFrame, keys, ts: str, target: str, params: DataFrame,
     """Forecast every test row of every series from its parameters
     (``params``: keys, phi, theta). Returns keys, ts, h, actual, forecast."""
     keys = [keys] if isinstance(keys, str) else list(keys)
+    # read by the state aggregate and by the test rows: kept once instead of
+    # recomputing the input and its window twice (the two branches prune
+    # different columns, so the exchange could not be reused)
     pos = _with_positions(df, keys, ts, target, train_frac, **layout).join(
-        params.select(*keys, "phi", "theta"), keys)
+        params.select(*keys, "phi", "theta"), keys).persist()
     big_t = F.col("_ntrain") - 1
     u = F.when(F.col(S.ROW) >= 1,
                F.col("_d") - F.col("phi") * F.coalesce(F.col("_dprev"), F.lit(0.0)))

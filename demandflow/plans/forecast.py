@@ -69,7 +69,8 @@ def linear_one_feature(df: DataFrame, keys="series", ts="ts", target="demand",
                 "demand_lag168": F.lag(target, 168).over(w),
                 "demand_prev24_mean": F.avg(target).over(w.rowsBetween(-24, -1))}
     feats = S.with_series_windows(df.select(*keys, ts, target), keys, ts, 168, build, **layout)
-    split = S.chrono_split(feats.dropna(how="any"), keys, ts, train_frac=train_frac, **layout)
+    split = S.chrono_split(feats.dropna(how="any"), keys, ts, train_frac=train_frac,
+                           **layout).persist()                  # train and test branches
     coef = (split.where(F.col("split") == "train").groupBy(*keys)
                  .agg(F.regr_slope(target, feature).alias("slope"),
                       F.regr_intercept(target, feature).alias("intercept")))
