@@ -27,9 +27,9 @@ def cluster_means(df: DataFrame, label: str, features: Sequence[str],
 
 def cluster_sizes(df: DataFrame, label: str) -> DataFrame:
     """Rows per cluster and share of all rows in percent (A3)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("size"))
-    total = F.sum("size").over(Window.partitionBy())   # over the k count rows only
-    return counts.withColumn("pct", F.col("size") / total * 100)
+    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("size")).persist()
+    total = counts.agg(F.sum("size")).first()[0] or 0      # one number from k rows
+    return counts.withColumn("pct", F.col("size") / F.lit(total) * 100)
 
 
 def value_shares(df: DataFrame, label: str, col: str) -> DataFrame:

@@ -54,3 +54,18 @@ def test_oracle(spark, con, name):
 def test_rows_only(spark, name):
     df = E.queries()[name](spark, SMALL)
     assert df.count() >= 0
+
+
+PLAN_SKIP = SLOW | {"fit_linear", "fit_ridge", "ward_cluster", "ward_merges"}
+
+
+@pytest.mark.parametrize("name", sorted(set(E.queries()) - PLAN_SKIP))
+def test_plan_has_no_single_task_window_or_cross_product(spark, name):
+    """Scale guard: no window over the whole input in one task, no cartesian
+    product, no nested-loop join in any registered query."""
+    plan = E.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        assert "CartesianProduct" not in line and "BroadcastNestedLoopJoin" not in line, line
+        if "Window [" in line and i + 1 < len(lines):
+            assert "SinglePartition" not in lines[i + 1], line
