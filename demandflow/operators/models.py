@@ -38,8 +38,9 @@ def feature_table(df: DataFrame, keys="series", ts="ts", target="demand",
     out = FE.calendar_features(df, ts)
     out = FE.cyclical_features(out)
     out = S.series_features(out, keys, ts, target, lags=lags, windows=windows, **layout)
-    out = out.dropna(how="any")
-    return S.chrono_split(out, keys, ts, train_frac=train_frac, **layout)
+    bound = S.series_max_rows(out)              # dropping rows keeps series within it
+    return S.chrono_split(out.dropna(how="any"), keys, ts, train_frac=train_frac,
+                          max_rows=bound, **layout)
 
 
 def design(table: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -78,7 +78,8 @@ def checked_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT,
 
 def index_series(df: DataFrame, keys, order, halo: int = 0,
                  chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                 bucket_width: float = DEFAULT_BUCKET_WIDTH) -> tuple[DataFrame, WindowSpec]:
+                 bucket_width: float = DEFAULT_BUCKET_WIDTH,
+                 max_rows: int | None = None) -> tuple[DataFrame, WindowSpec]:
     """Add ``_row`` (0-based position by ``order`` inside the series), ``_n``
     (series length) and ``_halo`` (row is a copy from the previous chunk).
 
@@ -86,10 +87,16 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
     partitions hold at most about ``chunk_rows + halo`` rows. Window columns
     computed over it are exact for frames reaching back at most ``halo`` rows.
     Callers drop ``_halo`` rows afterwards (see :func:`with_series_windows`).
+
+    ``max_rows`` is an upper bound of rows per series already known to the
+    caller (e.g. from an earlier layout of the same rows before a filter);
+    when it fits one chunk the counting pass is skipped.
     """
     keys, order = _as_list(keys), _as_list(order)
     if halo >= chunk_rows:
         raise ValueError("halo must be smaller than chunk_rows")
+    if max_rows is not None and max_rows <= chunk_rows:
+        return _single_window(df, keys, order, max_rows)
     def count_buckets(width):
         b = bucket_of(df, order[0], width)
         c = df.groupBy(*keys, b.alias(BUCKET)).agg(F.count(F.lit(1)).alias("_cnt")).persist()
@@ -115,11 +122,7 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
 
     if max_n <= chunk_rows:
         counts.unpersist()
-        w = Window.partitionBy(*keys).orderBy(*order)
-        frame = (df.withColumn(ROW, F.row_number().over(w) - 1)
-                   .withColumn(N, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-                   .withColumn(HALO, F.lit(False)))
-        return frame, w
+        return _single_window(df, keys, order, max_n)
 
     # --- chunked plan: bucket table -> first row of each bucket -> chunks ----
     by_series = Window.partitionBy(*keys)
@@ -160,6 +163,20 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
     return frame, Window.partitionBy(*keys, CHUNK).orderBy(BUCKET, *order)
 
 
+def _single_window(df, keys, order, max_n):
+    w = Window.partitionBy(*keys).orderBy(*order)
+    frame = (df.withColumn(ROW, F.row_number().over(w) - 1)
+               .withColumn(N, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+               .withColumn(HALO, F.lit(False)))
+    frame.series_max_rows = max_n          # bound handed to later layouts of these rows
+    return frame, w
+
+
+def series_max_rows(df: DataFrame) -> int | None:
+    """Rows-per-series bound recorded by an earlier layout, if any."""
+    return getattr(df, "series_max_rows", None)
+
+
 def drop_helpers(df: DataFrame) -> DataFrame:
     return df.drop(*[c for c in HELPERS if c in df.columns])
 
@@ -170,7 +187,9 @@ def with_series_windows(df: DataFrame, keys, order, halo: int,
     """Add the columns returned by ``build(window)`` and return whole rows."""
     frame, w = index_series(df, keys, order, halo=halo, **layout)
     out = frame.withColumns(build(w)).where(~F.col(HALO))
-    return out.drop(*[c for c in HELPERS if c in out.columns and c not in keep])
+    out = out.drop(*[c for c in HELPERS if c in out.columns and c not in keep])
+    out.series_max_rows = series_max_rows(frame)
+    return out
 
 
 # --- window features (W1-W3, W6) ---------------------------------------------

@@ -16,8 +16,9 @@ def naive_forecast_metrics(df: DataFrame, keys="series", ts="ts", target="demand
     """Lag / rolling features -> drop incomplete rows -> chronological split
     -> seasonal-naive forecast on the test rows -> metrics per series."""
     feats = S.series_features(df, keys, ts, target, lags=lags, windows=windows, **layout)
-    feats = feats.dropna(how="any")
-    split = S.chrono_split(feats, keys, ts, train_frac=train_frac, **layout)
+    bound = S.series_max_rows(feats)            # dropping rows keeps series within it
+    split = S.chrono_split(feats.dropna(how="any"), keys, ts, train_frac=train_frac,
+                           max_rows=bound, **layout)
     test = (split.where(F.col("split") == "test")
                  .withColumn("predicted", F.col(f"{target}_lag{season}")))
     return M.regression_metrics(test, keys, actual=target, predicted="predicted")
@@ -47,8 +48,9 @@ def forecaster_predictions(df: DataFrame, keys="series", ts="ts", target="demand
                 "demand_lag168": F.lag(target, 168).over(w),
                 "demand_prev24_mean": F.avg(target).over(w.rowsBetween(-24, -1))}
     feats = S.with_series_windows(df.select(*keys, ts, target), keys, ts, 168, build, **layout)
-    feats = feats.dropna(how="any")
-    split = S.chrono_split(feats, keys, ts, train_frac=train_frac, **layout)
+    bound = S.series_max_rows(feats)
+    split = S.chrono_split(feats.dropna(how="any"), keys, ts, train_frac=train_frac,
+                           max_rows=bound, **layout)
     test = split.where(F.col("split") == "test")
     stacked = F.stack(F.lit(len(FORECASTERS)), *[x for m, c in FORECASTERS.items()
                                                  for x in (F.lit(m), F.col(c))])
@@ -70,7 +72,7 @@ def linear_one_feature(df: DataFrame, keys="series", ts="ts", target="demand",
                 "demand_prev24_mean": F.avg(target).over(w.rowsBetween(-24, -1))}
     feats = S.with_series_windows(df.select(*keys, ts, target), keys, ts, 168, build, **layout)
     split = S.chrono_split(feats.dropna(how="any"), keys, ts, train_frac=train_frac,
-                           **layout).persist()                  # train and test branches
+                           max_rows=S.series_max_rows(feats), **layout).persist()  # two branches
     coef = (split.where(F.col("split") == "train").groupBy(*keys)
                  .agg(F.regr_slope(target, feature).alias("slope"),
                       F.regr_intercept(target, feature).alias("intercept")))
