@@ -34,8 +34,8 @@ DEFAULT_CHUNK_ROWS = 1_000_000
 DEFAULT_BUCKET_WIDTH = 3600          # seconds for time columns; units for numbers
 BROADCAST_ROW_LIMIT = 2_000_000       # rows of a counted helper table we may broadcast
 
-ROW, N, HALO, CHUNK, BUCKET = "_row", "_n", "_halo", "_chunk", "_bucket"
-HELPERS = [ROW, N, HALO, CHUNK, BUCKET]
+ROW, N, HALO, CHUNK, BUCKET, TB = "_row", "_n", "_halo", "_chunk", "_bucket", "_tb"
+HELPERS = [ROW, N, HALO, CHUNK, BUCKET, TB]
 
 
 def _as_list(x) -> list[str]:
@@ -99,7 +99,9 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
         return _single_window(df, keys, order, max_rows)
     def count_buckets(width):
         b = bucket_of(df, order[0], width)
-        c = df.groupBy(*keys, b.alias(BUCKET)).agg(F.count(F.lit(1)).alias("_cnt")).persist()
+        c = (df.groupBy(*keys, b.alias(BUCKET))
+               .agg(F.count(F.lit(1)).alias("_cnt"),
+                    (F.min(order[0]) == F.max(order[0])).alias("_tied")).persist())
         st = (c.groupBy(*keys).agg(F.sum("_cnt").alias("n"), F.count(F.lit(1)).alias("b"),
                                    F.max("_cnt").alias("mb"))
                .agg(F.max("n").alias("max_n"), F.sum("b").alias("buckets"),
@@ -108,22 +110,49 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
 
     bucket, counts, stats = count_buckets(bucket_width)
     max_n = stats["max_n"] or 0
-    # a chunk never splits a bucket: when one bucket is dense enough to
-    # overfill a chunk, count once more with proportionally finer buckets
-    # (down to the order column's unit; rows sharing one exact timestamp stay
-    # together, their order among themselves being arbitrary anyway)
-    max_bucket = stats["max_bucket"] or 0
-    if max_n > chunk_rows and max_bucket > chunk_rows // 2:
+    # a chunk never splits a bucket: while one bucket is dense enough to
+    # overfill a chunk, count again with proportionally finer buckets (down
+    # to the order column's unit; exact ties are split below)
+    for _ in range(4):
+        max_bucket = stats["max_bucket"] or 0
+        if not (max_n > chunk_rows and max_bucket > chunk_rows // 2):
+            break
         finer = max(bucket_width * (chunk_rows // 4) / max_bucket, _min_width(df, order[0]))
-        if finer < bucket_width:
-            counts.unpersist()
-            bucket_width = finer
-            bucket, counts, stats = count_buckets(bucket_width)
+        if finer >= bucket_width:
+            break
+        counts.unpersist()
+        bucket_width = finer
+        bucket, counts, stats = count_buckets(bucket_width)
 
     if max_n <= chunk_rows:
         counts.unpersist()
         return _single_window(df, keys, order, max_n)
 
+    base = df.withColumn(BUCKET, bucket)
+    order_ext = list(order)
+    part = max(1, chunk_rows // 4)
+    heavy = (counts.where((F.col("_cnt") > chunk_rows // 2) & F.col("_tied"))
+                   .select(*keys, F.col(BUCKET).alias("_b0"),
+                           F.ceil(F.col("_cnt") / F.lit(part)).alias("_m")))
+    heavy = checked_broadcast(heavy)
+    if heavy.limit(1).count():
+        # buckets too large for a chunk whose rows share one exact order
+        # value: their order among themselves is arbitrary, so split them by
+        # a hash of the whole row, which also breaks the ties in every
+        # ordering (only byte-identical, interchangeable rows stay tied)
+        base = (df.withColumn(TB, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+                  .withColumn("_b0", bucket)
+                  .join(heavy, [*keys, "_b0"], "left")
+                  .withColumn(BUCKET, F.struct(F.col("_b0").alias("b"),
+                                               F.coalesce(F.pmod(F.col(TB), F.col("_m")),
+                                                          F.lit(0)).alias("s")))
+                  .drop("_b0", "_m"))
+        counts.unpersist()
+        counts = base.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_cnt")).persist()
+        stats = (counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
+                       .agg(F.sum("b").alias("buckets"))).first()
+        order_ext.append(TB)
+
     # --- chunked plan: bucket table -> first row of each bucket -> chunks ----
     by_series = Window.partitionBy(*keys)
     wb = by_series.orderBy(BUCKET)
@@ -150,17 +179,17 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
             .select(*keys, BUCKET, "_start", N, targets.alias("_targets")))
     bt = checked_broadcast(bt, rows=stats["buckets"])
 
-    frame = (df.withColumn(BUCKET, bucket)
+    frame = (base
                .join(bt, [*keys, BUCKET])
                .withColumn("_t", F.explode("_targets"))
                .withColumn(CHUNK, F.col("_t.k")).withColumn(HALO, F.col("_t.h"))
                .drop("_t", "_targets")
                .repartition(*keys, CHUNK))
-    in_bucket = Window.partitionBy(*keys, CHUNK, BUCKET).orderBy(*order)
+    in_bucket = Window.partitionBy(*keys, CHUNK, BUCKET).orderBy(*order_ext)
     frame = (frame.withColumn(ROW, F.col("_start") + F.row_number().over(in_bucket) - 1)
                   .drop("_start"))
     # ordering by (bucket, order) keeps one sort for both windows
-    return frame, Window.partitionBy(*keys, CHUNK).orderBy(BUCKET, *order)
+    return frame, Window.partitionBy(*keys, CHUNK).orderBy(BUCKET, *order_ext)
 
 
 def _single_window(df, keys, order, max_n):

@@ -96,3 +96,34 @@ def test_hot_hour_in_hot_series_is_split(spark):
     a = sorted(tuple(r) for r in plain.select(*cols).collect())
     b = sorted(tuple(r) for r in chunked.select(*cols).collect())
     assert a == b
+
+
+def test_hot_exact_timestamp_is_split(spark):
+    """A third of a series' rows share one exact timestamp: they are spread
+    over several chunks, every row keeps a unique position, and lags follow
+    the same order as the positions."""
+    import datetime as dt
+    base = dt.datetime(2024, 1, 1)
+    rows = [("hot", base + dt.timedelta(minutes=i), float(i)) for i in range(4000)]
+    rows += [("hot", base + dt.timedelta(minutes=1000), 10_000.0 + i) for i in range(2000)]
+    df = spark.createDataFrame(rows, "series string, ts timestamp_ntz, y double")
+    frame, w = S.index_series(df, "series", "ts", halo=1, chunk_rows=800)
+    sizes = frame.groupBy(S.CHUNK).count().agg(F.max("count")).first()[0]
+    assert sizes <= 800 + 1 + 200
+    own = frame.where(~F.col(S.HALO))
+    assert own.select(S.ROW).distinct().count() == 6000
+    assert own.agg(F.min(S.ROW), F.max(S.ROW)).first() == (0, 5999)
+    lagged = (frame.withColumn("prev_row", F.lag(S.ROW, 1).over(w))
+                   .withColumn("prev_ts", F.lag("ts", 1).over(w)).where(~F.col(S.HALO)))
+    assert lagged.where(F.col("prev_row").isNotNull()
+                        & (F.col("prev_row") != F.col(S.ROW) - 1)).count() == 0
+    assert lagged.where(F.col("prev_ts") > F.col("ts")).count() == 0      # time order kept
+    plain = S.series_features(df, "series", "ts", "y", lags=(1,), windows=(2,))
+    chunked = S.series_features(df, "series", "ts", "y", lags=(1,), windows=(2,), chunk_rows=800)
+    # outside the tied minute the results are identical
+    keep = F.col("ts") != F.lit(base + dt.timedelta(minutes=1000))
+    a = sorted(tuple(r) for r in plain.where(keep).where(
+        F.col("ts") != F.lit(base + dt.timedelta(minutes=1001))).collect())
+    b = sorted(tuple(r) for r in chunked.where(keep).where(
+        F.col("ts") != F.lit(base + dt.timedelta(minutes=1001))).collect())
+    assert a == b
