@@ -178,6 +178,11 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float,
     lab = (counts.select("id", "core").join(core_label, "id", "left").join(border, "id", "left")
                  .select(F.col("id").alias(id_col), F.col("core").alias("is_core"),
                          F.coalesce("cluster", "bcl", F.lit(-1)).alias(label)))
+    # the labels (one small row per point) are written to the checkpoint
+    # folder, so the cached intermediates can be released
+    lab = lab.checkpoint(eager=True)
+    for cached in (near, partial, counts):
+        cached.unpersist()
     return df.join(lab, id_col)
 
 
