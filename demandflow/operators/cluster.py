@@ -145,6 +145,7 @@ def cluster_centers(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int =
     stats = FE.scaler_stats(df, cols)
     vec = cached_vectors(df, cols)
     model = kmeans_best(vec, k, seed, n_init)
+    vec.unpersist()                               # the centres are on the driver now
     rows = [(i, *[float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
     centres = df.sparkSession.createDataFrame(
         rows, "cluster int, " + ", ".join(f"`{c}` double" for c in cols))
