@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from demandflow.functions.scalars import r6, ts_text
 from demandflow.operators import cluster as C
-from demandflow.operators import features as FE
 from demandflow.plans import sqlgen as G
 from demandflow.plans import views as V
 from demandflow.plans.catalog import query

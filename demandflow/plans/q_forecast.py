@@ -8,7 +8,6 @@ from demandflow.functions.scalars import r6
 from demandflow.functions.scalars import ts_text
 from demandflow.operators import arima as AR
 from demandflow.operators import metrics as M
-from demandflow.operators import series as S
 from demandflow.plans import forecast as FC
 from demandflow.plans import sqlgen as G
 from demandflow.plans import views as V
