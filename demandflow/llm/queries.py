@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandflow.llm import token_files as tf
+from demandflow.llm import simhash, token_files as tf
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -30,3 +30,10 @@ def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
 @query("op1_token_output")
 def _op1(spark, sf):
     return token_output(spark, read_table(spark, sf, "documents"))
+
+
+@query("op5_simhash_near_dedup")
+def _op5(spark, sf):
+    found = simhash.near_duplicates(read_table(spark, sf, "documents"), shingle=3, max_bits=3)
+    return found.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        "component_id")
