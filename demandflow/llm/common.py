@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from demandflow.session import ensure_checkpoint_dir
 
@@ -40,3 +40,15 @@ def ascii_lower(text: Column) -> Column:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ranked(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``rank`` (0, 1, ... in the order given, nulls first), by range
+    partitions and one count per partition: no window over all rows."""
+    parts = stored(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranked")
+    before, pairs = 0, [F.lit(-1), F.lit(0).cast("long")]
+    for part, n in sorted(parts.groupBy("_part").agg(F.count("*")).collect()):
+        pairs += [F.lit(part), F.lit(before).cast("long")]
+        before += n
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return parts.withColumn("rank", place + F.create_map(*pairs)[F.col("_part")]).drop("_part")

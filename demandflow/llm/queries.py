@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandflow.llm import simhash, token_files as tf
+from demandflow.llm import mixing, simhash, token_files as tf
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -37,3 +37,35 @@ def _op5(spark, sf):
     found = simhash.near_duplicates(read_table(spark, sf, "documents"), shingle=3, max_bits=3)
     return found.select(F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")
+
+
+MIX_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         (('0x' || substr(md5('17:' || doc_id::VARCHAR), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT source, source_size, list_extract([5.0, 2.0, 1.0], ((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3)::INT + 1)::DOUBLE AS weight FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / weight, source) AS k FROM w),
+c AS (SELECT *, (1.5 * sum(source_size) OVER ())::DOUBLE
+                - coalesce(sum(2.0 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+             sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open FROM o),
+l AS (SELECT coalesce((SELECT rest / open FROM c WHERE 2.0 * source_size > rest / open * weight ORDER BY k LIMIT 1), 'infinity'::DOUBLE) AS rate),
+t AS (SELECT source, source_size, least(2.0 * source_size, rate * weight) AS target FROM w, l),
+e AS (SELECT d.doc_id, d.size, t.source_size, t.target, d.source, d.u,
+             CASE WHEN t.source_size > 0 THEN least(2.0, t.target / t.source_size * 1.0) ELSE 0.0 END AS e
+      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (SELECT *, floor(e)::BIGINT AS whole,
+             CASE WHEN e > floor(e) THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS r FROM e),
+n AS (SELECT *, target - sum(whole * size) OVER (PARTITION BY source) AS need,
+             sum(CASE WHEN r IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY r NULLS LAST, doc_id ROWS UNBOUNDED PRECEDING) AS total FROM r)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN r IS NOT NULL AND total + total - size <= 2 * need THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM n
+"""
+
+
+@query("op9_mix_sources", MIX_SQL)
+def _op9(spark, sf):
+    mixed = mixing.mix(read_table(spark, sf, "documents"))
+    return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
