@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandflow.llm import mixing, simhash, token_files as tf
+from demandflow.llm import decontaminate, mixing, simhash, token_files as tf
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -69,3 +69,9 @@ FROM n
 def _op9(spark, sf):
     mixed = mixing.mix(read_table(spark, sf, "documents"))
     return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"))
+
+
+@query("op10_benchmark_decontamination")
+def _op10(spark, sf):
+    found = decontaminate.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), "n_windows", "n_exchanged", F.col("items").alias("item_ids"))
