@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandflow.llm import decontaminate, mixing, simhash, token_files as tf
+from demandflow.llm import decontaminate, mixing, simhash, token_files as tf, weighted_sampling
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -75,3 +75,8 @@ def _op9(spark, sf):
 def _op10(spark, sf):
     found = decontaminate.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
     return found.select(F.col("key").alias("doc_id"), "n_windows", "n_exchanged", F.col("items").alias("item_ids"))
+
+
+@query("op2_weighted_fingerprints")
+def _op2(spark, sf):
+    return weighted_sampling.edited_fingerprints(read_table(spark, sf, "documents")).withColumnRenamed("key", "doc_id")
