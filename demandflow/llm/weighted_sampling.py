@@ -22,6 +22,7 @@ its own next; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandflow.llm.common import words
@@ -29,6 +30,8 @@ from demandflow.llm.common import words
 #: Documents per key range, and the most ranges (beyond it ranges grow, results stay).
 RANGE_ROWS, MAX_RANGES = 2_000, 65_536
 LOWEST = -(2 ** 63)
+#: Slots handled by one row.
+AT_ONCE = 4
 
 
 def _key_ranges(df: DataFrame, order: Column) -> list[int]:
@@ -68,40 +71,55 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return dealt.select("range", F.row_number().over(w).alias("place"), "copy", "key", "text", F.lead("text").over(w).alias("next"))
 
 
-def _uniform(bits: Column, at: int, n: int) -> Column:
-    """A number strictly between 0 and 1 from ``n`` bits of a hash."""
-    part = F.shiftrightunsigned(bits, at).bitwiseAND(F.lit(2 ** n - 1).cast("long"))
-    return (part.cast("double") + 0.5) * F.lit(2.0 ** -n)
+def _gamma_quantiles(u: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) at probabilities ``u``: the root of 1 - (1 + x) exp(-x) = u, by bisection."""
+    low, high = np.zeros_like(u), np.full_like(u, 64.0)
+    for _ in range(100):
+        mid = (low + high) / 2
+        below = -np.expm1(-mid) - mid * np.exp(-mid) < u
+        low, high = np.where(below, mid, low), np.where(below, high, mid)
+    return (low + high) / 2
 
 
-def _samples(k: int) -> list[Column]:
-    """ln a of one word in slot k, for the weights whose logarithms are l0 and l1."""
-    one = F.xxhash64("term", F.lit(2 * k))
-    two = F.xxhash64("term", F.lit(2 * k + 1))
-    r = -F.log(_uniform(one, 0, 32) * _uniform(one, 32, 32))
-    ln_c = F.log(-F.log(_uniform(two, 0, 21) * _uniform(two, 21, 21)))
-    b = _uniform(two, 42, 22)
-    return [ln_c, r, b]
+def _table(values: np.ndarray) -> Column:
+    """A constant array (one literal string that the optimizer folds)."""
+    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+
+
+def _random(k: Column) -> tuple[Column, Column, Column]:
+    """ln c, r and b of a word in slot ``k``, from the bits of one hash: quantiles of the gamma law,
+    4096 equal parts, the lowest of c in 4096 further parts (that is where the least are found)."""
+    mid = (np.arange(4096) + 0.5) / 4096
+    h = F.xxhash64("term", k)
+    part = lambda at: F.shiftrightunsigned(h, at).bitwiseAND(F.lit(4095).cast("long")).cast("int")
+    ln_c = F.when(part(12) == 0, F.get(_table(np.log(_gamma_quantiles(mid / 4096))), part(24))).otherwise(
+        F.get(_table(np.log(_gamma_quantiles(mid))), part(12)))
+    b = (F.shiftrightunsigned(h, 36).cast("double") + 0.5) * F.lit(2.0 ** -28)
+    return ln_c, F.get(_table(_gamma_quantiles(mid)), part(0)), b
 
 
 def signatures(rows: DataFrame, slots: int) -> DataFrame:
     """``rows`` (range, place, text, edited) to (range, place, own, other): arrays of the least
     ln a per slot of the text and of the edited text. Both texts' words are counted together, so a
-    word's random numbers are made once."""
+    word's random numbers are made once. A row handles a few slots at a time: code of that
+    size is compiled well."""
     both = rows.select("range", "place", words(F.lower("text")).alias("w"), words(F.lower("edited")).alias("e"))
     terms = both.select("range", "place", F.size("w").alias("n"), F.posexplode_outer(F.concat("w", "e")).alias("pos", "word"))
     counted = terms.groupBy("range", "place", F.xxhash64("word").alias("term")).agg(
         F.sum((F.col("pos") < F.col("n")).cast("int")).alias("c0"), F.sum((F.col("pos") >= F.col("n")).cast("int")).alias("c1"))
-    logs = counted.select("range", "place", "term", F.when(F.col("c0") > 0, F.log("c0")).alias("l0"), F.when(F.col("c1") > 0, F.log("c1")).alias("l1"))
-    parts = [_samples(k) for k in range(slots)]
-    random = logs.select("range", "place", "l0", "l1", *[c.alias(f"{n}{k}") for k, p in enumerate(parts) for n, c in zip("crb", p)])
+    logs = counted.select("range", "place", "term", F.when(F.col("c0") > 0, F.log("c0")).alias("l0"), F.when(F.col("c1") > 0, F.log("c1")).alias("l1"),
+                          F.explode(F.array(*[F.lit(g) for g in range(0, slots, AT_ONCE)])).alias("g"))
+    some = range(min(AT_ONCE, slots))
+    random = logs.select("range", "place", "g", "l0", "l1", *[c.alias(f"{n}{k}") for k in some for n, c in zip("crb", _random(F.col("g") + k))])
 
     def least(log: str, k: int) -> Column:
         c, r, b = (F.col(f"{n}{k}") for n in "crb")
         return F.min(c - r * (F.floor(F.col(log) / r + b) - b) - r).alias(f"{log}_{k}")
 
-    found = random.groupBy("range", "place").agg(*[least(x, k) for x in ("l0", "l1") for k in range(slots)])
-    return found.select("range", "place", *[F.array(*[F.col(f"{x}_{k}") for k in range(slots)]).alias(n) for x, n in (("l0", "own"), ("l1", "other"))])
+    found = random.groupBy("range", "place", "g").agg(*[least(x, k) for x in ("l0", "l1") for k in some])
+    arrays = [F.array(*[F.col(f"{x}_{k}") for k in some]).alias(x) for x in ("l0", "l1")]
+    lists = found.select("range", "place", F.struct("g", *arrays).alias("s")).groupBy("range", "place").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return lists.select("range", "place", F.flatten("s.l0").alias("own"), F.flatten("s.l1").alias("other"))
 
 
 def likeness(a: Column, b: Column) -> Column:
