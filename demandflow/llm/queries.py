@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandflow.llm import decontaminate, mixing, simhash, token_files as tf, weighted_sampling
+from demandflow.llm import decontaminate, mixing, simhash, subword, token_files as tf, weighted_sampling
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -80,3 +80,15 @@ def _op10(spark, sf):
 @query("op2_weighted_fingerprints")
 def _op2(spark, sf):
     return weighted_sampling.edited_fingerprints(read_table(spark, sf, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with ``_score``, learned from the labels outside fold 1 of 3."""
+    return subword.with_score(docs, labels.where(~subword.in_fold(F.col("doc_id"), 3, 1)), "quality")
+
+
+@query("op6_quality_classifier")
+def _op6(spark, sf):
+    scored = quality(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+    scored = scored.select("doc_id", subword.in_fold(F.col("doc_id"), 3, 1).alias("held_out"), F.col("_score").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
