@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from demandflow.llm import decontaminate, mixing, simhash, subword, token_files as tf, weighted_sampling
+from demandflow.llm import decontaminate, mixing, neighbours, simhash, subword, token_files as tf, weighted_sampling
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -92,3 +92,11 @@ def _op6(spark, sf):
     scored = quality(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
     scored = scored.select("doc_id", subword.in_fold(F.col("doc_id"), 3, 1).alias("held_out"), F.col("_score").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op8_toxicity_neighbours")
+def _op8(spark, sf):
+    labels = read_table(spark, sf, "labels").where(~subword.in_fold(F.col("doc_id"), 5, 0))
+    scored = neighbours.with_neighbours(read_table(spark, sf, "documents"), labels, "toxic")
+    scored = scored.select("doc_id", subword.in_fold(F.col("doc_id"), 5, 0).alias("held_out"), F.col("_near.score").alias("score"), "_near.evidence")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")

@@ -166,7 +166,7 @@ def sample(labelled: DataFrame, docs: DataFrame, key: str, text: str, label: str
     rows = rows.withColumn("n", F.length("text")).where(F.col("n") <= max_chars).groupBy(key, "label").agg(F.min("text").alias("text"), F.min("n").alias("n"))
     rows = stored(rows, "sample")
     fits = rows.select(key, F.sum("n").over(Window.orderBy(F.xxhash64(key), key)).alias("total")).where(F.col("total") <= max_chars)
-    return rows.join(fits, key).orderBy(key).select("label", "text").collect()
+    return rows.join(fits, key).orderBy(key).select(F.col(key).alias("key"), "label", "text").collect()
 
 
 def with_score(docs: DataFrame, labelled: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text",
