@@ -32,7 +32,10 @@ from demandflow.llm.subword import calibrate, sample
 from demandflow.session import ship_package
 
 #: Bound of the sample: labelled rows and characters of their texts.
-MAX_ROWS, MAX_CHARS = 12_000, 64_000_000
+MAX_ROWS, MAX_CHARS = 6_000, 48_000_000
+STEMS = (4, 5, 6, 7)
+#: Words whose known terms a Python worker remembers.
+CACHE = 200_000
 K, BLOCK = 15, 64
 #: Chi-square and number of examples from which a term is used; the most terms.
 MIN_CHI2, MIN_DOCS, MAX_TERMS = 40.0, 8, 4096
@@ -42,7 +45,12 @@ NEAR, PRIOR = 0.05, 1.0
 _TERM = re.compile(r"\w+")
 
 
-def terms(text: str | None) -> list[str]:
+def forms(word: str) -> list[str]:
+    """The terms of a word: itself, and its beginnings of 4 to 7 letters (marked by a hyphen)."""
+    return [word, *(word[:n] + "-" for n in STEMS if len(word) > n)]
+
+
+def tokens(text: str | None) -> list[str]:
     return _TERM.findall((text or "").lower())
 
 
@@ -55,15 +63,16 @@ class BlockMaxIndex:
             if t not in seen:
                 seen.add(t)
                 keep.append(i)
-        counts = [Counter(terms(texts[i])) for i in keep]
+        del seen
         self.labels = np.asarray(labels, dtype=np.float64)[keep] if keep else np.zeros(0)
         self.ids = [ids[i] for i in keep]
         n, pos = len(keep), float(self.labels.sum())
         have, with_label = Counter(), Counter()
-        for c, y in zip(counts, self.labels):
-            have.update(c.keys())
+        for i, y in zip(keep, self.labels):
+            found = {f for w in set(tokens(texts[i])) for f in forms(w)}
+            have.update(found)
             if y:
-                with_label.update(c.keys())
+                with_label.update(found)
         chi2 = {}
         for w, d in have.items():
             if d >= MIN_DOCS:
@@ -74,8 +83,10 @@ class BlockMaxIndex:
                     chi2[w] = x
         chosen = sorted(chi2, key=lambda w: (-chi2[w], w))[:MAX_TERMS]
         self.vocabulary = {w: j for j, w in enumerate(chosen)}
+        self.known: dict[str, list[int]] = {}
         self.idf = np.array([np.log((n + 1) / (have[w] + 0.5)) for w in chosen])
-        vectors = [self.vector(c) for c in counts]
+        del have, with_label
+        vectors = [self.vector(texts[i]) for i in keep]
         none = [i for i, (t, _) in enumerate(vectors) if not len(t)]
         self.base = float((self.labels[none].sum() + 0.5) / (len(none) + 1)) if n else 0.5
         # neighbours in a block share their strongest term, which keeps the maxima tight
@@ -98,14 +109,21 @@ class BlockMaxIndex:
             raw[i] = self.vote(self.nearest(*vectors[i], skip=i))
         self.slope, self.offset = calibrate(_logit(raw), self.labels) if 0 < pos < n else (1.0, 0.0)
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms and their weights, unit length."""
-        found = sorted(self.vocabulary[w] for w in counts.keys() & self.vocabulary.keys())
+        known, vocabulary, found = self.known, self.vocabulary, []
+        for w in tokens(text):
+            got = known.get(w)
+            if got is None:
+                if len(known) >= CACHE:
+                    known.clear()
+                got = known[w] = [vocabulary[f] for f in forms(w) if f in vocabulary]
+            if got:
+                found += got
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        t = np.array(found)
-        names = {j: w for w, j in ((w, self.vocabulary[w]) for w in counts.keys() & self.vocabulary.keys())}
-        w = np.array([1 + np.log(counts[names[j]]) for j in found]) * self.idf[t]
+        t, c = np.unique(np.array(found), return_counts=True)
+        w = (1 + np.log(c)) * self.idf[t]
         return t, w / np.sqrt(w @ w)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = K, skip: int = -1) -> list[tuple[float, int]]:
@@ -136,7 +154,7 @@ class BlockMaxIndex:
         return float((w @ self.labels[[i for _, i in near]] + prior * self.base) / (w.sum() + prior))
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(*self.vector(Counter(w for w in terms(text) if w in self.vocabulary)))
+        near = self.nearest(*self.vector(text))
         z = _logit(np.array([self.vote(near)]))[0]
         return float(1 / (1 + np.exp(-(self.slope * z + self.offset)))), near
 
