@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from demandflow.llm import decontaminate, mixing, neighbours, simhash, subword, token_files as tf, weighted_sampling
+from demandflow.llm import decontaminate, mixing, neighbours, pii, secrets, simhash, subword, token_files as tf, weighted_sampling
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -100,3 +100,28 @@ def _op8(spark, sf):
     scored = neighbours.with_neighbours(read_table(spark, sf, "documents"), labels, "toxic")
     scored = scored.select("doc_id", subword.in_fold(F.col("doc_id"), 5, 0).alias("held_out"), F.col("_near.score").alias("score"), "_near.evidence")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def _listed(spans: Column) -> Column:
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def _count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+
+@query("op3_personal_data")
+def _op3(spark, sf):
+    found = pii.with_personal_data(read_table(spark, sf, "documents")).select("doc_id", "_personal")
+    base = F.filter("_personal", lambda s: s.base)
+    return found.select("doc_id", *[_count(F.col("_personal"), k) for k in pii.KINDS],
+                        F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_personal")).alias("spans"))
+
+
+@query("op4_secret_scan")
+def _op4(spark, sf):
+    found = secrets.with_secrets(read_table(spark, sf, "documents")).select("doc_id", "_secrets")
+    base = F.filter("_secrets", lambda s: s.kind.isin(*secrets.BASE_KINDS))
+    return found.select("doc_id", *[_count(F.col("_secrets"), k) for k in secrets.BASE_KINDS],
+                        F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_secrets")).alias("spans"))
