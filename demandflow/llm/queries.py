@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from demandflow.llm import decontaminate, mixing, neighbours, pii, secrets, simhash, subword, token_files as tf, weighted_sampling
+from demandflow.llm import decontaminate, html_text, mixing, neighbours, pii, secrets, simhash, subword, token_files as tf, weighted_sampling
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -125,3 +125,9 @@ def _op4(spark, sf):
     base = F.filter("_secrets", lambda s: s.kind.isin(*secrets.BASE_KINDS))
     return found.select("doc_id", *[_count(F.col("_secrets"), k) for k in secrets.BASE_KINDS],
                         F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("_secrets")).alias("spans"))
+
+
+@query("op7_html_main_text")
+def _op7(spark, sf):
+    pages = html_text.with_main_text(read_table(spark, sf, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("_main").alias("text"), F.char_length("_main").cast("long").alias("n_chars"))
