@@ -2,9 +2,13 @@
 
 Model on the differences d_t = y_t - y_{t-1}:
     d_t = phi * d_{t-1} + e_t + theta * e_{t-1}
-Fitting is conditional least squares (e and d before the window are 0),
-done per series in ``applyInPandas`` on a bounded train window (the last
-``max_train`` train rows, as the reference fits on the last 1,000 rows).
+Fitting is conditional least squares (e and d before the first row are 0) on
+all train rows of the series, by a grid of (phi, theta) pairs refined around
+the best. No task holds a whole series: inside a chunk of consecutive rows the
+residual is affine in the residual that comes in, e = u + v * e_in, so a chunk
+returns per pair the outgoing u and v and the sums of u*u, u*v and v*v. The
+chunks of a series are then combined in order, which gives exactly the sum of
+squares of one pass over all rows.
 
 Forecasting needs only (y_T, d_T, e_T) per series and is plain Spark SQL:
 e_T unrolls to sum_t (-theta)^(T-t) * (d_t - phi * d_{t-1}), a grouped
@@ -20,43 +24,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandflow.operators import series as S
-from demandflow.session import ship_package
+from demandflow.session import ensure_checkpoint_dir, ship_package
 
 BOUND = 0.99
+STEPS = (0.05, 0.01, 0.002)
+CHUNK_ROWS = 100_000
+TERMS = ["u", "v", "uu", "uv", "vv"]
+
+
+def grid(box: tuple[float, float, float, float], step: float) -> tuple[np.ndarray, np.ndarray]:
+    """The (phi, theta) pairs of a box (phi from, to, theta from, to)."""
+    axes = [np.arange(box[i], box[i + 1] + step / 2, step) for i in (0, 2)]
+    p, t = np.meshgrid(*axes, indexing="ij")
+    return p.ravel(), t.ravel()
+
+
+def chunk_terms(d: np.ndarray, prev: np.ndarray, phis: np.ndarray, thetas: np.ndarray) -> dict:
+    """What a chunk does to the residual that comes in, for every pair."""
+    u, v = np.zeros_like(phis), np.ones_like(phis)
+    uu, uv, vv = np.zeros_like(phis), np.zeros_like(phis), np.zeros_like(phis)
+    for x, x1 in zip(d, prev):
+        u = x - phis * x1 - thetas * u
+        v = -thetas * v
+        uu += u * u
+        uv += u * v
+        vv += v * v
+    return dict(zip(TERMS, (u, v, uu, uv, vv)))
+
+
+def combine(chunks: list[dict]) -> np.ndarray:
+    """Sum of squares per pair over the chunks of one series, in order."""
+    e = ss = 0.0
+    for c in chunks:
+        ss = ss + c["uu"] + 2 * e * c["uv"] + e * e * c["vv"]
+        e = c["u"] + c["v"] * e
+    return ss
 
 
-def _css(d: np.ndarray, phis: np.ndarray, thetas: np.ndarray) -> np.ndarray:
-    """Sum of squared conditional residuals for every (phi, theta) pair."""
-    e = np.zeros_like(phis)
-    prev_d = 0.0
-    ss = np.zeros_like(phis)
-    for x in d:
-        e = x - phis * prev_d - thetas * e
-        ss += e * e
-        prev_d = x
-    return ss
+def narrowed(phi: float, theta: float, step: float) -> tuple[float, float, float, float]:
+    """The box around the best pair for the next, finer grid."""
+    return (max(-BOUND, phi - 2 * step), min(BOUND, phi + 2 * step),
+            max(-BOUND, theta - 2 * step), min(BOUND, theta + 2 * step))
 
 
-def fit_css(y: np.ndarray, steps=(0.05, 0.01, 0.002)) -> tuple[float, float, float]:
-    """(phi, theta, sigma2) minimising the conditional sum of squares by a
-    vectorised grid refined around the best point."""
-    y = np.asarray(y, dtype=float)
-    d = np.diff(y)
+def fit_css(y: np.ndarray, steps=STEPS, chunk_rows: int | None = None) -> tuple[float, float, float]:
+    """(phi, theta, sigma2) of one series in memory, in chunks as the
+    distributed fit has them (one chunk if not given)."""
+    d = np.diff(np.asarray(y, dtype=float))
     if len(d) < 3:
         return 0.0, 0.0, float("nan")
-    lo_p, hi_p, lo_t, hi_t = -BOUND, BOUND, -BOUND, BOUND
-    best = (0.0, 0.0)
+    prev = np.r_[0.0, d[:-1]]
+    size = chunk_rows or len(d)
+    box = (-BOUND, BOUND, -BOUND, BOUND)
     for step in steps:
-        ps = np.arange(lo_p, hi_p + step / 2, step)
-        ts = np.arange(lo_t, hi_t + step / 2, step)
-        P, T = np.meshgrid(ps, ts, indexing="ij")
-        ss = _css(d, P.ravel(), T.ravel())
+        p, t = grid(box, step)
+        ss = combine([chunk_terms(d[k:k + size], prev[k:k + size], p, t) for k in range(0, len(d), size)])
         i = int(np.argmin(ss))
-        best = (float(P.ravel()[i]), float(T.ravel()[i]))
-        lo_p, hi_p = max(-BOUND, best[0] - 2 * step), min(BOUND, best[0] + 2 * step)
-        lo_t, hi_t = max(-BOUND, best[1] - 2 * step), min(BOUND, best[1] + 2 * step)
-    ss = _css(d, np.array([best[0]]), np.array([best[1]]))[0]
-    return round(best[0], 6), round(best[1], 6), float(ss / len(d))
+        box = narrowed(p[i], t[i], step)
+    return round(float(p[i]), 6), round(float(t[i]), 6), float(ss[i] / len(d))
 
 
 def _with_positions(df, keys, ts, target, train_frac, **layout):
@@ -71,32 +96,59 @@ def _with_positions(df, keys, ts, target, train_frac, **layout):
 
 
 def fit_arima(df: DataFrame, keys, ts: str, target: str, train_frac: float = 0.8,
-              max_train: int = 1000, **layout) -> DataFrame:
-    """One (phi, theta, sigma2) row per series, fitted on the last
-    ``max_train`` rows of its train part."""
+              chunk_rows: int = CHUNK_ROWS, **layout) -> DataFrame:
+    """One (phi, theta, sigma2, n_train) row per series, fitted on all rows of
+    its train part (with fewer than three differences: 0, 0, NaN)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    pos = _with_positions(df, keys, ts, target, train_frac, **layout)
-    window = pos.where((F.col(S.ROW) < F.col("_ntrain"))
-                       & (F.col(S.ROW) >= F.col("_ntrain") - max_train))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(S.ROW)
-        phi, theta, s2 = fit_css(pdf[target].to_numpy())
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        row.update(phi=[phi], theta=[theta], sigma2=[s2], n_train=[len(pdf)])
-        return pd.DataFrame(row)
-
     ship_package(df.sparkSession)
-    schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    schema += ", phi double, theta double, sigma2 double, n_train long"
-    return (window.select(*keys, S.ROW, target)
-                  .groupBy(*keys).applyInPandas(fit, schema))
+    pos = _with_positions(df, keys, ts, target, train_frac, **layout)
+    train = pos.where(F.col(S.ROW) < F.col("_ntrain"))
+    rows = train.select(*keys, S.ROW, "_d", F.coalesce("_dprev", F.lit(0.0)).alias("_dprev"),
+                        F.floor(F.col(S.ROW) / chunk_rows).cast("long").alias("_c")).persist()
+    named = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    boxes = rows.select(*keys).distinct().select(
+        *keys, *[F.lit(x).alias(f"_b{i}") for i, x in enumerate((-BOUND, BOUND, -BOUND, BOUND))])
+
+    def round_(boxes: DataFrame, step: float) -> DataFrame:
+        def terms(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(S.ROW)
+            box = tuple(pdf[f"_b{i}"].iloc[0] for i in range(4))
+            inner = pdf[pdf[S.ROW] >= 1]          # the first row of a series has no difference
+            got = chunk_terms(inner["_d"].to_numpy(float), inner["_dprev"].to_numpy(float), *grid(box, step))
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "_c": [pdf["_c"].iloc[0]], "_n": [len(pdf)],
+                                 **{f"_b{i}": [box[i]] for i in range(4)}, **{t: [x] for t, x in got.items()}})
+
+        def best(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_c")
+            n = int(pdf["_n"].sum())
+            p, t = grid(tuple(pdf[f"_b{i}"].iloc[0] for i in range(4)), step)
+            ss = combine([{x: np.asarray(r[x]) for x in TERMS} for _, r in pdf.iterrows()])
+            i = int(np.argmin(ss))
+            fitted = n > 3
+            phi, theta = (float(p[i]), float(t[i])) if fitted else (0.0, 0.0)
+            box = narrowed(phi, theta, step)
+            return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{f"_b{i}": [box[i]] for i in range(4)},
+                                 "phi": [round(phi, 6)], "theta": [round(theta, 6)],
+                                 "sigma2": [float(ss[i] / (n - 1)) if fitted else float("nan")], "n_train": [n]})
+        boxed = ", ".join(f"_b{i} double" for i in range(4))
+        chunk = rows.join(boxes, keys).groupBy(*keys, "_c").applyInPandas(
+            terms, f"{named}, _c long, _n long, {boxed}, " + ", ".join(f"{t} array<double>" for t in TERMS))
+        return chunk.groupBy(*keys).applyInPandas(
+            best, f"{named}, {boxed}, phi double, theta double, sigma2 double, n_train long")
+
+    ensure_checkpoint_dir(df.sparkSession)
+    for step in STEPS:                            # one row per series: cut, not nested
+        fit = round_(boxes, step).checkpoint(eager=True)
+        boxes = fit.select(*keys, *[f"_b{i}" for i in range(4)])
+    rows.unpersist()
+    return fit.select(*keys, "phi", "theta", "sigma2", "n_train")
 
 
 def arima_forecast(df: DataFrame, keys, ts: str, target: str, params: DataFrame,
-                   train_frac: float = 0.8, **layout) -> DataFrame:
+                   train_frac: float = 0.8, carry=(), **layout) -> DataFrame:
     """Forecast every test row of every series from its parameters
-    (``params``: keys, phi, theta). Returns keys, ts, h, actual, forecast."""
+    (``params``: keys, phi, theta). Returns keys, ts, h, actual, forecast and
+    the columns named in ``carry`` (which need no join, whatever the ties)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     # read by the state aggregate and by the test rows: kept once instead of
     # recomputing the input and its window twice (the two branches prune
@@ -117,4 +169,4 @@ def arima_forecast(df: DataFrame, keys, ts: str, target: str, params: DataFrame,
     step = phi * F.coalesce(F.col("_dT"), F.lit(0.0)) + theta * F.coalesce(F.col("_eT"), F.lit(0.0))
     fc = F.col("_yT") + step * (1 - F.pow(phi, h)) / (1 - phi)
     return test.select(*keys, ts, h.cast("long").alias("h"), F.col(target).alias("actual"),
-                       fc.alias("forecast"))
+                       fc.alias("forecast"), *carry)

@@ -71,12 +71,17 @@ def column_means(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def impute_mean(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Fill nulls (and NaN) of numeric columns with the column mean (L2).
     Fit/transform like ``Imputer``: one aggregate gives one value per
-    column, applied as literals."""
+    column, applied as literals. Integer columns become double, so a
+    fractional mean is kept."""
     cols = list(cols or numeric_columns(df))
     means = column_means(df, cols).first()             # one value per column
-    return df.withColumns({c: F.coalesce(_nan_to_null(c, df.schema[c].dataType),
-                                         F.lit(means[c]).cast(df.schema[c].dataType))
-                           for c in cols})
+
+    def filled(c):
+        dt = df.schema[c].dataType
+        to = dt if isinstance(dt, (T.FloatType, T.DoubleType)) else T.DoubleType()
+        mean = F.lit(None if means[c] is None else float(means[c])).cast(to)
+        return F.coalesce(_nan_to_null(c, dt).cast(to), mean)
+    return df.withColumns({c: filled(c) for c in cols})
 
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -142,27 +147,37 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str] | None = None, factor: float
     cols = list(cols or numeric_columns(df))
     bounds = iqr_bounds(df, cols, factor=factor).persist()
     b = _bounds(bounds)
+
+    def outside(c):                      # NaN counts as missing; no bounds, no outlier
+        x, (low, high) = _nan_to_null(c, df.schema[c].dataType), b.get(c, (None, None))
+        return (x < F.lit(low).cast("double")) | (x > F.lit(high).cast("double"))
     counted = df.agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if((F.col(c) < F.lit(b[c][0])) | (F.col(c) > F.lit(b[c][1]))).alias(f"_out_{c}")
-          for c in cols])
+        *[F.count_if(outside(c)).alias(f"_out_{c}") for c in cols])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_out_{c}").alias("n_outliers"))
                         for c in cols])
     counts = counted.select("_rows", F.inline(entries))
-    return (bounds.join(counts, "column")
+    return (counts.join(bounds, "column", "left")
+                  .select("column", "q1", "q3", "iqr", "lower", "upper", "n_outliers", "_rows")
                   .withColumn("pct_outliers", F.col("n_outliers") / F.col("_rows") * 100)
                   .drop("_rows"))
 
 
 def cap_outliers(df: DataFrame, cols: Sequence[str] | None = None, factor: float = 1.5,
                  bounds: DataFrame | None = None) -> DataFrame:
-    """Clip each column to its IQR bounds; nulls stay null."""
+    """Clip each column to its IQR bounds (L7). Nulls stay null and NaN, which
+    counts as missing, becomes null; a column without values is left as it is."""
     cols = list(cols or numeric_columns(df))
     bounds = bounds if bounds is not None else iqr_bounds(df, cols, factor=factor)
     b = _bounds(bounds)
-    # greatest/least skip nulls, so a null is kept explicitly
-    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(
-        F.greatest(F.col(c), F.lit(b[c][0])), F.lit(b[c][1]))) for c in cols})
+
+    def capped(c):
+        if c not in b or b[c][0] is None:
+            return F.col(c)
+        x = _nan_to_null(c, df.schema[c].dataType)
+        # greatest/least skip nulls, so a null is kept explicitly
+        return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(b[c][0])), F.lit(b[c][1])))
+    return df.withColumns({c: capped(c) for c in cols})
 
 
 def capping_report(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:

@@ -20,18 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandflow.operators import features as FE
+from demandflow.operators.clean import impute_mean
 
 VEC = "_features"
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = VEC) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="skip").transform(df)
+    return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="error").transform(df)
 
 
 def scaled_vectors(df: DataFrame, cols: Sequence[str], out: str = VEC) -> DataFrame:
-    """Standardise (population std, N4) and assemble into one vector column."""
-    return assemble(FE.standardize(df, cols, suffix="__z"), [f"{c}__z" for c in cols], out) \
-        .drop(*[f"{c}__z" for c in cols])
+    """Impute missing values (null, NaN) with the column mean, standardise
+    (population std, N4) and assemble into one vector column. Every row is
+    kept; a column without any value contributes zeros."""
+    filled = FE.standardize(impute_mean(df, cols), cols, suffix="__z")
+    filled = filled.withColumns({f"{c}__z": F.coalesce(F.col(f"{c}__z"), F.lit(0.0)) for c in cols})
+    return assemble(filled, [f"{c}__z" for c in cols], out).drop(*[f"{c}__z" for c in cols])
 
 
 ROWS_PER_PARTITION = 1_000_000
@@ -44,7 +48,7 @@ def cached_vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     merged (``coalesce``, no shuffle) while large inputs keep their spread."""
     vec = scaled_vectors(df, cols).persist()
     n = vec.count()
-    want = max(1, -(-n // ROWS_PER_PARTITION))
+    want = max(df.sparkSession.sparkContext.defaultParallelism, -(-n // ROWS_PER_PARTITION))
     if want < vec.rdd.getNumPartitions():
         small = vec.coalesce(want).persist()
         small.count()
@@ -218,8 +222,8 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     counts: one grouped aggregate, then sums over its cells."""
     cont = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("nij"))
 
-    def c2(x):
-        return x * (x - 1) / 2
+    def c2(x):                       # in double: the product of counts may exceed a long
+        return x.cast("double") * (x.cast("double") - 1) / 2
     # cells, row sums and column sums as one long table, summed in one pass
     parts = (cont.select(F.lit("ij").alias("kind"), F.col("nij").alias("v"))
              .unionByName(cont.groupBy(a).agg(F.sum("nij").alias("v")).select(F.lit("a").alias("kind"), "v"))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -89,8 +90,8 @@ def fit_predict(data: DataFrame, name: str, target: str = "demand", **kw):
 
 def evaluate(pred: DataFrame, name: str, keys=("series",), target: str = "demand",
              baseline: str = "demand_lag24") -> DataFrame:
-    """Metrics on the test rows per series, and pooled, with improvement
-    over the seasonal-naive forecast on the same rows (M10, E1, E2)."""
+    """Metrics on the test rows per group of ``keys``, with improvement over
+    the seasonal-naive forecast on the same rows (M10, E1, E2)."""
     keys = list(keys)
     test = pred.where(F.col("split") == "test")
     m = M.regression_metrics(test, keys, target, "predicted").withColumn("model", F.lit(name))
@@ -112,40 +113,33 @@ def stacking(data: DataFrame, bases: Sequence[str], keys=("series",), ts: str =
     K-fold), a ridge model on those, bases refit on all train rows.
     Returns ``data`` with ``predicted``."""
     keys = list(keys)
-    train = data.where(F.col("split") == "train")
-    folds = S.stacking_folds(train.select(*keys, ts), keys, ts, n_folds, **layout)
-    data = data.join(folds, [*keys, ts], "left").persist()    # read by every fit
-    full = data.where(F.col("split") == "train")
+    # the fold is a column of the rows themselves and every base adds a column of
+    # predictions: nothing is joined, so rows with tied times stay single
+    train = S.stacking_folds(data.where(F.col("split") == "train"), keys, ts, n_folds, **layout).persist()
 
     def fit_one(job):
-        # one base model on one fold (f) or on all train rows (f is None)
+        # one base model without fold f, or on all train rows (f is None)
         b, f = job
-        if f is None:
-            return _sized(b, full, target, alpha).fit(full).transform(data) \
-                .select(*keys, ts, F.col("predicted").alias(b))
-        fold_train = data.where((F.col("split") == "train") & (F.col("fold") != f))
-        fold_pred = data.where(F.col("fold") == f)
-        return _sized(b, fold_train, target, alpha).fit(fold_train).transform(fold_pred) \
-            .select(*keys, ts, F.col("predicted").alias(b))
+        rows = train if f is None else train.where(F.col("fold") != f)
+        return _sized(b, rows, target, alpha).fit(rows)
+
+    def predict(rows, f):
+        for b in bases:
+            rows = fitted[(b, f)].transform(rows).withColumnRenamed("predicted", b)
+        return rows
 
     jobs = [(b, f) for f in [*range(n_folds), None] for b in bases]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:   # independent fits, concurrent jobs
         fitted = dict(zip(jobs, pool.map(fit_one, jobs)))
-    oof = None
-    for f in range(n_folds):
-        part = None
-        for b in bases:
-            part = fitted[(b, f)] if part is None else part.join(fitted[(b, f)], [*keys, ts])
-        oof = part if oof is None else oof.unionByName(part)
-    preds = data.drop("fold")
-    for b in bases:
-        preds = preds.join(fitted[(b, None)], [*keys, ts])
-    meta_train = oof.join(data.select(*keys, ts, target), [*keys, ts])
+    oof = [predict(train.where(F.col("fold") == f), f).select(target, *bases) for f in range(n_folds)]
+    meta_train = reduce(DataFrame.unionByName, oof)
+    preds = predict(data, None)
     meta_in = assemble(meta_train, list(bases), "_m")
     st = meta_in.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
     meta = LinearRegression(featuresCol="_m", labelCol=target, predictionCol="predicted",
                             solver="normal", regParam=alpha * (st["s"] or 1.0) / max(st["n"], 1),
                             elasticNetParam=0.0, standardization=False).fit(meta_in)
+    train.unpersist()
     return meta.transform(assemble(preds, list(bases), "_m")).drop("_m")
 
 

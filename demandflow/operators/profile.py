@@ -78,14 +78,14 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, keys: Sequence[st
     column and group (R3). Long form: keys..., column, statistics."""
     keys = list(keys)
     cols = list(cols or numeric_columns(df, exclude=keys))
-    long = (df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
-              .unpivot(keys, cols, "column", "x")
-              .where(F.col("x").isNotNull() & ~F.isnan("x")))
+    # NaN is a missing value; a column without values keeps its row (count 0)
+    long = (df.select(*keys, *[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in cols])
+              .unpivot(keys, cols, "column", "x"))
     moments = long.groupBy(*keys, "column").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"),
+        F.count("x").alias("count"), F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
     names = [f"p{int(round(p * 100))}" for p in probs]
-    q = quantile_wide(df, cols, probs, keys, names=names, long=long)
+    q = quantile_wide(df, cols, probs, keys, names=names, long=long.where(F.col("x").isNotNull()))
     return (moments.join(q, [*keys, "column"], "left")
                    .select(*keys, "column", "count", "mean", "std", "min", *names, "max"))
 

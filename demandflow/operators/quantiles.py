@@ -69,7 +69,14 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     todo = t.where(F.col("m") > limit)
     finished = [done]
     rounds = 0
-    while todo.limit(1).count() and rounds < 8:
+    open_before = None
+    while True:
+        # a bracket that no longer shrinks holds few distinct, tied values: what is left
+        # is counted per value below, so no task gathers more than those
+        left = todo.agg(F.count(F.lit(1)), F.sum("m")).first()
+        if not left[0] or tuple(left) == open_before:
+            break
+        open_before = tuple(left)
         rounds += 1
         # approximate grid of each open bracket; in the first round every
         # bracket of a group is the whole group, so one sketch per group
@@ -119,10 +126,20 @@ def quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         ensure_checkpoint_dir(tt.sparkSession)
         tt = tt.checkpoint(eager=True)
         n_targets = tt.count()
-    # count each distinct value once (map-side combining collapses ties),
-    # then keep the values inside each target's bracket
-    values = long.groupBy(*g, "x").agg(F.count(F.lit(1)).alias("c"))
-    per_value = inside(values, tt.select(*g, "p", "lo", "hi", "below", "k1", "k2"))
+    # count each distinct value once (map-side combining collapses ties). A narrowed
+    # bracket is applied to the rows before the shuffle on the value; groups that were
+    # small from the start have no bracket and are counted once for all targets.
+    want = tt.select(*g, "p", "lo", "hi", "below", "k1", "k2")
+    if rounds:
+        narrow = inside(long, want.where(F.col("lo").isNotNull() | F.col("hi").isNotNull()))
+        per_value = narrow.groupBy(*g, "p", "lo", "hi", "below", "k1", "k2", "x").agg(F.count(F.lit(1)).alias("c"))
+        whole = want.where(F.col("lo").isNull() & F.col("hi").isNull())
+        some = whole.select(*g).distinct()
+        values = long.join(some, g).groupBy(*g, "x").agg(F.count(F.lit(1)).alias("c"))
+        per_value = per_value.unionByName(inside(values, whole))
+    else:
+        values = long.groupBy(*g, "x").agg(F.count(F.lit(1)).alias("c"))
+        per_value = inside(values, want)
     w = Window.partitionBy(*g, "p").orderBy("x")
     ranked = (per_value.withColumn("cum", F.col("below") + F.sum("c").over(w))
                        .withColumn("first", F.col("cum") - F.col("c")))

@@ -32,7 +32,7 @@ from demandflow.functions.scalars import epoch_micros
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 DEFAULT_BUCKET_WIDTH = 3600          # seconds for time columns; units for numbers
-BROADCAST_ROW_LIMIT = 2_000_000       # rows of a counted helper table we may broadcast
+BROADCAST_BYTES = 32 << 20            # estimated size up to which a counted helper table is broadcast
 
 ROW, N, HALO, CHUNK, BUCKET, TB = "_row", "_n", "_halo", "_chunk", "_bucket", "_tb"
 HELPERS = [ROW, N, HALO, CHUNK, BUCKET, TB]
@@ -66,14 +66,29 @@ def _min_width(df: DataFrame, col: str) -> float:
     return 1e-9
 
 
-def checked_broadcast(small: DataFrame, row_limit: int = BROADCAST_ROW_LIMIT,
-                      rows: int | None = None) -> DataFrame:
-    """Broadcast ``small`` only when its counted row number is under the limit;
-    otherwise leave the join to a shuffle (AQE still splits skewed keys)."""
+def row_bytes(schema: T.StructType) -> int:
+    """Estimated bytes of a row; generous for types without a fixed width."""
+    fixed = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return 32 + sum(16 if isinstance(f.dataType, fixed) else 256 for f in schema.fields)
+
+
+def checked_broadcast(small: DataFrame, rows: int | None = None) -> DataFrame:
+    """Broadcast ``small`` only when its counted rows times their estimated width stay
+    under ``BROADCAST_BYTES``; otherwise the join is left to a shuffle (AQE still splits
+    skewed keys and measures sizes itself)."""
     if rows is None:
         small = small.persist()
         rows = small.count()
-    return F.broadcast(small) if rows <= row_limit else small
+    return F.broadcast(small) if rows * row_bytes(small.schema) <= BROADCAST_BYTES else small
+
+
+def with_tie_break(df: DataFrame) -> DataFrame:
+    """Adds a hash of the whole row: rows of equal order are placed by it in every layout,
+    so positions, lags and splits do not depend on the input's row order (only
+    interchangeable rows stay tied)."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in HELPERS
+            and "map<" not in f.dataType.simpleString()]
+    return df.withColumn(TB, F.xxhash64(*cols))
 
 
 def index_series(df: DataFrame, keys, order, halo: int = 0,
@@ -128,8 +143,9 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
         counts.unpersist()
         return _single_window(df, keys, order, max_n)
 
+    df = with_tie_break(df)
     base = df.withColumn(BUCKET, bucket)
-    order_ext = list(order)
+    order_ext = [*order, TB]
     part = max(1, chunk_rows // 4)
     heavy = (counts.where((F.col("_cnt") > chunk_rows // 2) & F.col("_tied"))
                    .select(*keys, F.col(BUCKET).alias("_b0"),
@@ -140,8 +156,7 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
         # value: their order among themselves is arbitrary, so split them by
         # a hash of the whole row, which also breaks the ties in every
         # ordering (only byte-identical, interchangeable rows stay tied)
-        base = (df.withColumn(TB, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
-                  .withColumn("_b0", bucket)
+        base = (df.withColumn("_b0", bucket)
                   .join(heavy, [*keys, "_b0"], "left")
                   .withColumn(BUCKET, F.struct(F.col("_b0").alias("b"),
                                                F.coalesce(F.pmod(F.col(TB), F.col("_m")),
@@ -151,7 +166,6 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
         counts = base.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_cnt")).persist()
         stats = (counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("b"))
                        .agg(F.sum("b").alias("buckets"))).first()
-        order_ext.append(TB)
 
     # --- chunked plan: bucket table -> first row of each bucket -> chunks ----
     by_series = Window.partitionBy(*keys)
@@ -193,8 +207,8 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
 
 
 def _single_window(df, keys, order, max_n):
-    w = Window.partitionBy(*keys).orderBy(*order)
-    frame = (df.withColumn(ROW, F.row_number().over(w) - 1)
+    w = Window.partitionBy(*keys).orderBy(*order, TB)
+    frame = (with_tie_break(df).withColumn(ROW, F.row_number().over(w) - 1)
                .withColumn(N, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
                .withColumn(HALO, F.lit(False)))
     frame.series_max_rows = max_n          # bound handed to later layouts of these rows

@@ -35,11 +35,10 @@ FORECASTERS = {
 }
 
 
-def forecaster_predictions(df: DataFrame, keys="series", ts="ts", target="demand",
-                           train_frac=0.8, **layout) -> DataFrame:
-    """Long table (keys, ts, split, model, actual, predicted) over the test
-    rows of each series, after dropping rows whose features are incomplete
-    (as ``dropna`` before the split)."""
+def complete_rows(df: DataFrame, keys="series", ts="ts", target="demand",
+                  **layout) -> tuple[DataFrame, int | None]:
+    """The rows every forecaster is fitted and scored on: window features added,
+    rows with an incomplete one dropped; and the bound of rows per series."""
     keys = [keys] if isinstance(keys, str) else list(keys)
 
     def build(w):
@@ -48,9 +47,17 @@ def forecaster_predictions(df: DataFrame, keys="series", ts="ts", target="demand
                 "demand_lag168": F.lag(target, 168).over(w),
                 "demand_prev24_mean": F.avg(target).over(w.rowsBetween(-24, -1))}
     feats = S.with_series_windows(df.select(*keys, ts, target), keys, ts, 168, build, **layout)
-    bound = S.series_max_rows(feats)
-    split = S.chrono_split(feats.dropna(how="any"), keys, ts, train_frac=train_frac,
-                           max_rows=bound, **layout)
+    return feats.dropna(how="any"), S.series_max_rows(feats)
+
+
+def forecaster_predictions(df: DataFrame, keys="series", ts="ts", target="demand",
+                           train_frac=0.8, **layout) -> DataFrame:
+    """Long table (keys, ts, split, model, actual, predicted) over the test
+    rows of each series, after dropping rows whose features are incomplete
+    (as ``dropna`` before the split)."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows, bound = complete_rows(df, keys, ts, target, **layout)
+    split = S.chrono_split(rows, keys, ts, train_frac=train_frac, max_rows=bound, **layout)
     test = split.where(F.col("split") == "test")
     stacked = F.stack(F.lit(len(FORECASTERS)), *[x for m, c in FORECASTERS.items()
                                                  for x in (F.lit(m), F.col(c))])
@@ -64,15 +71,8 @@ def linear_one_feature(df: DataFrame, keys="series", ts="ts", target="demand",
     train rows (``regr_slope`` / ``regr_intercept``, grouped aggregates),
     then metrics of its predictions on the test rows (M1, one-feature form)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-
-    def build(w):
-        return {"demand_lag1": F.lag(target, 1).over(w),
-                "demand_lag24": F.lag(target, 24).over(w),
-                "demand_lag168": F.lag(target, 168).over(w),
-                "demand_prev24_mean": F.avg(target).over(w.rowsBetween(-24, -1))}
-    feats = S.with_series_windows(df.select(*keys, ts, target), keys, ts, 168, build, **layout)
-    split = S.chrono_split(feats.dropna(how="any"), keys, ts, train_frac=train_frac,
-                           max_rows=S.series_max_rows(feats), **layout).persist()  # two branches
+    rows, bound = complete_rows(df, keys, ts, target, **layout)
+    split = S.chrono_split(rows, keys, ts, train_frac=train_frac, max_rows=bound, **layout).persist()  # two branches
     coef = (split.where(F.col("split") == "train").groupBy(*keys)
                  .agg(F.regr_slope(target, feature).alias("slope"),
                       F.regr_intercept(target, feature).alias("intercept")))

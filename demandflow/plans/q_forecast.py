@@ -181,7 +181,7 @@ ARIMA_CTES = [
     ("ai", """SELECT series, ts, demand, demand - lag(demand, 1) OVER w AS d,
         lag(demand, 1) OVER w - lag(demand, 2) OVER w AS dprev,
         row_number() OVER w - 1 AS rn, count(*) OVER (PARTITION BY series) AS cnt
-        FROM h WINDOW w AS (PARTITION BY series ORDER BY ts)"""),
+        FROM (SELECT series, ts, demand FROM fs) WINDOW w AS (PARTITION BY series ORDER BY ts)"""),
     ("ast", f"""SELECT series, arg_max(demand, rn) AS yT, arg_max(d, rn) AS dT,
         sum(CASE WHEN rn >= 1 THEN pow(-{ARIMA_THETA}, floor(cnt * 0.8) - 1 - rn)
                  * (d - {ARIMA_PHI} * coalesce(dprev, 0)) END) AS eT
@@ -194,7 +194,8 @@ ARIMA_CTES = [
 
 
 def _arima_given(spark, sf):
-    h = V.hourly(spark, sf)
+    """On the same complete rows and split as the other forecasters."""
+    h, _ = FC.complete_rows(V.hourly(spark, sf))
     params = h.select("series").distinct().select(
         "series", F.lit(ARIMA_PHI).alias("phi"), F.lit(ARIMA_THETA).alias("theta"))
     return AR.arima_forecast(h, "series", "ts", "demand", params)
@@ -202,7 +203,7 @@ def _arima_given(spark, sf):
 
 @query("arima_forecast_given_params", V.with_views(
     f"SELECT series, {G.ts_text('ts')} AS ts, h, actual, round(forecast, 6) AS forecast FROM af",
-    "h", ctes=ARIMA_CTES))
+    "h", ctes=PRED_CTES + ARIMA_CTES))
 def q_arima_forecast_given_params(spark, sf):
     out = _arima_given(spark, sf)
     return out.select("series", ts_text("ts").alias("ts"), "h", "actual", r6("forecast").alias("forecast"))

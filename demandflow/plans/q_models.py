@@ -67,18 +67,16 @@ def q_fit_stacking(spark, sf):
     return out.select(*OUT).withColumns({c: r6(c) for c in OUT[3:]})
 
 
-def _arima_eval(spark, sf, first_test_rows=100):
-    """Per-series ARIMA(1,1,1) on the last 1,000 train rows, scored on the
-    first ``first_test_rows`` test rows next to the seasonal-naive forecast
-    of the same rows (Q15)."""
-    h = V.hourly(spark, sf)
-    params = AR.fit_arima(h, "series", "ts", "demand").persist()
-    fc = AR.arima_forecast(h, "series", "ts", "demand", params)
-    naive = (MO.feature_table(h, lags=(24,), windows=(6,))
-               .select("series", "ts", "demand_lag24"))
-    rows = fc.where(F.col("h") <= first_test_rows).join(naive, ["series", "ts"], "left")
-    m = M.regression_metrics(rows, ["series"], "actual", "forecast").withColumn("model", F.lit("arima"))
-    b = M.regression_metrics(rows, ["series"], "actual", "demand_lag24")
+def _arima_eval(spark, sf, table=None):
+    """Per-series ARIMA(1,1,1) on the rows and the split of the other models:
+    fitted on all train rows, scored on all test rows next to the
+    seasonal-naive forecast of the same rows."""
+    rows = (table if table is not None else MO.feature_table(V.weather(spark, sf))).select(
+        "series", "ts", "demand", "demand_lag24")
+    params = AR.fit_arima(rows, "series", "ts", "demand")
+    test = AR.arima_forecast(rows, "series", "ts", "demand", params, carry=["demand_lag24"])
+    m = M.regression_metrics(test, ["series"], "actual", "forecast").withColumn("model", F.lit("arima"))
+    b = M.regression_metrics(test, ["series"], "actual", "demand_lag24")
     return M.improvement_over_baseline(m, b, ["series"]).join(params, "series")
 
 
@@ -90,38 +88,54 @@ def q_fit_arima(spark, sf):
 
 @query("arima_forecast")
 def q_arima_forecast(spark, sf):
-    h = V.hourly(spark, sf)
-    params = AR.fit_arima(h, "series", "ts", "demand")
-    fc = AR.arima_forecast(h, "series", "ts", "demand", params)
+    rows = MO.feature_table(V.weather(spark, sf)).select("series", "ts", "demand")
+    params = AR.fit_arima(rows, "series", "ts", "demand")
+    fc = AR.arima_forecast(rows, "series", "ts", "demand", params)
     return fc.select("series", ts_text("ts").alias("ts"), "h", "actual", r6("forecast").alias("forecast"))
 
 
-def forecast_report(spark, sf, models=("linear", "random_forest", "xgboost", "arima")):
-    """The forecast request of the web app for every series and several
-    models at once (M8): metrics, normalised metrics, score and grade."""
-    data = None
-    frames = []
+def forecast_report(spark, sf, models=("linear", "random_forest", "xgboost", "arima"), stack: int = 0):
+    """The forecast request of the web app for every series and several models at
+    once (M8, E5): a seasonal-naive baseline row, every fitted model on the same test
+    rows, with ``stack`` also the stacking of that many best models by mean MAE, then
+    improvement, normalised metrics, score, grade and rank per series."""
+    for name in models:
+        if name != "arima":
+            MO.make_estimator(name)               # unknown names fail before any job
+    data = _data(spark, sf)
+    test = data.where(F.col("split") == "test")
+    base = M.regression_metrics(test, ["series"], "demand", "demand_lag24")
+    frames = [M.improvement_over_baseline(base.withColumn("model", F.lit("naive")), base, ["series"])]
     for name in models:
         if name == "arima":
-            frames.append(_arima_eval(spark, sf).drop("phi", "theta", "sigma2", "n_train"))
-            continue
-        MO.make_estimator(name)                   # unknown names fail before any job
-        data = data if data is not None else _data(spark, sf)
-        _, pred = MO.fit_predict(data, name)
-        frames.append(MO.evaluate(pred, name))
+            frames.append(_arima_eval(spark, sf, data).drop("phi", "theta", "sigma2", "n_train"))
+        else:
+            frames.append(MO.evaluate(MO.fit_predict(data, name)[1], name))
+    if stack:
+        fitted = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames[1:])
+        order = fitted.where(F.col("model") != "arima").groupBy("model").agg(F.avg("mae").alias("m")).orderBy("m", "model")
+        best = [r.model for r in order.limit(stack).collect()]        # names of models
+        frames.append(MO.evaluate(MO.stacking(data, best), "stacking"))
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return M.performance_score(M.normalized_metrics(out))
+    return M.performance_score(M.normalized_metrics(M.rank_models(out, ["series"])))
 
 
 @query("forecast_report")
 def q_forecast_report(spark, sf):
     out = forecast_report(spark, sf)
-    cols = ["mae", "rmse", "r2", "mape", "mae_norm", "rmse_norm", "r2_norm", "mape_norm",
+    cols = ["mae", "rmse", "r2", "mape", "mae_improvement", "mae_norm", "rmse_norm", "r2_norm", "mape_norm",
             "performance_score"]
-    return out.select("series", "model", *cols, "performance_grade").withColumns(
+    return out.select("series", "model", "n", "rank", *cols, "performance_grade").withColumns(
         {c: r6(c) for c in cols})
 
 
+@query("stack_best_models")
+def q_stack_best_models(spark, sf):
+    """Stacking on the three best fitted models by MAE, ranked with them."""
+    out = forecast_report(spark, sf, ("linear", "ridge", "random_forest", "xgboost"), stack=3)
+    return out.select("series", "model", "rank", *[r6(c).alias(c) for c in ("mae", "rmse", "mae_improvement")])
+
+
 @query("sample_rows")
 def q_sample_rows(spark, sf):
     """100 rows drawn without replacement by a seeded random order (O6): a
