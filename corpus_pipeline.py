@@ -10,17 +10,18 @@ passed through up to the last stage, an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from demandflow.llm import decontaminate, mixing, simhash
-from demandflow.llm.common import read_table, stored
+from demandflow.llm.common import free_name, read_table, stored
 from demandflow.llm.queries import quality, token_output
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents scored below 0.5 go."""
-    scored = quality(docs, read_table(spark, sf_dir, "labels"))
-    return scored.where("_score >= 0.5").select(*docs.columns)
+    out = free_name(docs, "_score")
+    scored = quality(docs, read_table(spark, sf_dir, "labels"), out)
+    return scored.where(F.col(out) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

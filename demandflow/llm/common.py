@@ -26,6 +26,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` is called so."""
+    while name in df.columns:
+        name = "_" + name
+    return name
+
+
 def words(text: Column) -> Column:
     """Words (runs without white space) as an array; empty for null or blank."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from demandflow.llm.common import stored
+from demandflow.llm.common import free_name, stored
 
 NUMBER, NAME, UNIT = "", "", ""
 #: Words that stand for numbers, and units that may follow one.
@@ -131,6 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **p
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **parameters) -> DataFrame:
     """The rows of ``docs`` that hold no passage of the benchmark; columns unchanged."""
-    bad = stored(contaminated(docs, benchmark, key=key, text=text, **parameters).select("row_hash").distinct(), "contaminated")
-    marked = docs.withColumn("_row", F.xxhash64(F.col(key), F.col(text).cast("string")))
-    return marked.join(bad, F.col("_row") == F.col("row_hash"), "left_anti").select(*docs.columns)
+    row, other = free_name(docs, "_row"), free_name(docs, "_bad")
+    bad = stored(contaminated(docs, benchmark, key=key, text=text, **parameters).select(F.col("row_hash").alias(other)).distinct(), "contaminated")
+    marked = docs.withColumn(row, F.xxhash64(F.col(key), F.col(text).cast("string")))
+    return marked.join(bad, F.col(row) == F.col(other), "left_anti").select(*docs.columns)

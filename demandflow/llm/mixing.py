@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from demandflow.llm.common import ranked, stored, words
+from demandflow.llm.common import free_name, ranked, stored, words
 
 #: Bins per division of a source's rank range; documents of a bin ranked one by one.
 BINS, EXACT = 4096, 10_000
@@ -137,8 +137,8 @@ def _cuts(cand: DataFrame, need: DataFrame) -> DataFrame:
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weight: str | None = None, cycle: tuple = (5, 2, 1), share: float = 1.5,
-        max_copies: int = 2, seed: int = 17) -> DataFrame:
-    """``df`` with ``_mix``: struct of size, source_size, target (of its source) and copies."""
+        max_copies: int = 2, seed: int = 17, out: str = "_mix") -> DataFrame:
+    """``df`` with column ``out``: struct of size, source_size, target (of its source) and copies."""
     given = F.lit(1.0) if weight is None else F.greatest(F.lit(0.0), F.coalesce(F.col(weight).cast("double"), F.lit(0.0)))
     own = {"size": F.size(words(F.col(text))).cast("long"), "w": given, "u": uniform(F.col(key), seed),
            "key": F.coalesce(F.col(key).cast("string"), F.lit("")), "tag": F.xxhash64(F.coalesce(F.col(text), F.lit("")))}
@@ -149,17 +149,22 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     each = slim.join(r, _same(slim, r)).select("source", "target", "size", "key", "tag", F.floor(e).alias("whole"), _at(e, F.col("u")).alias("at"))
     need = stored(each.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")), "need")
     cuts = _named(_cuts(each.where("at is not null").select("source", "size", "at", "key", "tag"), need))
-    plan = stored(rates.join(cuts, _same(rates, cuts)).select(F.col("source").alias("source_"), "source_size", "target", "rate", "cut"), "plan")
-    rows = df.select(*df.columns, F.struct(F.col(source).cast("string").alias("source"), *[c.alias(n) for n, c in own.items()]).alias("_own"))
-    j = rows.join(plan, F.col("_own.source").eqNullSafe(F.col("source_")))
-    e = F.least(F.lit(float(max_copies)), F.col("rate") * F.col("_own.w"))
-    at = _at(e, F.col("_own.u"))
-    order = F.struct(at.alias("at"), F.col("_own.key").alias("key"), F.col("_own.tag").alias("tag"))
-    copies = F.floor(e).cast("long") + F.when(at.isNotNull() & (order <= F.col("cut")), 1).otherwise(0).cast("long")
-    return j.select(*[rows[c] for c in df.columns], F.struct(F.col("_own.size").alias("size"), "source_size", "target", copies.alias("copies")).alias("_mix"))
+    plan = rates.join(cuts, _same(rates, cuts)).select("source", "source_size", "target", "rate", "cut")
+    mine, name, theirs = (free_name(df, n) for n in ("_own", "_source", "_plan"))
+    plan = stored(plan.select(F.col("source").alias(name), F.struct("source_size", "target", "rate", "cut").alias(theirs)), "plan")
+    rows = df.withColumn(mine, F.struct(F.col(source).cast("string").alias("source"), *[c.alias(n) for n, c in own.items()]))
+    j = rows.join(plan, F.col(f"{mine}.source").eqNullSafe(F.col(name)))
+    e = F.least(F.lit(float(max_copies)), F.col(f"{theirs}.rate") * F.col(f"{mine}.w"))
+    at = _at(e, F.col(f"{mine}.u"))
+    order = F.struct(at.alias("at"), F.col(f"{mine}.key").alias("key"), F.col(f"{mine}.tag").alias("tag"))
+    copies = F.floor(e).cast("long") + F.when(at.isNotNull() & (order <= F.col(f"{theirs}.cut")), 1).otherwise(0).cast("long")
+    return j.select(*[F.col(f"`{c}`") for c in df.columns if c != out], F.struct(
+        F.col(f"{mine}.size").alias("size"), F.col(f"{theirs}.source_size").alias("source_size"),
+        F.col(f"{theirs}.target").alias("target"), copies.alias("copies")).alias(out))
 
 
 def copies(df: DataFrame, **parameters) -> DataFrame:
     """The mixed documents: each row of ``df`` as often as the mix takes it."""
-    mixed = mix(df, **parameters)
-    return mixed.where("_mix.copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).select(*df.columns)
+    out = free_name(df, "_mix")
+    mixed = mix(df, out=out, **parameters).where(F.col(f"{out}.copies") > 0)
+    return mixed.withColumn(out, F.explode(F.sequence(F.lit(1), F.col(f"{out}.copies").cast("int")))).select(*df.columns)

@@ -82,9 +82,9 @@ def _op2(spark, sf):
     return weighted_sampling.edited_fingerprints(read_table(spark, sf, "documents")).withColumnRenamed("key", "doc_id")
 
 
-def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``_score``, learned from the labels outside fold 1 of 3."""
-    return subword.with_score(docs, labels.where(~subword.in_fold(F.col("doc_id"), 3, 1)), "quality")
+def quality(docs: DataFrame, labels: DataFrame, out: str = "_score") -> DataFrame:
+    """``docs`` with column ``out``, learned from the labels outside fold 1 of 3."""
+    return subword.with_score(docs, labels.where(~subword.in_fold(F.col("doc_id"), 3, 1)), "quality", out=out)
 
 
 @query("op6_quality_classifier")

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from demandflow.llm.common import stored
+from demandflow.llm.common import free_name, stored
 from demandflow.llm.components import components
 from demandflow.session import ship_package
 
@@ -212,8 +212,9 @@ def one_per_group(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     rank = F.struct(F.col("key").isNull(), F.col("key"), F.col("row_hash"))
     # by fingerprint first: a group of copies is reduced before the shuffle on its component
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")).agg(F.min(rank).alias("best"))
-    keep = stored(best.select(F.col("best.key").alias("_key"), F.col("best.row_hash").alias("_hash")), "keep")
+    row, own, other = (free_name(df, n) for n in ("_row", "_key", "_hash"))
+    keep = stored(best.select(F.col("best.key").alias(own), F.col("best.row_hash").alias(other)), "keep")
     k, t = F.col(key).cast("long"), F.col(text).cast("string")
-    hashed = df.withColumn("_row", F.xxhash64(k, t))
-    kept = hashed.join(keep, (F.col("_row") == F.col("_hash")) & k.eqNullSafe(F.col("_key")), "left_semi")
-    return kept.dropDuplicates(["_row", key]).select(*df.columns)
+    hashed = df.withColumn(row, F.xxhash64(k, t))
+    kept = hashed.join(keep, (F.col(row) == F.col(other)) & k.eqNullSafe(F.col(own)), "left_semi")
+    return kept.dropDuplicates([row, key]).select(*df.columns)

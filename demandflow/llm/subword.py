@@ -170,8 +170,8 @@ def sample(labelled: DataFrame, docs: DataFrame, key: str, text: str, label: str
 
 
 def with_score(docs: DataFrame, labelled: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text",
-               max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, bits: int = BITS) -> DataFrame:
-    """``docs`` with ``_score``: the probability of label 1, learned from ``labelled`` (key, label)."""
+               max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, bits: int = BITS, out: str = "_score") -> DataFrame:
+    """``docs`` with column ``out``: the probability of label 1, learned from ``labelled`` (key, label)."""
     ship_package(docs.sparkSession)
     rows = sample(labelled, docs, key, text, label, max_rows, max_chars)
     numbers, bias = fit([r.text for r in rows], np.array([r.label for r in rows], dtype=np.int64), bits)
@@ -182,8 +182,9 @@ def with_score(docs: DataFrame, labelled: DataFrame, label: str = "quality", key
         table, b = model.value
         return texts.map(lambda t: score(t if isinstance(t, str) else "", table, b, bits)).astype("float64")
 
-    return docs.withColumn("_score", scored(F.col(text).cast("string")))
+    return docs.withColumn(out, scored(F.col(text).cast("string")))
 
 
 def in_fold(key: Column, folds: int, fold: int) -> Column:
-    return F.crc32(key.cast("string")) % folds == fold
+    """Whether crc32 of the key as text (a null key: the empty text) has that remainder."""
+    return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % folds == fold
