@@ -98,7 +98,7 @@ def _with_positions(df, keys, ts, target, train_frac, **layout):
 def fit_arima(df: DataFrame, keys, ts: str, target: str, train_frac: float = 0.8,
               chunk_rows: int = CHUNK_ROWS, **layout) -> DataFrame:
     """One (phi, theta, sigma2, n_train) row per series, fitted on all rows of
-    its train part (with fewer than three differences: 0, 0, NaN)."""
+    its train part (with fewer than three differences: 0, 0 and no sigma2)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
     ship_package(df.sparkSession)
     pos = _with_positions(df, keys, ts, target, train_frac, **layout)
@@ -129,7 +129,7 @@ def fit_arima(df: DataFrame, keys, ts: str, target: str, train_frac: float = 0.8
             box = narrowed(phi, theta, step)
             return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, **{f"_b{i}": [box[i]] for i in range(4)},
                                  "phi": [round(phi, 6)], "theta": [round(theta, 6)],
-                                 "sigma2": [float(ss[i] / (n - 1)) if fitted else float("nan")], "n_train": [n]})
+                                 "sigma2": [float(ss[i] / (n - 1)) if fitted else None], "n_train": [n]})
         boxed = ", ".join(f"_b{i} double" for i in range(4))
         chunk = rows.join(boxes, keys).groupBy(*keys, "_c").applyInPandas(
             terms, f"{named}, _c long, _n long, {boxed}, " + ", ".join(f"{t} array<double>" for t in TERMS))

@@ -117,7 +117,7 @@ def q_list_series(spark, sf):
           AND ts BETWEEN TIMESTAMP '2024-01-03 00:00:00' AND TIMESTAMP '2024-01-20 00:00:00'""",
     "h"))
 def q_filter_series_time(spark, sf):
-    h = V.hourly(spark, sf)
-    out = S.filter_series(h, "series", "CLICK")
-    out = S.filter_time(out, "ts", "2024-01-03 00:00:00", "2024-01-20 00:00:00")
+    start, end = "2024-01-03 00:00:00", "2024-01-20 00:00:00"
+    out = S.filter_series(V.hourly(spark, sf, start, end), "series", "CLICK")
+    out = S.filter_time(out, "ts", start, end)
     return out.select("series", ts_text("ts").alias("ts"), "demand")

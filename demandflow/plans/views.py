@@ -29,8 +29,14 @@ def _hour(ts):
     return trunc_ntz(ts, "hour")
 
 
-def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def hourly(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """With ``start``/``end`` (hours wanted, inclusive) the equivalent range of the stored
+    time is filtered before the aggregate, so that it reaches the scan."""
     ev = table(spark, sf_dir, "events")
+    if start is not None:
+        ev = ev.where(F.col("ts") >= F.lit(start).cast("timestamp_ntz"))
+    if end is not None:
+        ev = ev.where(F.col("ts") < F.lit(end).cast("timestamp_ntz") + F.expr("INTERVAL 1 HOUR"))
     return (ev.groupBy(F.col("event_type").alias("series"), _hour(F.col("ts")).alias("ts"))
               .agg(F.round(F.sum("value"), 2).alias("demand")))
 
