@@ -15,7 +15,8 @@ from concurrent.futures import ThreadPoolExecutor
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +93,15 @@ def pca_project(df: DataFrame, cols: Sequence[str], k: int = 2, keep: Sequence[s
     return out.select(*keep, *[(F.col("_a")[j] * signs[j]).alias(f"PC{j + 1}") for j in range(k)])
 
 
+def pca_columns(vec: DataFrame, cols: Sequence[str], k: int = 2, features: str = VEC) -> DataFrame:
+    """Rows that already hold the scaled vector, with PC1..PCk added."""
+    model = PCA(k=k, inputCol=features, outputCol="_pcs").fit(vec)
+    pc = model.pc.toArray()
+    signs = [1.0 if pc[np.argmax(np.abs(pc[:, j])), j] >= 0 else -1.0 for j in range(k)]
+    out = model.transform(vec).withColumn("_a", vector_to_array("_pcs"))
+    return out.withColumns({f"PC{j + 1}": F.col("_a")[j] * signs[j] for j in range(k)}).drop("_pcs", "_a")
+
+
 def pca_loadings(df: DataFrame, cols: Sequence[str], k: int = 2) -> DataFrame:
     """Long table (feature, component, loading) (C4, any k; Q11)."""
     model, signs = pca_fit(df, cols, k)
@@ -240,11 +250,12 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def label_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:
-    """Mean vector (array<double>) per label: per-coordinate averages."""
-    long = df.select(label, F.posexplode(vector).alias("_i", "_v"))
-    m = long.groupBy(label, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    return (m.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_c"))
-             .select(label, F.transform("_c", lambda s: s["_m"]).alias("centre")))
+    """Mean vector (array<double>) per label: one aggregate of vectors."""
+    x = array_to_vector(F.transform(F.col(vector), lambda v: v.cast("double")))
+    return df.groupBy(label).agg(Summarizer.mean(x).alias("_m")).select(label, vector_to_array("_m").alias("centre"))
+
+
+MAX_CENTRES = 10_000      # centres applied as one literal array
 
 
 def assign_nearest(df: DataFrame, vector: str, centres: DataFrame, label: str,
@@ -252,7 +263,9 @@ def assign_nearest(df: DataFrame, vector: str, centres: DataFrame, label: str,
     """Nearest centre per row (J7) without a shuffle: the k centres (fitted
     like a model, k x d numbers) are one literal array and each row keeps
     the closest (ties: the smaller label)."""
-    rows = sorted(centres.select(label, "centre").collect(), key=lambda r: r[0])   # k centres
+    rows = sorted(centres.select(label, "centre").limit(MAX_CENTRES + 1).collect(), key=lambda r: r[0])
+    if len(rows) > MAX_CENTRES:
+        raise ValueError(f"more than {MAX_CENTRES} centres")
     cs = F.array(*[F.struct(F.lit(r[0]).alias("l"), F.array(*[F.lit(float(v)) for v in r[1]]).alias("c"))
                    for r in rows])
     x = F.transform(F.col(vector), lambda v: v.cast("double"))

@@ -1,18 +1,18 @@
 """DBSCAN on a fine grid (J5, C13, C14), for a few (<= 4) dimensions.
 
 Cells have side eps / sqrt(d), so any two points of one cell are within eps
-of each other. For a point p and a cell c near it, the distance from p to
-c's box decides:
-
-- box entirely within eps: every point of c is a neighbour -> add c's count
-  (no pairs are formed);
-- box entirely beyond eps: nothing;
-- otherwise: compare p with the points of c (the only pairwise work, on
-  boundary cells).
-
-Core points (>= ``min_samples`` neighbours, self included) of one cell are
-mutually connected, so each cell with cores becomes one graph node; edges
-come from the same boundary comparisons and from fully-covered cells.
+of each other. The work is done by cells wherever cells decide:
+
+- a cell with ``min_samples`` points or more holds core points only, without
+  any comparison; only points of smaller cells look at the cells around them,
+  add the count of every cell whose box lies within eps, and are compared with
+  the points of the boxes that eps cuts (counted, no pair is kept);
+- core points of one cell are connected, so a cell with cores is one node.
+  Two neighbouring nodes are joined when any of their extreme core points (least
+  and greatest per coordinate) are within eps; for the pairs of cells left, the
+  core points near the other box are compared and one edge per pair is kept;
+- only non-core points look for the cluster they border on.
+
 Connected components of the cell graph are found by min-label propagation
 with pointer jumping, cutting lineage with ``checkpoint()`` every round.
 
@@ -51,24 +51,28 @@ def _offsets(d: int) -> list[list[int]]:
     return [list(o) for o in itertools.product(range(-r, r + 1), repeat=d)]
 
 
-def _near_cells(pts: DataFrame, side: float, d: int, eps: float) -> DataFrame:
-    """(id, x, cell, ncell, full) for every grid cell whose box comes within
-    eps of the point; ``full`` when the whole box lies within eps."""
-    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(d)])
+def _near_boxes(rows: DataFrame, side: float, eps: float, cell: str = "ncell") -> DataFrame:
+    """The rows whose point ``x`` lies within eps of the box of ``cell``; with
+    ``full`` when the whole box does."""
     e2 = eps * eps
-    out = pts.withColumn("off", F.explode(offs)).withColumn(
-        "ncell", F.zip_with("cell", "off", lambda a, b: a + b)).drop("off")
 
     def lo(k):
         return k * F.lit(side)
 
     def hi(k):
         return (k + 1) * F.lit(side)
-    gaps = F.zip_with("x", "ncell", lambda v, k: F.greatest(F.lit(0.0), lo(k) - v, v - hi(k)))
-    fars = F.zip_with("x", "ncell", lambda v, k: F.greatest(v - lo(k), hi(k) - v))
+    gaps = F.zip_with("x", cell, lambda v, k: F.greatest(F.lit(0.0), lo(k) - v, v - hi(k)))
+    fars = F.zip_with("x", cell, lambda v, k: F.greatest(v - lo(k), hi(k) - v))
     sq = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, g: s + g * g)
-    out = out.withColumn("_min2", sq(gaps)).where(F.col("_min2") <= e2)
-    return out.withColumn("full", sq(fars) <= e2).drop("_min2")
+    return rows.where(sq(gaps) <= e2).withColumn("full", sq(fars) <= e2)
+
+
+def _around(cells: DataFrame, d: int) -> DataFrame:
+    """(cell, ncell, ncnt): the occupied cells near each occupied cell, itself left out."""
+    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in _offsets(d) if any(o)])
+    wanted = cells.select("cell", F.explode(offs).alias("off")).select(
+        "cell", F.zip_with("cell", "off", lambda a, b: a + b).alias("ncell"))
+    return wanted.join(cells.select(F.col("cell").alias("ncell"), F.col("cnt").alias("ncnt")), "ncell")
 
 
 def _dist2(a, b):
@@ -79,23 +83,20 @@ def neighbor_counts(df: DataFrame, id_col: str, cols: Sequence[str], eps: float)
     """Number of points within ``eps`` (inclusive, self counted) of each
     point (the epsilon-join J5, reduced to counts)."""
     pts, side, d = _grid(df, id_col, cols, eps)
-    return _counts(pts, side, d, eps)[0].select(F.col("id").alias(id_col), "n_neighbors")
+    cells = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"))
+    near = _near_boxes(pts.join(_around(cells, d), "cell"), side, eps)
+    own = pts.join(cells, "cell").select("id", F.col("cnt").alias("n"))
+    counted = own.unionByName(_counted(near, pts, eps)).groupBy("id").agg(F.sum("n").alias("n_neighbors"))
+    return counted.select(F.col("id").alias(id_col), "n_neighbors")
 
 
-def _counts(pts, side, d, eps):
-    near = _near_cells(pts, side, d, eps)
-    cells = pts.groupBy(F.col("cell").alias("ncell")).agg(F.count(F.lit(1)).alias("cnt"))
-    full = (near.where(F.col("full")).select("id", "ncell").join(cells, "ncell")
-                .groupBy("id").agg(F.sum("cnt").alias("nf")))
-    other = pts.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("cell").alias("qcell"))
-    partial = (near.where(~F.col("full")).join(other, F.col("ncell") == F.col("qcell"))
-                   .where(_dist2(F.col("x"), F.col("qx")) <= eps * eps)
-                   .select("id", "qid"))
-    pc = partial.groupBy("id").agg(F.count(F.lit(1)).alias("np"))
-    counts = (pts.join(full, "id", "left").join(pc, "id", "left")
-                 .withColumn("n_neighbors", F.coalesce("nf", F.lit(0)) + F.coalesce("np", F.lit(0)))
-                 .drop("nf", "np"))
-    return counts, near, partial
+def _counted(near: DataFrame, pts: DataFrame, eps: float) -> DataFrame:
+    """(id, n): parts of each point's count in the cells around it."""
+    full = near.where("full").select("id", F.col("ncnt").alias("n"))
+    other = pts.select(F.col("x").alias("qx"), F.col("cell").alias("qcell"))
+    cut = near.where(~F.col("full")).join(other, F.col("ncell") == F.col("qcell")).where(
+        _dist2(F.col("x"), F.col("qx")) <= eps * eps)
+    return full.unionByName(cut.groupBy("id").agg(F.count(F.lit(1)).alias("n")))
 
 
 def _components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -146,42 +147,56 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float,
            min_samples: int = 5, label: str = "label") -> DataFrame:
     """Rows of ``df`` with a DBSCAN ``label`` (noise -1) and ``is_core``."""
     pts, side, d = _grid(df, id_col, cols, eps)
-    counts, near, partial = _counts(pts, side, d, eps)
-    # the near-cell rows and boundary pairs feed core counts, edges and
-    # border labels: computed once, kept (spilling to disk if large)
-    near = near.select("id", "ncell", "full").persist()
-    partial = partial.persist()
-    counts = counts.withColumn("core", F.col("n_neighbors") >= min_samples).persist()
-    core = counts.where("core").select("id", "cell")
-    # one node per cell holding cores: its smallest core id
-    cell_node = core.groupBy("cell").agg(F.min("id").alias("node"))
-    core_node = core.join(cell_node, "cell").select("id", "node")
-    # edges: boundary pairs of cores, and cores next to fully covered cells with cores
-    e1 = (partial.join(core_node, "id").withColumnRenamed("node", "a")
-                 .join(core_node.select(F.col("id").alias("qid"), F.col("node").alias("b")), "qid")
-                 .select("a", "b"))
-    e2 = (near.where(F.col("full")).join(core_node, "id")
-              .join(cell_node.select(F.col("cell").alias("ncell"), F.col("node").alias("b")), "ncell")
-              .select(F.col("node").alias("a"), "b"))
-    edges = e1.unionByName(e2).where(F.col("a") != F.col("b"))
-    comps = _components(edges, cell_node.select("node"))
+    pts = pts.persist()
+    cells = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt")).persist()
+    around = _around(cells, d).persist()
+    # points of small cells look around; points of the others are cores anyway
+    few = pts.join(cells.where(F.col("cnt") < min_samples), "cell")
+    near = _near_boxes(few.join(around, "cell"), side, eps).persist()
+    more = few.select("id", F.col("cnt").alias("n")).unionByName(_counted(near, pts, eps))
+    enough = more.groupBy("id").agg((F.sum("n") >= min_samples).alias("core"))
+    many = pts.join(cells.where(F.col("cnt") >= min_samples), "cell").select("id", "x", "cell", F.lit(True).alias("core"))
+    flags = many.unionByName(few.join(enough, "id").select("id", "x", "cell", "core")).persist()
+    core = flags.where("core")
+    # one node per cell holding cores: its smallest core id, and its extreme cores
+    ends = [f("x", F.col("x")[i]) for i in range(d) for f in (F.min_by, F.max_by)]
+    nodes = core.groupBy("cell").agg(F.min("id").alias("node"), F.array(*ends).alias("ends")).persist()
+    pairs = (around.select("cell", "ncell").where(F.col("cell") < F.col("ncell"))
+             .join(nodes.select("cell", F.col("node").alias("a"), F.col("ends").alias("ea")), "cell")
+             .join(nodes.select(F.col("cell").alias("ncell"), F.col("node").alias("b"), F.col("ends").alias("eb")), "ncell"))
+    touch = F.exists("ea", lambda p: F.exists("eb", lambda q: _dist2(p, q) <= eps * eps))
+    pairs = pairs.select("cell", "ncell", "a", "b", touch.alias("touch")).persist()
+    unsure = pairs.where(~F.col("touch")).drop("touch")
+    left = _near_boxes(core.select("x", "cell").join(unsure, "cell"), side, eps)
+    right = core.select(F.col("x"), F.col("cell").alias("ncell")).join(unsure.select("cell", "ncell"), "ncell")
+    right = _near_boxes(right, side, eps, "cell").select("cell", "ncell", F.col("x").alias("y"))
+    found = (left.join(right, ["cell", "ncell"]).where(_dist2(F.col("x"), F.col("y")) <= eps * eps)
+             .select("a", "b").distinct())
+    edges = pairs.where("touch").select("a", "b").unionByName(found)
+    core_node = core.select("id", "cell").join(nodes.select("cell", "node"), "cell").select("id", "node")
+    comps = _components(edges, nodes.select("node"))
     numbering = dense_index(comps, "comp", "cluster")
     node_label = comps.join(numbering, "comp").select("node", "cluster")
     core_label = core_node.join(node_label, "node").select("id", "cluster")
-    # border points: lowest cluster among adjacent cores
-    b1 = (partial.join(core_label.select(F.col("id").alias("qid"), "cluster"), "qid")
-                 .select("id", "cluster"))
-    b2 = (near.where(F.col("full"))
-              .join(cell_node.select(F.col("cell").alias("ncell"), "node"), "ncell")
-              .join(node_label, "node").select("id", "cluster"))
-    border = b1.unionByName(b2).groupBy("id").agg(F.min("cluster").alias("bcl"))
-    lab = (counts.select("id", "core").join(core_label, "id", "left").join(border, "id", "left")
-                 .select(F.col("id").alias(id_col), F.col("core").alias("is_core"),
-                         F.coalesce("cluster", "bcl", F.lit(-1)).alias(label)))
+    # border points: lowest cluster among the cores of the own cell, of boxes within eps,
+    # and of the boxes that eps cuts after a comparison
+    cell_label = nodes.select("cell", "node").join(node_label, "node").select("cell", "cluster").persist()
+    rest = flags.where(~F.col("core")).select("id", "cell")
+    by_cell = cell_label.withColumnRenamed("cell", "ncell")
+    looking = near.select("id", "x", "ncell", "full").join(rest.select("id"), "id").join(by_cell, "ncell")
+    cores = core.select(F.col("cell").alias("ncell"), F.col("x").alias("y"))
+    b1 = rest.join(cell_label, "cell").select("id", "cluster")
+    b2 = looking.where("full").select("id", "cluster")
+    b3 = (looking.where(~F.col("full")).join(cores, "ncell")
+          .where(_dist2(F.col("x"), F.col("y")) <= eps * eps).select("id", "cluster"))
+    border = b1.unionByName(b2).unionByName(b3).groupBy("id").agg(F.min("cluster").alias("bcl"))
+    lab = (flags.select("id", "core").join(core_label, "id", "left").join(border, "id", "left")
+                .select(F.col("id").alias(id_col), F.col("core").alias("is_core"),
+                        F.coalesce("cluster", "bcl", F.lit(-1)).alias(label)))
     # the labels (one small row per point) are written to the checkpoint
     # folder, so the cached intermediates can be released
     lab = lab.checkpoint(eager=True)
-    for cached in (near, partial, counts):
+    for cached in (pts, cells, around, near, flags, nodes, pairs, cell_label):
         cached.unpersist()
     return df.join(lab, id_col)
 

@@ -120,37 +120,44 @@ def _joined_top(df, label, col, n, fmt_value) -> DataFrame:
 
 def describe_clusters(df: DataFrame, label: str, features: Sequence[str],
                       hour: str | None = "hour", dow: str | None = "day_of_week",
-                      target: str | None = "demand") -> DataFrame:
+                      target: str | None = "demand", season: str | None = None) -> DataFrame:
     """One row per cluster: size, share, feature means next to the dataset
-    means, common hours and days, mean and range of the target (D1)."""
-    sizes = cluster_sizes(df, label)
-    means = cluster_means(df, label, features)
-    overall = df.agg(*[F.avg(c).alias(f"_all_{c}") for c in features],
-                     *([F.avg(target).alias("_all_target")] if target else [])).first()   # one row
-    parts = [F.format_string("%s: %.2f (Dataset Mean: %.2f)", F.lit(c), F.col(c),
-                             F.lit(overall[f"_all_{c}"]).cast("double"))
-             for c in features]
-    out = sizes.join(means, label).withColumn("features", F.concat_ws("; ", *parts))
+    means, common hours and days, seasons, mean and range of the target (D1).
+    Sizes, means and ranges are one aggregate; the dataset's follow from it."""
+    cols = [*features, *([target] if target else [])]
+    base = df.groupBy(label).agg(
+        F.count(F.lit(1)).alias("size"),
+        *[F.avg(c).alias(f"_m_{c}") for c in cols], *[F.sum(c).alias(f"_s_{c}") for c in cols],
+        *[F.count(c).alias(f"_n_{c}") for c in cols],
+        *([F.min(target).alias("_t_min"), F.max(target).alias("_t_max")] if target else [])).persist()
+    all_ = base.agg(F.sum("size").alias("size"), *[(F.sum(f"_s_{c}") / F.sum(f"_n_{c}")).alias(c) for c in cols]).first()
+    mean = lambda c: F.lit(all_[c]).cast("double")
+    parts = [F.format_string("%s: %.2f (Dataset Mean: %.2f)", F.lit(c), F.col(f"_m_{c}"), mean(c)) for c in features]
+    out = base.withColumn("pct", F.col("size") / F.lit(all_["size"] or 0) * 100).withColumn("features", F.concat_ws("; ", *parts))
+    tops = [(hour, 3, "common_hours", lambda v: F.concat(v.cast("string"), F.lit(":00"))),
+            (dow, 3, "common_days", X.day_name), (season, 2, "seasons", lambda v: v)]
+    for col, n, name, text in tops:
+        if col:
+            out = out.join(_joined_top(df, label, col, n, text).withColumnRenamed("txt", name), label, "left")
     if target:
-        out = out.withColumn("_all_target", F.lit(overall["_all_target"]).cast("double"))
-    if hour:
-        out = out.join(_joined_top(df, label, hour, 3,
-                                   lambda v: F.concat(v.cast("string"), F.lit(":00")))
-                       .withColumnRenamed("txt", "common_hours"), label, "left")
-    if dow:
-        out = out.join(_joined_top(df, label, dow, 3, X.day_name)
-                       .withColumnRenamed("txt", "common_days"), label, "left")
-    if target:
-        t = df.groupBy(label).agg(F.avg(target).alias("_t_mean"), F.min(target).alias("_t_min"),
-                                  F.max(target).alias("_t_max"))
-        out = (out.join(t, label)
-                  .withColumn("target_text", F.format_string(
-                      "Average: %.2f (Dataset Mean: %.2f); range %.2f - %.2f",
-                      F.col("_t_mean"), F.col("_all_target"), F.col("_t_min"), F.col("_t_max"))))
+        out = out.withColumn("target_text", F.format_string(
+            "Average: %.2f (Dataset Mean: %.2f); range %.2f - %.2f",
+            F.col(f"_m_{target}"), mean(target), F.col("_t_min"), F.col("_t_max")))
     head = F.format_string("Cluster %s (%d points, %.1f%% of data)", F.col(label).cast("string"),
                            F.col("size"), F.col("pct"))
-    keep = [c for c in ("features", "common_hours", "common_days", "target_text") if c in out.columns]
-    return out.select(label, "size", "pct", head.alias("header"), *keep)
+    keep = [c for c in ("features", "common_hours", "common_days", "seasons", "target_text") if c in out.columns]
+    return out.select(label, "size", "pct", head.alias("header"), *keep, *[f"_m_{c}" for c in cols])
+
+
+def report_text(df: DataFrame, label: str, features: Sequence[str], hour: str = "hour",
+                season: str = "season", target: str = "demand") -> DataFrame:
+    """The text report (S6): label, line_no, line. The wording of the lines."""
+    d = describe_clusters(df, label, features, hour, None, target, season)
+    lines = [F.concat("header", F.lit(":")),
+             *[F.format_string("  %s: %.4f", F.lit(c), F.col(f"_m_{c}")) for c in features],
+             F.concat(F.lit("  Common hours: "), F.col("common_hours")), F.concat(F.lit("  Seasons: "), F.col("seasons")),
+             F.format_string("  Average demand: %.2f", F.col(f"_m_{target}"))]
+    return d.select(label, F.posexplode(F.array(*lines)).alias("line_no", "line"))
 
 
 def cluster_profiles(df: DataFrame, label: str, features: Sequence[str],

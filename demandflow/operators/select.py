@@ -40,6 +40,20 @@ def filter_time(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     return df
 
 
+def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """``n`` rows without replacement by a seeded random order (O6): a per-partition
+    top-n, never a sort of the whole table."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
+def keep_eligible(df: DataFrame, keys, min_rows: int = 50, required=()) -> DataFrame:
+    """The rows of the series that :func:`eligible_series` accepts: a series with fewer
+    complete rows is not fitted."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    good = eligible_series(df, keys, min_rows, required).where("eligible").select(*keys)
+    return df.join(good, keys, "left_semi")
+
+
 def eligible_series(df: DataFrame, keys, min_rows: int = 50,
                     required=(), target: str | None = None) -> DataFrame:
     """Per series: row count, rows complete in ``required`` columns, and the

@@ -186,10 +186,9 @@ def q_cluster_report(spark, sf):
     model = C.kmeans_best(vec, 3)
     labelled = model.transform(vec)
     sil = C.silhouette_sq(labelled, "cluster").first()["silhouette"]
-    pcs = C.pca_project(w, FEATS, k=2, keep=["series", "ts"])
-    lab = labelled.select("series", "ts", "cluster")
-    return (pcs.join(lab, ["series", "ts"]).withColumn("silhouette", F.lit(sil).cast("double"))
-               .select("series", ts_text("ts").alias("ts"), "PC1", "PC2", "cluster", "silhouette"))
+    # the projection is one more transform of the labelled rows: nothing is joined on time
+    return (C.pca_columns(labelled, FEATS, k=2).withColumn("silhouette", F.lit(sil).cast("double"))
+             .select("series", ts_text("ts").alias("ts"), "PC1", "PC2", "cluster", "silhouette"))
 
 
 # --- DBSCAN on a fine grid (J5, C13, C14) -------------------------------------------

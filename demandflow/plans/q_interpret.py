@@ -17,7 +17,9 @@ TOD_VALUES = ["Afternoon", "Evening", "Morning", "Night"]
 
 WC_SQL = """SELECT *, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week,
    CASE WHEN hour(ts) < 6 THEN 'Night' WHEN hour(ts) < 12 THEN 'Morning'
-        WHEN hour(ts) < 18 THEN 'Afternoon' ELSE 'Evening' END AS time_of_day FROM w"""
+        WHEN hour(ts) < 18 THEN 'Afternoon' ELSE 'Evening' END AS time_of_day,
+   CASE WHEN month(ts) IN (12, 1, 2) THEN 'Winter' WHEN month(ts) IN (3, 4, 5) THEN 'Spring'
+        WHEN month(ts) IN (6, 7, 8) THEN 'Summer' ELSE 'Fall' END AS season FROM w"""
 
 
 def _wc(spark, sf):
@@ -127,7 +129,7 @@ DESCRIBE_SQL = f"""SELECT s.series, s.size, round(s.pct, 6) AS pct,
    printf('Cluster %s (%d points, %.1f%% of data)', s.series, s.size, s.pct) AS header,
    concat_ws('; ', {', '.join(f"printf('{c}: %.2f (Dataset Mean: %.2f)', m.{c}, a.all_{c})" for c in FEATS)})
      AS features,
-   hh.txt AS common_hours, dd.txt AS common_days,
+   hh.txt AS common_hours, dd.txt AS common_days, ss.txt AS seasons,
    printf('Average: %.2f (Dataset Mean: %.2f); range %.2f - %.2f', t.tm, a.all_t, t.tmin, t.tmax) AS target_text
 FROM (SELECT series, count(*) AS size, count(*) * 100.0 / sum(count(*)) OVER () AS pct FROM wc GROUP BY series) s
 JOIN (SELECT series, {', '.join(f'avg({c}) AS {c}' for c in FEATS)} FROM wc GROUP BY series) m USING (series)
@@ -135,14 +137,28 @@ CROSS JOIN (SELECT {', '.join(f'avg({c}) AS all_{c}' for c in FEATS)}, avg(deman
 LEFT JOIN ({_top_text_sql('hour', 3, "CAST(value AS VARCHAR) || ':00'")}) hh USING (series)
 LEFT JOIN ({_top_text_sql('day_of_week', 3, 'dayname(DATE ' + chr(39) + '2018-01-01' + chr(39) + ' + CAST(value AS INTEGER))')}) dd
   USING (series)
+LEFT JOIN ({_top_text_sql('season', 2, 'value')}) ss USING (series)
 JOIN (SELECT series, avg(demand) AS tm, min(demand) AS tmin, max(demand) AS tmax FROM wc GROUP BY series) t
   USING (series)"""
 
 
 @query("describe_clusters", _q(DESCRIBE_SQL))
 def q_describe_clusters(spark, sf):
-    out = I.describe_clusters(_wc(spark, sf), "series", FEATS)
-    return out.withColumn("pct", r6("pct"))
+    out = I.describe_clusters(_wc(spark, sf), "series", FEATS, season="season")
+    return out.withColumn("pct", r6("pct")).drop(*[c for c in out.columns if c.startswith("_m_")])
+
+
+REPORT_LINES = [f"printf('  {c}: %.4f', {c})" for c in FEATS] + [
+    "'  Common hours: ' || common_hours", "'  Seasons: ' || seasons", "printf('  Average demand: %.2f', tm)"]
+REPORT_BASE = DESCRIBE_SQL.replace("hh.txt AS common_hours", ", ".join(f"m.{c}" for c in FEATS) + ", t.tm, hh.txt AS common_hours")
+
+
+@query("report_text", V.with_views(
+    "SELECT series, 0 AS line_no, header || ':' AS line FROM b" + "".join(
+        f"\nUNION ALL SELECT series, {i}, {line} FROM b" for i, line in enumerate(REPORT_LINES, 1)),
+    "w", ctes=[("wc", WC_SQL), ("b", REPORT_BASE)]))
+def q_report_text(spark, sf):
+    return I.report_text(_wc(spark, sf), "series", FEATS)
 
 
 PROFILE_SQL = """SELECT z.series, 'Cluster ' || z.series || ': ' || z.p || coalesce(d.txt, '') AS profile

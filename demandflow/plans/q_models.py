@@ -12,6 +12,7 @@ from demandflow.functions.scalars import r6, ts_text
 from demandflow.operators import arima as AR
 from demandflow.operators import metrics as M
 from demandflow.operators import models as MO
+from demandflow.operators import select as SE
 from demandflow.plans import views as V
 from demandflow.plans.catalog import query
 
@@ -21,7 +22,7 @@ OUT = ["series", "model", "n", "mae", "rmse", "r2", "mape", "mae_improvement",
 
 def _data(spark, sf):
     table = MO.feature_table(V.weather(spark, sf))
-    return MO.design(table, MO.MODEL_FEATURES).persist()
+    return MO.design(SE.keep_eligible(table, "series"), MO.MODEL_FEATURES).persist()
 
 
 def _fit_eval(spark, sf, name):
@@ -138,8 +139,5 @@ def q_stack_best_models(spark, sf):
 
 @query("sample_rows")
 def q_sample_rows(spark, sf):
-    """100 rows drawn without replacement by a seeded random order (O6): a
-    per-partition top-100, never a sort of the whole table."""
-    w = V.weather(spark, sf)
-    return (w.orderBy(F.rand(42)).limit(100)
-             .select("series", ts_text("ts").alias("ts"), "demand"))
+    """100 rows drawn without replacement by a seeded random order."""
+    return SE.sample_rows(V.weather(spark, sf), 100).select("series", ts_text("ts").alias("ts"), "demand")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from demandflow.operators import arima as AR
 from demandflow.operators import clean as CL
 from demandflow.operators import cluster as C
+from demandflow.operators import dbscan as DB
 from demandflow.operators import models as MO
 from demandflow.operators import profile as P
+from demandflow.operators import select as SE
 from demandflow.operators import series as S
 
 
@@ -78,3 +80,37 @@ def test_chunked_arima_equals_one_pass(spark):
     assert got["s"].n_train == 1201 and np.allclose([got["s"].phi, got["s"].theta, got["s"].sigma2], want)
     assert abs(got["s"].phi - 0.5) < 0.1 and abs(got["s"].theta - 0.3) < 0.1
     assert (got["t"].phi, got["t"].theta) == (0.0, 0.0) and got["t"].sigma2 is None
+
+
+def test_dbscan_with_one_dense_cell(spark):
+    """20,000 points in one cell, a ring of sparse points around them, a far group and noise."""
+    rng = np.random.default_rng(8)
+    dense = rng.uniform(0.01, 0.3, (20_000, 2))
+    ring = np.stack([0.55 + rng.uniform(0, 0.3, 40), rng.uniform(0, 0.4, 40)], axis=1)
+    far = rng.uniform(10, 10.3, (30, 2))
+    x = np.concatenate([dense, ring, far, [[50.0, 50.0]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id int, a double, b double")
+    got = {r.id: (r.label, r.is_core) for r in DB.dbscan(df, "id", ["a", "b"], 0.45, 6).collect()}
+    near = lambda p: ((x - p) ** 2).sum(1) <= 0.45 ** 2
+    core = {i: near(x[i]).sum() >= 6 for i in range(20_000, len(x))}
+    assert all(got[i] == (0, True) for i in range(20_000)) and all(got[i][1] == c for i, c in core.items())
+    assert all(got[i][0] == 0 for i in range(20_000, 20_040)) and all(got[i][0] == 1 for i in range(20_040, 20_070))
+    assert got[20_070] == (-1, False)
+
+
+def test_kmeans_cost_falls_and_centres_are_nearest(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(b)) for c in ((0, 0), (5, 5), (0, 8)) for a, b in rng.normal(c, 0.5, (60, 2))]
+    vec = C.cached_vectors(spark.createDataFrame(rows, "a double, b double"), ["a", "b"])
+    models = [C.kmeans_best(vec, k, n_init=2) for k in (2, 3, 4)]
+    costs = [m.summary.trainingCost for m in models]
+    assert costs == sorted(costs, reverse=True)
+    centres = np.array(models[1].clusterCenters())
+    for r in models[1].transform(vec).select(C.VEC, "cluster").collect():
+        assert ((centres - r[0].toArray()) ** 2).sum(1).argmin() == r[1]
+
+
+def test_only_eligible_series_are_kept(spark):
+    df = spark.createDataFrame([("a", i) for i in range(60)] + [("b", i) for i in range(5)], "series string, v int")
+    assert {r.series for r in SE.keep_eligible(df, "series", 50).collect()} == {"a"}
+    assert SE.sample_rows(df, 10).count() == 10
