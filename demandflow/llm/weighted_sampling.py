@@ -98,28 +98,40 @@ def _random(k: Column) -> tuple[Column, Column, Column]:
     return ln_c, F.get(_table(_gamma_quantiles(mid)), part(0)), b
 
 
-def signatures(rows: DataFrame, slots: int) -> DataFrame:
-    """``rows`` (range, place, text, edited) to (range, place, own, other): arrays of the least
-    ln a per slot of the text and of the edited text. Both texts' words are counted together, so a
-    word's random numbers are made once. A row handles a few slots at a time: code of that
-    size is compiled well."""
-    both = rows.select("range", "place", words(F.lower("text")).alias("w"), words(F.lower("edited")).alias("e"))
-    terms = both.select("range", "place", F.size("w").alias("n"), F.posexplode_outer(F.concat("w", "e")).alias("pos", "word"))
-    counted = terms.groupBy("range", "place", F.xxhash64("word").alias("term")).agg(
-        F.sum((F.col("pos") < F.col("n")).cast("int")).alias("c0"), F.sum((F.col("pos") >= F.col("n")).cast("int")).alias("c1"))
+def signatures(rows: DataFrame, slots: int, facts: list[Column]) -> DataFrame:
+    """``rows`` (range, place, text, edited) to (range, place, own, other, facts): arrays of the least
+    ln a per slot of the text and of the edited text, and the given whole numbers of the row. Both
+    texts' words are counted together, so a word's random numbers are made once. A row's facts
+    travel as further rows among its words, so that texts are neither shuffled again nor joined.
+    A row handles a few slots at a time: code of that size is compiled well."""
+    both = rows.select("range", "place", words(F.lower("text")).alias("w"), words(F.lower("edited")).alias("e"),
+                       F.array(*[f.cast("string") for f in facts]).alias("f"))
+    n, m = F.size("w"), F.size("w") + F.coalesce(F.size("e"), F.lit(0))
+    items = both.select("range", "place", n.alias("n"), m.alias("m"), F.concat("w", "e", "f").alias("items"))
+    items = items.select("range", "place", "n", "m", F.posexplode_outer("items").alias("pos", "word"))
+    is_fact = F.col("pos") >= F.col("m")
+    counted = items.groupBy("range", "place", F.when(is_fact, F.col("pos") - F.col("m") + 1).otherwise(0).alias("fact"),
+                            F.when(is_fact, F.col("word").cast("long")).otherwise(F.xxhash64("word")).alias("term")).agg(
+        F.sum((F.col("pos") < F.col("n")).cast("int")).alias("c0"),
+        F.sum(((F.col("pos") >= F.col("n")) & ~is_fact).cast("int")).alias("c1"))
+    groups = F.when(F.col("fact") == 0, F.array(*[F.lit(g) for g in range(0, slots, AT_ONCE)])).otherwise(F.array(-F.col("fact")))
     logs = counted.select("range", "place", "term", F.when(F.col("c0") > 0, F.log("c0")).alias("l0"), F.when(F.col("c1") > 0, F.log("c1")).alias("l1"),
-                          F.explode(F.array(*[F.lit(g) for g in range(0, slots, AT_ONCE)])).alias("g"))
+                          F.explode_outer(groups).alias("g"))
     some = range(min(AT_ONCE, slots))
-    random = logs.select("range", "place", "g", "l0", "l1", *[c.alias(f"{n}{k}") for k in some for n, c in zip("crb", _random(F.col("g") + k))])
+    random = logs.select("range", "place", "g", "l0", "l1", F.when(F.col("g") < 0, F.col("term")).alias("value"),
+                         *[c.alias(f"{n}{k}") for k in some for n, c in zip("crb", _random(F.col("g") + k))])
 
     def least(log: str, k: int) -> Column:
         c, r, b = (F.col(f"{n}{k}") for n in "crb")
         return F.min(c - r * (F.floor(F.col(log) / r + b) - b) - r).alias(f"{log}_{k}")
 
-    found = random.groupBy("range", "place", "g").agg(*[least(x, k) for x in ("l0", "l1") for k in some])
+    found = random.groupBy("range", "place", "g").agg(F.max("value").alias("value"), *[least(x, k) for x in ("l0", "l1") for k in some])
     arrays = [F.array(*[F.col(f"{x}_{k}") for k in some]).alias(x) for x in ("l0", "l1")]
-    lists = found.select("range", "place", F.struct("g", *arrays).alias("s")).groupBy("range", "place").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    return lists.select("range", "place", F.flatten("s.l0").alias("own"), F.flatten("s.l1").alias("other"))
+    lists = found.select("range", "place", F.struct("g", "value", *arrays).alias("s")).groupBy("range", "place").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    none = F.array_repeat(F.lit(None).cast("double"), slots)
+    after = lambda x: F.when(F.size("s") > len(facts), F.flatten(F.slice(x, len(facts) + 1, F.size("s")))).otherwise(none)
+    return lists.select("range", "place", after("s.l0").alias("own"), after("s.l1").alias("other"),
+                        F.reverse(F.slice("s.value", 1, len(facts))).alias("facts"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -139,12 +151,13 @@ def edited_fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text",
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     rows = with_next(df, key, text).withColumn("edited", F.when(~F.col("copy"), F.concat(
-        F.expr("substring(text, 1, char_length(text) - cast(floor(char_length(text) / 2) as int))"),
-        F.when(half > 0, F.substring("next", F.lit(1), half)).otherwise(""))))
-    facts = rows.select("range", "place", "copy", "key", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
-    joined = facts.join(signatures(rows, slots), ["range", "place"])
+        F.substring("text", F.lit(1), n - half), F.substring("next", F.lit(1), half))))
+    rows = rows.withColumn("sha", F.sha2("edited", 256))
+    quarters = [F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10) for i in range(4)]  # signed: they fit a long
+    made = signatures(rows, slots, [F.col("key"), n, F.col("copy").cast("int"), *quarters])
     following = F.lead("own").over(Window.partitionBy("range").orderBy("place"))
-    out = joined.withColumn("following", following).where(~F.col("copy"))
-    return out.select("key", "n_chars", "edited_sha256", fingerprint_text(F.col("own")).alias("fingerprint"),
-                      fingerprint_text(F.col("other")).alias("edited_fingerprint"),
+    out = made.withColumn("following", following).where(F.get("facts", F.lit(2)) == 0)
+    sha = F.concat(*[F.lpad(F.lower(F.hex(F.get("facts", F.lit(3 + i)))), 16, "0") for i in range(4)])
+    return out.select(F.get("facts", F.lit(0)).alias("key"), F.get("facts", F.lit(1)).alias("n_chars"), sha.alias("edited_sha256"),
+                      fingerprint_text(F.col("own")).alias("fingerprint"), fingerprint_text(F.col("other")).alias("edited_fingerprint"),
                       likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("following")).alias("near_next"))
