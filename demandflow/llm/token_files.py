@@ -21,7 +21,9 @@ plus one document's ids.
 from __future__ import annotations
 
 import os
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from demandflow.session import ship_package
 
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
-#: Pieces remembered per Python worker, and the longest piece remembered.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+#: Pieces remembered per Python worker in each of two generations, and the longest one remembered.
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
 
 
 class Encoder:
@@ -53,12 +55,14 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # special strings in a text are plain text
+        assert sys.byteorder == "little"  # ids are kept as the machine's bytes
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.pieces, self.known = pieces, {}
+        self.pieces, self.known, self.older = pieces, {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype).tobytes() for x in got]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, x.ids).tobytes() for x in got]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of ``dtype``."""
@@ -67,12 +71,12 @@ class Encoder:
             flat = s.replace("\n", " ")
             plain = self.pieces and "  " not in flat and flat.isprintable()
             split.append(s.replace("\n", " \n").split(" ") if plain else None)
-        new = {p for x in split if x for p in x[1:] if p not in self.known}
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known.clear()
-            new = {p for x in split if x for p in x[1:]}
-        fresh = list(new)
-        known = self.known
+        if len(self.known) > CACHE_ENTRIES:  # what is used again comes back from the older generation
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {p for x in split if x for p in x[1:] if p not in known}
+        known.update((p, older[p]) for p in new if p in older)
+        fresh = [p for p in new if p not in older]
         known.update(zip(fresh, self._ids([p if p[:1] == "\n" else " " + p for p in fresh])))
         heads = iter(self._ids([x[0] if x else s for x, s in zip(split, texts)]))
         get = known.__getitem__
