@@ -26,6 +26,8 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,20 +53,18 @@ def _offsets(d: int) -> list[list[int]]:
     return [list(o) for o in itertools.product(range(-r, r + 1), repeat=d)]
 
 
-def _near_boxes(rows: DataFrame, side: float, eps: float, cell: str = "ncell") -> DataFrame:
+def _near_boxes(rows: DataFrame, side: float, d: int, eps: float, cell: str = "ncell") -> DataFrame:
     """The rows whose point ``x`` lies within eps of the box of ``cell``; with
     ``full`` when the whole box does."""
+    gaps, fars = [], []
+    for i in range(d):
+        v, k = F.get("x", F.lit(i)), F.get(cell, F.lit(i))
+        below, above = v - k * F.lit(side), (k + 1) * F.lit(side) - v
+        gap, far = F.greatest(F.lit(0.0), -below, -above), F.greatest(below, above)
+        gaps.append(gap * gap)
+        fars.append(far * far)
     e2 = eps * eps
-
-    def lo(k):
-        return k * F.lit(side)
-
-    def hi(k):
-        return (k + 1) * F.lit(side)
-    gaps = F.zip_with("x", cell, lambda v, k: F.greatest(F.lit(0.0), lo(k) - v, v - hi(k)))
-    fars = F.zip_with("x", cell, lambda v, k: F.greatest(v - lo(k), hi(k) - v))
-    sq = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, g: s + g * g)
-    return rows.where(sq(gaps) <= e2).withColumn("full", sq(fars) <= e2)
+    return rows.where(reduce(add, gaps) <= e2).withColumn("full", reduce(add, fars) <= e2)
 
 
 def _around(cells: DataFrame, d: int) -> DataFrame:
@@ -75,8 +75,10 @@ def _around(cells: DataFrame, d: int) -> DataFrame:
     return wanted.join(cells.select(F.col("cell").alias("ncell"), F.col("cnt").alias("ncnt")), "ncell")
 
 
-def _dist2(a, b):
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
+def _dist2(a, b, d: int):
+    """Squared distance of two coordinate arrays, as plain arithmetic (compiled code)."""
+    gaps = [F.get(a, F.lit(i)) - F.get(b, F.lit(i)) for i in range(d)]
+    return reduce(add, [g * g for g in gaps])
 
 
 def neighbor_counts(df: DataFrame, id_col: str, cols: Sequence[str], eps: float) -> DataFrame:
@@ -84,18 +86,18 @@ def neighbor_counts(df: DataFrame, id_col: str, cols: Sequence[str], eps: float)
     point (the epsilon-join J5, reduced to counts)."""
     pts, side, d = _grid(df, id_col, cols, eps)
     cells = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("cnt"))
-    near = _near_boxes(pts.join(_around(cells, d), "cell"), side, eps)
+    near = _near_boxes(pts.join(_around(cells, d), "cell"), side, d, eps)
     own = pts.join(cells, "cell").select("id", F.col("cnt").alias("n"))
-    counted = own.unionByName(_counted(near, pts, eps)).groupBy("id").agg(F.sum("n").alias("n_neighbors"))
+    counted = own.unionByName(_counted(near, pts, d, eps)).groupBy("id").agg(F.sum("n").alias("n_neighbors"))
     return counted.select(F.col("id").alias(id_col), "n_neighbors")
 
 
-def _counted(near: DataFrame, pts: DataFrame, eps: float) -> DataFrame:
+def _counted(near: DataFrame, pts: DataFrame, d: int, eps: float) -> DataFrame:
     """(id, n): parts of each point's count in the cells around it."""
     full = near.where("full").select("id", F.col("ncnt").alias("n"))
     other = pts.select(F.col("x").alias("qx"), F.col("cell").alias("qcell"))
     cut = near.where(~F.col("full")).join(other, F.col("ncell") == F.col("qcell")).where(
-        _dist2(F.col("x"), F.col("qx")) <= eps * eps)
+        _dist2(F.col("x"), F.col("qx"), d) <= eps * eps)
     return full.unionByName(cut.groupBy("id").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -152,8 +154,8 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float,
     around = _around(cells, d).persist()
     # points of small cells look around; points of the others are cores anyway
     few = pts.join(cells.where(F.col("cnt") < min_samples), "cell")
-    near = _near_boxes(few.join(around, "cell"), side, eps).persist()
-    more = few.select("id", F.col("cnt").alias("n")).unionByName(_counted(near, pts, eps))
+    near = _near_boxes(few.join(around, "cell"), side, d, eps).persist()
+    more = few.select("id", F.col("cnt").alias("n")).unionByName(_counted(near, pts, d, eps))
     enough = more.groupBy("id").agg((F.sum("n") >= min_samples).alias("core"))
     many = pts.join(cells.where(F.col("cnt") >= min_samples), "cell").select("id", "x", "cell", F.lit(True).alias("core"))
     flags = many.unionByName(few.join(enough, "id").select("id", "x", "cell", "core")).persist()
@@ -164,13 +166,14 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float,
     pairs = (around.select("cell", "ncell").where(F.col("cell") < F.col("ncell"))
              .join(nodes.select("cell", F.col("node").alias("a"), F.col("ends").alias("ea")), "cell")
              .join(nodes.select(F.col("cell").alias("ncell"), F.col("node").alias("b"), F.col("ends").alias("eb")), "ncell"))
-    touch = F.exists("ea", lambda p: F.exists("eb", lambda q: _dist2(p, q) <= eps * eps))
+    touch = F.least(*[_dist2(F.get("ea", F.lit(i)), F.get("eb", F.lit(j)), d)
+                      for i in range(2 * d) for j in range(2 * d)]) <= eps * eps
     pairs = pairs.select("cell", "ncell", "a", "b", touch.alias("touch")).persist()
     unsure = pairs.where(~F.col("touch")).drop("touch")
-    left = _near_boxes(core.select("x", "cell").join(unsure, "cell"), side, eps)
+    left = _near_boxes(core.select("x", "cell").join(unsure, "cell"), side, d, eps)
     right = core.select(F.col("x"), F.col("cell").alias("ncell")).join(unsure.select("cell", "ncell"), "ncell")
-    right = _near_boxes(right, side, eps, "cell").select("cell", "ncell", F.col("x").alias("y"))
-    found = (left.join(right, ["cell", "ncell"]).where(_dist2(F.col("x"), F.col("y")) <= eps * eps)
+    right = _near_boxes(right, side, d, eps, "cell").select("cell", "ncell", F.col("x").alias("y"))
+    found = (left.join(right, ["cell", "ncell"]).where(_dist2(F.col("x"), F.col("y"), d) <= eps * eps)
              .select("a", "b").distinct())
     edges = pairs.where("touch").select("a", "b").unionByName(found)
     core_node = core.select("id", "cell").join(nodes.select("cell", "node"), "cell").select("id", "node")
@@ -188,7 +191,7 @@ def dbscan(df: DataFrame, id_col: str, cols: Sequence[str], eps: float,
     b1 = rest.join(cell_label, "cell").select("id", "cluster")
     b2 = looking.where("full").select("id", "cluster")
     b3 = (looking.where(~F.col("full")).join(cores, "ncell")
-          .where(_dist2(F.col("x"), F.col("y")) <= eps * eps).select("id", "cluster"))
+          .where(_dist2(F.col("x"), F.col("y"), d) <= eps * eps).select("id", "cluster"))
     border = b1.unionByName(b2).unionByName(b3).groupBy("id").agg(F.min("cluster").alias("bcl"))
     lab = (flags.select("id", "core").join(core_label, "id", "left").join(border, "id", "left")
                 .select(F.col("id").alias(id_col), F.col("core").alias("is_core"),
