@@ -1,20 +1,5 @@
-import os
-import sys
-
 import pytest
 
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-sys.path.insert(0, ROOT)
-
-from demandflow.session import get_spark  # noqa: E402
-
-SMALL = "/root/testdata/sf0.001"
-
-
-@pytest.fixture(scope="session")
-def spark():
-    yield get_spark("local[4]", 4)
-
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):

@@ -11,7 +11,8 @@ import pytest
 from demandflow.llm import queries, subword
 
 from conftest import SMALL
-from test_operators import VOCABULARY, plain_components, plain_fingerprint, tokenizers
+
+from .test_operators import VOCABULARY, plain_components, plain_fingerprint, tokenizers
 
 
 def test_stages():
