@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from demandflow.llm.common import free_name, ranked, stored, words
 
 #: Bins per division of a source's rank range; documents of a bin ranked one by one.
-BINS, EXACT = 4096, 10_000
+BINS, EXACT = 4096, 1_000
 #: Random numbers are odd multiples of 2**-49.
 UNIT_BITS = 48
-#: Narrowest bin: what is left there are rows of equal rank.
-NARROW = 1e-13
+#: Narrowest bin: what is left there are rows of equal rank. A rank beyond all others.
+NARROW, BEYOND = 1e-11, 1e9
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -67,10 +67,10 @@ def _expected(max_copies: int) -> Column:
 
 
 def _at(e: Column, u: Column) -> Column:
-    """Pareto rank r as r / (1 + r), in (0, 1); null where no further copy is drawn."""
+    """Logarithm of the Pareto rank; null where no further copy is drawn. On this scale the
+    documents of a source spread alike whatever their inclusion probability."""
     p = e - F.floor(e)
-    r = (u / (1 - u)) / (p / (1 - p))
-    return F.when(p > 0, r / (1 + r))
+    return F.when(p > 0, F.log((u / (1 - u)) / (p / (1 - p))))
 
 
 def _same(a: DataFrame, b: DataFrame) -> Column:
@@ -105,7 +105,8 @@ def _rates(slim: DataFrame, targets: DataFrame, max_copies: int) -> DataFrame:
 def _cuts(cand: DataFrame, need: DataFrame) -> DataFrame:
     """Per source the last (at, key, tag) taken: ``cand`` (source, size, at, key, tag) are
     the documents that may get one more copy, ``need`` (source, need) the words wanted."""
-    need = need.select("source", "need", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"), F.lit(0).cast("long").alias("below"))
+    ends = _named(cand.groupBy("source").agg(F.min("at").alias("low"), (F.max("at") + NARROW).alias("high")))
+    need = stored(need.join(ends, _same(need, ends)).select("source", "need", "low", "high", F.lit(0).cast("long").alias("below")), "need")
     while True:
         n = _named(need)
         inside = cand.join(n, _same(cand, n)).where("at >= low and at < high")
@@ -121,11 +122,11 @@ def _cuts(cand: DataFrame, need: DataFrame) -> DataFrame:
                                        F.col("h.below").alias("b"), F.col("h.n").alias("n"))), "bins")
         # no bin reaches the need: all are taken
         need = stored(need.join(hit, _same(need, hit), "left").select(
-            "source", "need", F.coalesce("f", F.lit(2.0)).alias("low"), F.coalesce("l", F.lit(2.0)).alias("last"),
+            "source", "need", F.coalesce("f", F.lit(BEYOND)).alias("low"), F.coalesce("l", F.lit(BEYOND)).alias("last"),
             F.coalesce("b", F.lit(0)).cast("long").alias("below"), F.coalesce("n", F.lit(0)).alias("n")), "need")
-        if not need.where((F.col("n") > EXACT) & (F.col("last") - F.col("low") > NARROW)).limit(1).count():
+        if not need.where((F.col("n") > EXACT) & (F.col("last") - F.col("low") > 4 * NARROW)).limit(1).count():
             break
-        need = need.withColumn("high", F.col("last") + F.lit(NARROW / 64)).drop("last", "n")
+        need = need.withColumn("high", F.col("last") + F.lit(NARROW)).drop("last", "n")
     n = _named(need)
     left = cand.join(n, _same(cand, n)).where("at >= low and at <= last").groupBy("source", "need", "below", "at", "key", "tag").agg(F.sum("size").alias("size"))
     total = F.col("below") + F.sum("size").over(Window.partitionBy("source").orderBy("at", "key", "tag"))
@@ -149,7 +150,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     each = slim.join(r, _same(slim, r)).select("source", "target", "size", "key", "tag", F.floor(e).alias("whole"), _at(e, F.col("u")).alias("at"))
     need = stored(each.groupBy("source").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need")), "need")
     cuts = _named(_cuts(each.where("at is not null").select("source", "size", "at", "key", "tag"), need))
-    plan = rates.join(cuts, _same(rates, cuts)).select("source", "source_size", "target", "rate", "cut")
+    plan = rates.join(cuts, _same(rates, cuts), "left").select("source", "source_size", "target", "rate", "cut")
     mine, name, theirs = (free_name(df, n) for n in ("_own", "_source", "_plan"))
     plan = stored(plan.select(F.col("source").alias(name), F.struct("source_size", "target", "rate", "cut").alias(theirs)), "plan")
     rows = df.withColumn(mine, F.struct(F.col(source).cast("string").alias("source"), *[c.alias(n) for n, c in own.items()]))
