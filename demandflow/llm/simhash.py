@@ -212,9 +212,10 @@ def one_per_group(df: DataFrame, key: str = "doc_id", text: str = "text", shingl
     rank = F.struct(F.col("key").isNull(), F.col("key"), F.col("row_hash"))
     # by fingerprint first: a group of copies is reduced before the shuffle on its component
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("g")).agg(F.min(rank).alias("best"))
-    row, own, other = (free_name(df, n) for n in ("_row", "_key", "_hash"))
-    keep = stored(best.select(F.col("best.key").alias(own), F.col("best.row_hash").alias(other)), "keep")
-    k, t = F.col(key).cast("long"), F.col(text).cast("string")
-    hashed = df.withColumn(row, F.xxhash64(k, t))
-    kept = hashed.join(keep, (F.col(row) == F.col(other)) & k.eqNullSafe(F.col(own)), "left_semi")
+    row, other = free_name(df, "_row"), free_name(df, "_hash")
+    keep = stored(best.select(F.col("best.row_hash").alias(other)).distinct(), "keep")
+    # the hash covers key and text; as the only join key it also serves the removal of
+    # repeated rows, so texts are exchanged once
+    hashed = df.withColumn(row, F.xxhash64(F.col(key).cast("long"), F.col(text).cast("string")))
+    kept = hashed.join(keep, F.col(row) == F.col(other), "left_semi")
     return kept.dropDuplicates([row, key]).select(*df.columns)
