@@ -7,9 +7,11 @@ tokens is hashed and joined with the windows of the benchmark, so a question who
 numbers and names were exchanged still meets its source. The exchanged values (slots)
 are then checked: within a window equal slots must be equal on both sides, and over all
 windows on one diagonal of a document and an item each benchmark value must stand for
-one document value and the other way round. A window without slots, or with the item's
-own values, is evidence by itself; a re-parameterised window counts only if its diagonal
-is consistent. Windows need ``min_literal`` tokens that are no placeholders.
+one document value and the other way round; an exchanged window counts only if its diagonal
+is consistent, and needs ``min_literal`` tokens that are no placeholders. Beside the
+templates every window is hashed with its words as they are (lower case, no punctuation),
+whatever they are: identical passages are found however many numbers and names they
+hold and whatever stands before them.
 
 The documents are not shuffled: only windows that meet a benchmark window are. The
 benchmark's windows are written to the shared folder, so their true size decides
@@ -17,8 +19,8 @@ whether Spark broadcasts them; otherwise both sides are exchanged and adaptive
 execution splits frequent windows.
 
 Defined cases: null texts count as empty and match nothing; items with fewer tokens
-than ``window`` are searched as one shorter window if they have ``min_literal`` literal
-tokens, and not at all otherwise; repeated documents and items are each reported; null
+than ``window`` are searched as one shorter window of all their tokens, items of fewer than
+``min_tokens`` not at all; repeated documents and items are each reported; null
 ids are kept; extra columns are ignored; an empty table on either side gives no rows.
 """
 
@@ -64,10 +66,12 @@ def _is_slot(token: Column) -> Column:
     return token.isin(NUMBER, NAME, UNIT)
 
 
-def windows(df: DataFrame, key: str, text: str, size: int, min_literal: int, whole_below: bool = False) -> DataFrame:
-    """key, row_hash, pos, hash, slots (values of the placeholders, null if none) of every
-    window of ``size`` template tokens; ``whole_below``: texts with fewer tokens give one window of
-    all of them. Also ``n``: tokens of the window."""
+def windows(df: DataFrame, key: str, text: str, size: int, min_literal: int, whole_from: int = 0) -> DataFrame:
+    """key, row_hash, n, pos, hash, slots of every window of ``size`` tokens. Each window gives one
+    row hashed over its words (slots null); one with placeholders and at least ``min_literal`` other
+    tokens gives a second, hashed over its template, with the values of its placeholders.
+    ``whole_from``: texts with fewer tokens than ``size`` but so many give one window of all of
+    them (0: none). ``n``: tokens of the window."""
     t = F.col(text).cast("string")
     base = df.select(F.col(key).alias("key"), F.xxhash64(F.col(key), t).alias("row_hash"), _clean(t).alias("clean"))
     base = base.select("key", "row_hash", "clean", _template(F.col("clean")).alias("template"))
@@ -76,19 +80,19 @@ def windows(df: DataFrame, key: str, text: str, size: int, min_literal: int, who
                        F.when(F.col("template").rlike(f"[{NUMBER}{NAME}]"),
                               _split(F.lower(F.translate("clean", NAME, "")))).alias("val"))
     n = F.size("tok")
-    width = F.least(n, F.lit(size)) if whole_below else F.lit(size)
-    starts = F.when((n >= width) & (n > 0), F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
-    hashed = lambda i: F.xxhash64(F.slice("tok", i, width))
-    plain = F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), hashed(i).alias("hash"), F.lit(None).cast("array<string>").alias("slots")))
+    width = F.least(n, F.lit(size)) if whole_from else F.lit(size)
+    starts = F.when((n >= width) & (n >= max(1, min(whole_from, size))), F.sequence(F.lit(1), n - width + 1)).otherwise(F.array().cast("array<int>"))
+    row = lambda i, of, slots: F.struct((i - 1).alias("pos"), F.xxhash64(F.slice(of, i, width)).alias("hash"), slots.alias("slots"))
+    plain = lambda of: F.transform(starts, lambda i: row(i, of, F.lit(None).cast("array<string>")))
+    # a word with digits inside is a slot as well, though it counts as a literal
     slots = lambda i: F.filter(F.transform(F.sequence(i, i + width - 1), lambda j: F.when(
-        _is_slot(F.element_at("tok", j)), F.element_at("val", j))), lambda x: x.isNotNull())
-    typed = F.transform(starts, lambda i: F.struct((i - 1).alias("pos"), hashed(i).alias("hash"), slots(i).alias("slots")))
+        F.element_at("tok", j) != F.element_at("val", j), F.element_at("val", j))), lambda x: x.isNotNull())
+    literal = lambda i: F.size(F.filter(F.slice("tok", i, width), lambda x: ~_is_slot(x)))
+    typed = F.filter(F.transform(F.filter(starts, lambda i: literal(i) >= min_literal), lambda i: row(i, "tok", slots(i))), lambda x: F.size(x.slots) > 0)
     # explode_outer: for explode the optimizer adds a filter that computes the array once more
     all_ = base.select("key", "row_hash", width.alias("n"), F.explode_outer(
-        F.when(F.col("val").isNull(), plain).otherwise(typed)).alias("w"))
-    found = F.when(F.size("w.slots") > 0, F.col("w.slots"))
-    literal = F.col("n") - F.greatest(F.size("w.slots"), F.lit(0))
-    return all_.where(F.col("w").isNotNull() & (literal >= min_literal)).select("key", "row_hash", "n", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), found.alias("slots"))
+        F.when(F.col("val").isNull(), plain("tok")).otherwise(F.concat(plain("val"), typed))).alias("w"))
+    return all_.where(F.col("w").isNotNull()).select("key", "row_hash", "n", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots"))
 
 
 def _pattern(values: Column) -> Column:
@@ -97,9 +101,9 @@ def _pattern(values: Column) -> Column:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
-            item_text: str = "text", window: int = 8, min_literal: int = 5) -> DataFrame:
+            item_text: str = "text", window: int = 8, min_literal: int = 5, min_tokens: int = 3) -> DataFrame:
     """Evidence windows: key, row_hash, pos, item, item_pos, exchanged (boolean)."""
-    bench = stored(windows(benchmark, item, item_text, window, min_literal, whole_below=True).select(
+    bench = stored(windows(benchmark, item, item_text, window, min_literal, min_tokens).select(
         F.col("key").alias("item"), F.col("row_hash").alias("item_hash"), "n", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")), "benchmark")
     sizes = [r.n for r in bench.select("n").distinct().collect()]  # at most ``window`` numbers
     hits = None
@@ -108,6 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
         hits = some if hits is None else hits.union(some)
     if hits is None:
         hits = windows(docs, key, text, window, min_literal).drop("n").limit(0).join(bench.drop("n"), "hash")
+    hits = hits.where(F.col("slots").isNull() == F.col("item_slots").isNull())
     same = F.col("slots").isNull() | (F.col("slots") == F.col("item_slots"))
     fits = same | (_pattern(F.col("slots")) == _pattern(F.col("item_slots")))
     hits = stored(hits.where(fits).select("key", "row_hash", "pos", "item", "item_hash", "item_pos", "slots", "item_slots", (~same).alias("exchanged")), "hits")
@@ -118,7 +123,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     odd = stored(pairs.where("both > ours or both > theirs").select("row_hash", "item_hash", "diagonal"), "odd")
     exchanged = hits.where("exchanged").withColumn("diagonal", F.col("pos") - F.col("item_pos")).join(odd, ["row_hash", "item_hash", "diagonal"], "left_anti")
     cols = ["key", "row_hash", "pos", "item", "item_pos", "exchanged"]
-    return hits.where("not exchanged").select(*cols).union(exchanged.select(*cols))
+    # windows with equal slots are there once more with their words
+    return hits.where("slots is null").select(*cols).union(exchanged.select(*cols))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **parameters) -> DataFrame:

@@ -420,6 +420,19 @@ def test_reparameterised_questions(spark):
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {2, 3, 4, 5, 7}
 
 
+def test_identical_passages_with_few_literals(spark):
+    bench = spark.createDataFrame([
+        (1, "What is 12 times 7?"), (2, "Solve for x: 3x + 5 = 20 and 2y - 4 = 10"),
+        (3, "A guide by Anna Maria Bell and Tom Carl Reed of New York"), (4, "Is 3 4?"), (5, "seven, 8 km")], "item_id long, text string")
+    df = spark.createDataFrame([
+        (1, "Quiz Question: What is 12 times 7? Answer below."), (2, "Now solve for x: 3x + 5 = 20 and 2y - 4 = 10 by hand."),
+        (3, "See A guide by Anna Maria Bell and Tom Carl Reed of New York here"), (4, "Test Is 3 4? no"), (5, "Seven 8 km on"),
+        (6, "What is 13 times 7? Solve for z: 3x + 6 = 20. Seven 9 km"), (7, "Question What is 12 times 7")], "doc_id long, text string")
+    found = {r.key: r for r in decontaminate.contaminated(df, bench).collect()}
+    assert {k: r["items"] for k, r in found.items()} == {1: [1], 2: [2], 3: [3], 4: [4], 5: [5], 7: [1]}
+    assert all(r.n_exchanged == 0 for r in found.values())
+
+
 # --- empty tables -------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", [n for n in queries.REGISTRY])
