@@ -4,11 +4,11 @@ Texts are turned into templates: punctuation is dropped, letters are lower-cased
 numbers (digits or number words), names (capitalised words inside a sentence) and units
 that follow a number become typed placeholders. Every window of ``window`` template
 tokens is hashed and joined with the windows of the benchmark, so a question whose
-numbers and names were exchanged still meets its source. The exchanged values (slots)
-are then checked: within a window equal slots must be equal on both sides, and over all
-windows on one diagonal of a document and an item each benchmark value must stand for
-one document value and the other way round; an exchanged window counts only if its diagonal
-is consistent, and needs ``min_literal`` tokens that are no placeholders. Beside the
+numbers and names were exchanged still meets its source. The exchanged names
+are then checked: over all windows on one diagonal of a document and an item, a name is odd
+if it stands for two. Exchanged windows that hold an odd pair of names do not count, and
+none of a diagonal where half of the different pairs or more are odd; numbers and units may
+become equal or differ as they like. An exchanged window needs ``min_literal`` tokens that are no placeholders. Beside the
 templates every window is hashed with its words as they are (lower case, no punctuation),
 whatever they are: identical passages are found however many numbers and names they
 hold and whatever stands before them.
@@ -26,7 +26,7 @@ ids are kept; extra columns are ignored; an empty table on either side gives no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from demandflow.llm.common import free_name, stored
 
@@ -69,7 +69,8 @@ def _is_slot(token: Column) -> Column:
 def windows(df: DataFrame, key: str, text: str, size: int, min_literal: int, whole_from: int = 0) -> DataFrame:
     """key, row_hash, n, pos, hash, slots of every window of ``size`` tokens. Each window gives one
     row hashed over its words (slots null); one with placeholders and at least ``min_literal`` other
-    tokens gives a second, hashed over its template, with the values of its placeholders.
+    tokens gives a second, hashed over its template, with the values of its placeholders (names
+    with their mark in front).
     ``whole_from``: texts with fewer tokens than ``size`` but so many give one window of all of
     them (0: none). ``n``: tokens of the window."""
     t = F.col(text).cast("string")
@@ -86,7 +87,8 @@ def windows(df: DataFrame, key: str, text: str, size: int, min_literal: int, who
     plain = lambda of: F.transform(starts, lambda i: row(i, of, F.lit(None).cast("array<string>")))
     # a word with digits inside is a slot as well, though it counts as a literal
     slots = lambda i: F.filter(F.transform(F.sequence(i, i + width - 1), lambda j: F.when(
-        F.element_at("tok", j) != F.element_at("val", j), F.element_at("val", j))), lambda x: x.isNotNull())
+        F.element_at("tok", j) != F.element_at("val", j),
+        F.concat(F.when(F.element_at("tok", j) == NAME, NAME).otherwise(""), F.element_at("val", j)))), lambda x: x.isNotNull())
     literal = lambda i: F.size(F.filter(F.slice("tok", i, width), lambda x: ~_is_slot(x)))
     typed = F.filter(F.transform(F.filter(starts, lambda i: literal(i) >= min_literal), lambda i: row(i, "tok", slots(i))), lambda x: F.size(x.slots) > 0)
     # explode_outer: for explode the optimizer adds a filter that computes the array once more
@@ -95,11 +97,6 @@ def windows(df: DataFrame, key: str, text: str, size: int, min_literal: int, who
     return all_.where(F.col("w").isNotNull()).select("key", "row_hash", "n", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash"), F.col("w.slots").alias("slots"))
 
 
-def _pattern(values: Column) -> Column:
-    """Which slots are equal: the place of each one's first occurrence."""
-    return F.transform(values, lambda x: F.array_position(values, x))
-
-
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id",
             item_text: str = "text", window: int = 8, min_literal: int = 5, min_tokens: int = 3) -> DataFrame:
     """Evidence windows: key, row_hash, pos, item, item_pos, exchanged (boolean)."""
@@ -113,15 +110,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
     if hits is None:
         hits = windows(docs, key, text, window, min_literal).drop("n").limit(0).join(bench.drop("n"), "hash")
     hits = hits.where(F.col("slots").isNull() == F.col("item_slots").isNull())
-    same = F.col("slots").isNull() | (F.col("slots") == F.col("item_slots"))
-    fits = same | (_pattern(F.col("slots")) == _pattern(F.col("item_slots")))
-    hits = stored(hits.where(fits).select("key", "row_hash", "pos", "item", "item_hash", "item_pos", "slots", "item_slots", (~same).alias("exchanged")), "hits")
-    diagonal = ["row_hash", "item_hash", (F.col("pos") - F.col("item_pos")).alias("diagonal")]
-    pairs = hits.where("slots is not null").select(*diagonal, F.explode(F.arrays_zip("slots", "item_slots")).alias("p"))
-    pairs = pairs.groupBy("row_hash", "item_hash", "diagonal").agg(
-        F.count_distinct("p.slots", "p.item_slots").alias("both"), F.count_distinct("p.slots").alias("ours"), F.count_distinct("p.item_slots").alias("theirs"))
-    odd = stored(pairs.where("both > ours or both > theirs").select("row_hash", "item_hash", "diagonal"), "odd")
-    exchanged = hits.where("exchanged").withColumn("diagonal", F.col("pos") - F.col("item_pos")).join(odd, ["row_hash", "item_hash", "diagonal"], "left_anti")
+    hits = stored(hits.select("key", "row_hash", "pos", "item", "item_hash", "item_pos", "slots", "item_slots",
+                              F.coalesce(F.col("slots") != F.col("item_slots"), F.lit(False)).alias("exchanged")), "hits")
+    diagonal = ["row_hash", "item_hash", "diagonal"]
+    typed = hits.where("slots is not null").withColumn("diagonal", F.col("pos") - F.col("item_pos")).withColumn("pairs", F.arrays_zip("slots", "item_slots"))
+    # a diagonal has at most as many pairs of names as the item has words
+    names = typed.select(*diagonal, F.explode("pairs").alias("p")).where(F.startswith("p.slots", F.lit(NAME))).distinct()
+    ours, theirs = (F.count("*").over(Window.partitionBy(*diagonal, F.col(f"p.{side}"))) for side in ("slots", "item_slots"))
+    names = names.select(*diagonal, "p", ((ours > 1) | (theirs > 1)).alias("odd"))
+    odd = names.groupBy(*diagonal).agg(F.count("*").alias("n_names"), F.collect_set(F.when(F.col("odd"), F.col("p"))).alias("odd"))
+    odd = stored(odd.where(F.size("odd") > 0), "odd")
+    exchanged = typed.where("exchanged").join(odd, diagonal, "left").where(
+        F.col("odd").isNull() | ((2 * F.size("odd") < F.col("n_names")) & ~F.arrays_overlap("pairs", "odd")))
     cols = ["key", "row_hash", "pos", "item", "item_pos", "exchanged"]
     # windows with equal slots are there once more with their words
     return hits.where("slots is null").select(*cols).union(exchanged.select(*cols))

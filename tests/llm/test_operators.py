@@ -433,6 +433,19 @@ def test_identical_passages_with_few_literals(spark):
     assert all(r.n_exchanged == 0 for r in found.values())
 
 
+def test_exchanged_numbers_may_collide_and_one_odd_name_does_not_clear_a_diagonal(spark):
+    school = "The teacher {} gives a red pencil to the pupil {} while his sister {} and her cousin {} wait for the good doctor {} near the old school"
+    items = ["A shop sells 3 apples and 5 pears for the same price every day", "A basket holds 2 apples and 2 pears and a bag of nuts",
+             school.format("Anna", "Bert", "Clara", "Dora", "Emil")]
+    texts = [items[0].replace("3", "4").replace("5", "4"), items[1].replace("2 a", "3 a").replace("2 p", "7 p"),
+             school.format("Ina", "Udo", "Eva", "Eva", "Max"), school.format("Ina", "Ina", "Eva", "Eva", "Max")]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.key: r for r in decontaminate.contaminated(df, bench).collect()}
+    assert all(found[i]["items"] == [i] and found[i].n_exchanged > 0 for i in range(3))
+    assert 3 not in found or found[3].n_exchanged == 0
+
+
 # --- empty tables -------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", [n for n in queries.REGISTRY])
