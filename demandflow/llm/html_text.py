@@ -2,8 +2,11 @@
 
 A page is read once into blocks: text between block-level tags, with the path of tags
 (and class names) from the root. Scripts, styles, forms, comments and blocks below
-boilerplate elements (navigation, header, footer, sidebars, notices, adverts, reader
-comments, by tag or by class and id words) are never content. Over the remaining blocks
+boilerplate elements (navigation, header, footer, by tag) are never content. Elements whose
+class, id or role names say boilerplate (sidebars, notices, adverts, reader comments) are
+suspects: their text, weighted by punctuation, counts only for a part (least if a whole name
+says so, inside an article only then), and one is content if that part outweighs the text
+outside all suspects, or if it holds the page's main or only article. Over the remaining blocks
 two ratios are aggregated per tag path: text length per block, and punctuation marks per
 block. Both are smoothed over neighbouring blocks in page order, fused by product, and
 averaged per path; paths above a share of the page's length-weighted mean are content.
@@ -19,6 +22,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import heapq
 import html
 import re
 from collections import defaultdict
@@ -34,6 +38,10 @@ from demandflow.session import ship_package
 SHARE = 0.1
 #: Weights of a block and its neighbours at distance 1 and 2.
 KERNEL = (0.5, 0.2, 0.05)
+#: What the text of a suspect counts for: by a whole name, and by a part of one or around an article.
+WHOLE, PART = 0.1, 0.5
+#: Weight (characters, times punctuation) that a suspect's part must have at least.
+LEAST = 200
 
 # Elements by their role.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby "
@@ -41,13 +49,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BOILERPLATE = frozenset("head nav header footer aside form button select option menu dialog svg canvas template "
-                        "object applet figcaption noscript".split())
+                        "object applet noscript".split())
 SECTIONS = frozenset("article main section div td body".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr "
                             "main nav ol p pre section table ul".split()),
              "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
              "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
-#: Words of class, id and role names that mark boilerplate.
+#: Words of class, id and role names that make an element suspect.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie "
                   "cookies copyright disqus footer gdpr header masthead menu nav navbar navigation newsletter notice notices pager "
                   "pagination popup promo promoted recommend recommended related reply replies respond share sharing sidebar "
@@ -64,7 +72,11 @@ _MARKS = re.compile(r"[.,;:!?…。，！？、]")
 def blocks(page: str) -> list[tuple[str, int, str]]:
     """(tag path, section number, text) of each block that may be content, in page order."""
     out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, bool, int]] = [("", "", False, 0)]  # tag, path, boilerplate, section
+    inside: list[int] = []  # per block: the innermost suspect around it, or -1
+    outer: list[int] = []  # per suspect: the next one around it, or -1
+    part: list[float] = []
+    holds: list[str] = []
+    stack: list[tuple[str, str, bool, int, int]] = [("", "", False, 0, -1)]  # tag, path, boilerplate, section, suspect
     held: list[str] = []
     held_at = stack[0]
     sections = 0
@@ -75,6 +87,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
                 out.append((held_at[1], held_at[3], text))
+                inside.append(held_at[4])
             held = []
 
     def add(text: str) -> None:
@@ -129,18 +142,66 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
                           | (frozenset(["ul", "ol"]) if open_ == "li" else frozenset()))
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        words = {w for x in _NAMES.finditer(attributes) for w in _WORD.findall((x[1] or x[2] or x[3] or "").lower())} if "=" in attributes else set()
+        names = [x for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").lower().split()] if "=" in attributes else []
+        parts = [set(_WORD.findall(x)) for x in names]
+        words = set().union(*parts)
         parent = stack[-1]
+        whole = any(x and x <= MARKS for x in parts)
         junk = parent[2] or (name in BOILERPLATE and not (name == "header" and "article" in parent[1])) or (
-            name not in ("html", "body", "article", "main") and bool(words & MARKS)) or (bool(attributes) and bool(_HIDDEN.search(attributes)))
+            name in INLINE and whole) or (bool(attributes) and bool(_HIDDEN.search(attributes)))
+        suspect = parent[4]
+        if name in ("article", "main"):
+            around = suspect if not junk else -1
+            while around >= 0 and holds[around] not in (name, "main"):
+                holds[around] = name
+                around = outer[around]
+        elif name not in INLINE and name not in ("html", "body") and not junk and (
+                whole or (words & MARKS and "/article" not in parent[1])):
+            outer.append(suspect)
+            part.append(WHOLE if whole else PART)
+            holds.append("")
+            suspect = len(outer) - 1
         section = parent[3]
         if name in SECTIONS:
             sections += 1
             section = sections
         path = parent[1] if name in INLINE else f"{parent[1]}/{name}" + "".join(f".{w}" for w in sorted(words)[:3])
-        stack.append((name, path, junk, section))
+        stack.append((name, path, junk, section, suspect))
     flush()
-    return out
+    if not outer:
+        return out
+    kept = _cleared(out, inside, outer, part, holds)
+    return [x for x, i in zip(out, inside) if i in kept]
+
+
+def _cleared(found: list[tuple[str, int, str]], inside: list[int], outer: list[int], part: list[float], holds: list[str]) -> set[int]:
+    """The suspects that are content after all, heaviest first, and -1 for none."""
+    own = [0.0] * (len(outer) + 1)  # the last place: outside all suspects
+    alone = True
+    for (path, _, text), i in zip(found, inside):
+        own[i] += len(text) * (1 + len(_MARKS.findall(text)))
+        alone = alone and not (i < 0 and ("/article" in path or "/main" in path))
+    free, total = own.pop(), own.copy()
+    within = defaultdict(list)
+    for i in range(len(outer) - 1, -1, -1):
+        within[outer[i]].append(i)
+        if outer[i] >= 0:
+            total[outer[i]] += total[i]
+
+    def weight(i: int) -> float:
+        if total[i] and (holds[i] == "main" or holds[i] == "article" and alone and part[i] == PART):
+            return float("inf")
+        return total[i] * (PART if holds[i] and alone else part[i])
+
+    kept, heap = {-1}, [(-weight(i), i) for i in within[-1]]
+    heapq.heapify(heap)
+    while heap and -heap[0][0] >= max(free, LEAST):
+        i = heapq.heappop(heap)[1]
+        kept.add(i)
+        free += own[i]
+        for j in within[i]:
+            heapq.heappush(heap, (-weight(j), j))
+    return kept
 
 
 def main_text(page: str | None) -> str:

@@ -338,6 +338,19 @@ def test_main_text():
     assert len(html_text.main_text("<article><p>" + "long text, " * 100_000 + "</p></article>")) == 1_099_999
 
 
+def test_class_words_do_not_empty_a_page():
+    text = "The council met on Monday, and it voted, after a long debate, for the new bridge; work begins in May."
+    paras = f"<p>{text}</p><p>{text} Again.</p><figure><img src=x><figcaption>The bridge, seen from the east.</figcaption></figure><p>{text} End.</p>"
+    want = f"{text}\n{text} Again.\nThe bridge, seen from the east.\n{text} End."
+    side = '<div class="sidebar"><p>More news, more often. Sign up.</p></div>'
+    for wrap in ('<div id="content" class="has-sidebar">', '<div class="with-header">', '<div class="search-result">', '<div class="layout sidebar">'):
+        assert html_text.main_text(f"<body>{side}{wrap}<article>{paras}</article>{side}</div></body>") == want, wrap
+        assert html_text.main_text(f"<body>{side}{wrap}{paras}{side}</div></body>") == want, wrap
+    discussion = f'<section class="comments"><article><p>{text}</p></article></section>'
+    assert html_text.main_text(f"<body><article>{paras}</article>{discussion}</body>") == want
+    assert html_text.main_text(f"<body>{side}</body>") == ""
+
+
 def test_main_text_query(spark):
     import html as H
     pages = ds.dataset(f"{SMALL}/pages.parquet").to_table().to_pandas().set_index("page_id")
