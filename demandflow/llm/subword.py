@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from demandflow.llm.common import stored
 from demandflow.session import ship_package
@@ -159,14 +159,25 @@ def score(text: str | None, numbers: np.ndarray, bias: float, bits: int) -> floa
 
 
 def sample(labelled: DataFrame, docs: DataFrame, key: str, text: str, label: str, max_rows: int, max_chars: int) -> list:
-    """Training rows: the first by a hash of the key, within the bound."""
+    """Training rows: the first by a hash of the key, at most ``max_rows``. All of them are kept;
+    where their texts pass ``max_chars`` in all, the longest give their beginnings, as many
+    characters each as the bound leaves."""
     ids = labelled.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).alias("label"))
     ids = stored(ids.orderBy(F.xxhash64(key), key).limit(max_rows), "sample-ids")
-    rows = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).join(ids, key)
-    rows = rows.withColumn("n", F.length("text")).where(F.col("n") <= max_chars).groupBy(key, "label").agg(F.min("text").alias("text"), F.min("n").alias("n"))
-    rows = stored(rows, "sample")
-    fits = rows.select(key, F.sum("n").over(Window.orderBy(F.xxhash64(key), key)).alias("total")).where(F.col("total") <= max_chars)
-    return rows.join(fits, key).orderBy(key).select(F.col(key).alias("key"), "label", "text").collect()
+    rows = docs.select(F.col(key), F.substring(F.coalesce(F.col(text), F.lit("")), 1, max_chars).alias("text")).join(ids, key)
+    rows = stored(rows.groupBy(key, "label").agg(F.min("text").alias("text")), "sample")
+    longest = _share([r.n for r in rows.select(F.length("text").alias("n")).collect()], max_chars)  # max_rows numbers
+    return rows.orderBy(key).select(F.col(key).alias("key"), "label", F.substring("text", 1, longest).alias("text")).collect()
+
+
+def _share(lengths: list[int], bound: int) -> int:
+    """The greatest length such that the texts, cut to it, keep within the bound."""
+    for i, n in enumerate(sorted(lengths)):
+        level = bound // (len(lengths) - i)
+        if n > level:
+            return level
+        bound -= n
+    return max(lengths, default=0)
 
 
 def with_score(docs: DataFrame, labelled: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text",

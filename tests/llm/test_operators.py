@@ -293,6 +293,16 @@ def test_scores_odd_rows_and_missing_labels(spark, odd_docs):
         assert near.where("_near.score between 0 and 1").count() == odd_docs.count()
 
 
+def test_long_labelled_texts_leave_the_others_in_the_sample(spark):
+    texts = {0: "a" * 95, 1: "b" * 300, **{i: f"text no {i:02d}" for i in range(2, 6)}}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in texts], "doc_id long, quality int")
+    rows = {r.key: r for r in subword.sample(labels, df, "doc_id", "text", "quality", 10, 100)}
+    assert {k: r.label for k, r in rows.items()} == {i: i % 2 for i in texts}
+    assert {k: r.text for k, r in rows.items()} == {**texts, 0: "a" * 30, 1: "b" * 30}
+    assert {r.text for r in subword.sample(labels, df, "doc_id", "text", "quality", 10, 1000)} == set(texts.values())
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(2)
     vocabulary = [f"w{i}" for i in range(60)]
