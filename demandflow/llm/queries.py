@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from demandflow.llm import decontaminate, html_text, mixing, neighbours, pii, secrets, simhash, subword, token_files as tf, weighted_sampling
+from demandflow.llm import alignment, decontaminate, html_text, language, lexical, mixing, neighbours, pii, secrets, simhash, subword, token_files as tf, weighted_sampling
 from demandflow.llm.common import read_table, shared_path
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -131,3 +131,47 @@ def _op4(spark, sf):
 def _op7(spark, sf):
     pages = html_text.with_main_text(read_table(spark, sf, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", F.col("_main").alias("text"), F.char_length("_main").cast("long").alias("n_chars"))
+
+
+LEXICAL_SQL = r"""
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+l AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY doc_id),
+g AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+m AS (SELECT doc_id, 25 + (75 * n * docs) // total AS m FROM l, g),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, g GROUP BY term, docs),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+t AS (SELECT item_id, term, count(*) AS times FROM q GROUP BY ALL),
+s AS (SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM t JOIN w USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query("op11_lexical_search", LEXICAL_SQL)
+def _op11(spark, sf):
+    index = lexical.build(read_table(spark, sf, "documents"))
+    found = lexical.search(index, read_table(spark, sf, "benchmark"), k=10)
+    return found.select(F.col("id").alias("item_id"), "rank", F.col("key").alias("doc_id"), "score")
+
+
+@query("op12_language_id")
+def _op12(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    held_out = subword.in_fold(F.col("doc_id"), 3, 1)
+    found = language.with_language(docs, docs.where(~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), F.col("_lang.lang").alias("lang_pred"), F.col("_lang.score").alias("score"))
+
+
+@query("op13_tokenizer_alignment")
+def _op13(spark, sf):
+    import public_tokenizers
+
+    found = alignment.align(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                            public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("key", "doc_id")
