@@ -36,11 +36,11 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from demandflow.llm.common import stored
+from demandflow.llm.common import release, stored
 from demandflow.session import ship_package
 
 #: Characters of a segment, and of a block of queries.
-SEGMENT_CHARS, BLOCK_CHARS = 16_000_000, 1_000_000
+SEGMENT_CHARS, BLOCK_CHARS = 4_000_000, 1_000_000
 #: Strata whose bounds are held at a time.
 STRATA = 64
 SLOPE = 75
@@ -140,6 +140,8 @@ def _build(n_docs: int, n_terms: int, segment_chars: int):
                         keys, held, names, chars, number = [], [], _Numbers(), 0, number + 1
         if keys:
             yield from _segment(number, keys, held, list(names), n_docs, n_terms)
+        del keys, held, names
+        release()
     return make
 
 
@@ -236,6 +238,7 @@ def _ranker(block, k: int):
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.repeat(np.arange(len(best)), n)), pa.array(key, mask=key == NULL_KEY),
              pa.array(np.concatenate([np.zeros(0, np.int64)] + [x for x, _ in best]))], names=["query", "key", "score"])
+        release()
     return rank
 
 
