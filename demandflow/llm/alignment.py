@@ -29,17 +29,22 @@ from __future__ import annotations
 import hashlib
 import os
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from demandflow.llm.common import stored
+from demandflow.llm.common import release, stored
 from demandflow.session import ship_package
 
 #: Characters of a chunk of documents (a longer document is a chunk of its own).
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 5_000_000
+#: Characters of the words that go through a tokenizer at a time.
+RUN_CHARS = 8_000
+#: Distinct words whose tokens are held at a time.
+PIECES = 32_768
 CHUNKS = ("chunk long, codes array<long>, docs_with array<int>, piece_at binary, piece_pair binary, piece_links binary, "
           "doc_at binary, doc_piece binary, doc_times binary, "
           "docs array<struct<key: long, n_a: long, n_b: long, n_groups: long, n_links: long, sha256: string>>")
@@ -81,17 +86,63 @@ class Pair:
         self.words = not any("▁" in p.lstrip("▁") or "\n" in p for p in names)
         self.space = self.b.piece_to_id("▁")
 
-    def pieces(self, text: str) -> list[str]:
-        """The space and the text, cut where neither tokenizer joins bytes."""
+    def words_of(self, text: str) -> list[str] | None:
+        """The space and the text, cut where neither tokenizer joins bytes; None if it must stay whole."""
         flat = text.replace("\n", " ")
-        if self.words and "  " not in flat and flat[0] != " " and flat[-1] != " " and flat.isprintable():
-            return [p if p[0] == "\n" else " " + p for p in text.replace("\n", " \n").split(" ")]
-        return [" " + text]
-
-    def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = [x.ids for x in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
-        b = self.b.encode([p if p[0] == "\n" else p[1:] for p in pieces], num_threads=1)
-        return a, [ids[1:] if p[0] == "\n" and ids[:1] == [self.space] else ids for p, ids in zip(pieces, b)]
+        if not self.words or "  " in flat or flat[0] == " " or flat[-1] == " " or not flat.isprintable():
+            return None
+        return [p if p[0] == "\n" else " " + p for p in text.replace("\n", " \n").split(" ")]
+
+    def encode(self, pieces: list[str], alone: list[bool]) -> tuple[list, list, np.ndarray]:
+        """Flat ids of both sides, the pieces in order; whether each piece's token bytes are its
+        own (else it has none). Words go through the tokenizers joined; ``alone`` marks the others."""
+        words = [i for i, x in enumerate(alone) if not x]
+        runs, at = [], 0
+        while at < len(words):
+            run, size = [], 0
+            while at < len(words) and size < RUN_CHARS:
+                run.append(words[at])
+                size += len(pieces[words[at]])
+                at += 1
+            runs.append(run)
+        runs += [[i] for i, x in enumerate(alone) if x]
+        ids, sizes, good = ([], []), ([], []), np.zeros(len(pieces), bool)
+        while runs:
+            some, runs = runs[:16], runs[16:]  # few encodings at a time
+            texts = ["".join([pieces[i] for i in run]) for run in some]
+            # a line feed at the beginning would follow B's own space: a word in front takes it
+            texts = [" a" + t if t[0] == "\n" else t for t in texts]
+            sides = ([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)],
+                     self.b.encode([t[1:] for t in texts], num_threads=1))
+            for run, text, a, b in zip(some, texts, *sides):
+                parts = [pieces[i].encode() for i in run]
+                front = 2 if text[:2] == " a" and pieces[run[0]][:1] == "\n" else 0
+                data = text.encode()
+                ends = np.cumsum([len(x) for x in parts]) + front
+                found = []
+                for tokens, table, length in ((a, self.a_bytes, self.a_len), (b, self.b_bytes, self.b_len)):
+                    tokens = np.array(tokens, np.int64)
+                    end = np.cumsum(length[tokens])
+                    found.append((tokens, end, b"".join([table[i] for i in tokens.tolist()]) == data
+                                  and bool(np.isin(ends, end, assume_unique=True).all())))
+                if not all(f[2] for f in found):
+                    if len(run) > 1:  # some word's bytes are not its own: find it among fewer words
+                        runs += [run[:len(run) // 2], run[len(run) // 2:]]
+                    continue
+                good[run] = True
+                for side, (tokens, end, _) in enumerate(found):
+                    cut = np.searchsorted(end, np.r_[front, ends], "right")
+                    ids[side].append(tokens[cut[0]:])
+                    sizes[side].append((run, np.diff(cut)))
+        return [self._by_piece(i, n, len(pieces)) for i, n in zip(ids, sizes)], good
+
+    @staticmethod
+    def _by_piece(ids: list, sizes: list, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, piece of each) in the order of the pieces."""
+        flat = np.concatenate([np.zeros(0, np.int64), *ids])
+        piece = np.concatenate([np.zeros(0, np.int64), *[np.repeat(run, size) for run, size in sizes]])
+        order = np.argsort(piece, kind="stable")
+        return flat[order], piece[order]
 
 
 _PAIRS: dict[tuple, Pair] = {}
@@ -120,16 +171,19 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(first - at, count) + np.arange(int(count.sum()))
 
 
-def _sums(keys: list[np.ndarray], values: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct key rows, sorted by the keys in order, with the sum of their values."""
-    if not len(values):
-        return keys, values
-    order = np.lexsort(keys[::-1])
-    keys = [k[order] for k in keys]
-    head = np.ones(len(order), bool)
-    head[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(head)
-    return [k[at] for k in keys], np.add.reduceat(values[order], at)
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order with their numbers."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.diff(np.r_[at, len(keys)])
+
+
+def _weighted(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order with the sums of their weights."""
+    order = np.argsort(keys)
+    keys, weights = keys[order], weights[order]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return keys[at], np.add.reduceat(weights, at) if len(at) else weights
 
 
 class Aligned:
@@ -137,18 +191,10 @@ class Aligned:
     theirs; the arrays n_a, n_b, n_groups, n_links and the texts of the groups go by piece;
     ``link_piece``, ``link_code`` (a << 32 | b) and ``link_n`` list the links of each piece."""
 
-    def __init__(self, two: Pair, pieces: list[str]):
-        a, b = two.encode(pieces)
-        data = [p.encode() for p in pieces]
-        self.good = np.array([b"".join([two.a_bytes[i] for i in x]) == d and b"".join([two.b_bytes[i] for i in y]) == d
-                              for x, y, d in zip(a, b, data)], bool)
-        ids, piece, size = [], [], []
-        for tokens, length in ((a, two.a_len), (b, two.b_len)):
-            tokens = [t if g else [] for t, g in zip(tokens, self.good)]
-            count = np.array([len(t) for t in tokens], np.int64)
-            ids.append(np.array([i for t in tokens for i in t], np.int64))
-            piece.append(np.repeat(np.arange(len(pieces)), count))
-            size.append(length[ids[-1]])
+    def __init__(self, two: Pair, pieces: list[str], alone: list[bool]):
+        sides, self.good = two.encode(pieces, alone)
+        ids, piece = [list(x) for x in zip(*sides)]
+        size = [length[i] for i, length in zip(ids, (two.a_len, two.b_len))]
         self.n_a, self.n_b = (np.bincount(p, minlength=len(pieces)) for p in piece)
         # all pieces on one axis of bytes: both sides cover it without gaps
         end = np.concatenate([np.cumsum(s) for s in size])
@@ -164,12 +210,17 @@ class Aligned:
         na, nb = np.bincount(group[side == 0], minlength=n), np.bincount(group[side == 1], minlength=n)
         self.n_links = np.bincount(of_group, weights=(na * nb).astype(np.float64), minlength=len(pieces)).astype(np.int64)
         self._texts(two, ids, side, piece, group, len(pieces))
-        (ga, ia), ca = _sums([group[side == 0], ids[side == 0]], np.ones(int(na.sum()), np.int64))
-        (gb, ib), cb = _sums([group[side == 1], ids[side == 1]], np.ones(int(nb.sum()), np.int64))
+        # distinct ids of each group and side with their numbers; each side's number of ids as factor
+        va, vb = len(two.a_bytes), len(two.b_bytes)
+        ka, ca = _counted(group[side == 0] * va + ids[side == 0])
+        kb, cb = _counted(group[side == 1] * vb + ids[side == 1])
+        ga, gb = ka // va, kb // vb
         first, many = np.searchsorted(gb, ga), np.bincount(gb, minlength=n)[ga]
         of_a, of_b = np.repeat(np.arange(len(ga)), many), _ranges(first, many)
-        (self.link_piece, self.link_code), self.link_n = _sums(
-            [of_group[ga[of_a]], (ia[of_a] << 32) | ib[of_b]], ca[of_a] * cb[of_b])
+        link = (of_group[ga[of_a]] * va + ka[of_a] % va) * vb + kb[of_b] % vb
+        link, self.link_n = _weighted(link, ca[of_a] * cb[of_b])
+        self.link_piece = link // (va * vb)
+        self.link_code = ((link // vb % va) << 32) | (link % vb)
 
     def _texts(self, two: Pair, ids, side, piece, group, n: int) -> None:
         sep = np.zeros(len(ids), np.int64)
@@ -182,6 +233,17 @@ class Aligned:
         self.texts = ["".join(said[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
+def aligned(two: Pair, pieces: list[str], alone: set[int]) -> SimpleNamespace:
+    """The arrays of :class:`Aligned` for all pieces, made for ``PIECES`` of them at a time."""
+    parts = [Aligned(two, pieces[at:at + PIECES], [i in alone for i in range(at, min(at + PIECES, len(pieces)))])
+             for at in range(0, max(1, len(pieces)), PIECES)]
+    for i, p in enumerate(parts):
+        p.link_piece += i * PIECES
+    out = {n: np.concatenate([getattr(p, n) for p in parts]) for n in
+           ("good", "n_a", "n_b", "n_groups", "n_links", "link_piece", "link_code", "link_n")}
+    return SimpleNamespace(**out, texts=[t for p in parts for t in p.texts])
+
+
 class _Numbers(dict):
     """Numbers 0, 1, ... in the order of first use."""
 
@@ -190,10 +252,10 @@ class _Numbers(dict):
         return n
 
 
-def _chunk(two: Pair, number: int, keys: list, held: list[np.ndarray], names: list[str]) -> pa.RecordBatch:
-    al = Aligned(two, names)
+def _chunk(two: Pair, number: int, keys: list, held: list[np.ndarray], names: list[str], alone: set[int]) -> pa.RecordBatch:
+    al = aligned(two, names, alone)
     count = np.array([len(x) for x in held], np.int64)
-    piece = np.concatenate([*held, np.zeros(0, np.int64)])
+    piece = np.concatenate([*held, np.zeros(0, np.int64)])  # 64 bits
     doc = np.repeat(np.arange(len(held)), count)
     bad = np.bincount(doc[~al.good[piece]], minlength=len(held)) > 0
     docs = []
@@ -205,12 +267,14 @@ def _chunk(two: Pair, number: int, keys: list, held: list[np.ndarray], names: li
         docs.append({"key": key, "sha256": sha} | {
             n: 0 if none else int(s[i]) for n, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums)})
     piece, doc = piece[~bad[doc]], doc[~bad[doc]]
-    (doc, piece), times = _sums([doc, piece], np.ones(len(doc), np.int64))
-    codes, link_pair = np.unique(al.link_code, return_inverse=True)
+    both, times = _counted(doc * len(names) + piece)
+    doc, piece = both // max(1, len(names)), both % max(1, len(names))
+    codes = _counted(al.link_code)[0]
+    link_pair = np.searchsorted(codes, al.link_code)
     piece_at = np.searchsorted(al.link_piece, np.arange(len(names) + 1))
     # documents that hold each pair linked: distinct (document, pair)
     many = np.diff(piece_at)[piece]
-    both = np.unique(np.repeat(doc, many) * max(1, len(codes)) + link_pair[_ranges(piece_at[:-1][piece], many)])
+    both = _counted(np.repeat(doc, many) * len(codes) + link_pair[_ranges(piece_at[:-1][piece], many)])[0]
     docs_with = np.bincount(both % max(1, len(codes)), minlength=len(codes)).astype(np.int32)
     doc_at = np.searchsorted(doc, np.arange(len(held) + 1))
     row = [number, codes, docs_with, *[x.astype("<i4").tobytes() for x in
@@ -225,23 +289,32 @@ _SCHEMA = pa.schema([
                                  ("sha256", pa.string())])))])
 
 
+def _strings(names: _Numbers) -> list[str]:
+    return [x if isinstance(x, str) else " " + x[0] for x in names]
+
+
 def _chunks(byte_level: str, piece_model: str, chunk_chars: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = pair(byte_level, piece_model)
         number, chars = TaskContext.get().partitionId() << 32, 0
-        keys, held, names = [], [], _Numbers()
+        keys, held, names, alone = [], [], _Numbers(), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # few texts at a time are Python strings
                 for key, text in zip(batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist()):
-                    words = two.pieces(text) if text else []
+                    words = two.words_of(text) if text else []
+                    if words is None:  # encoded whole; a key of its own keeps it apart from the words
+                        alone.add(names[text, None])
+                        words = [(text, None)]
                     keys.append(key)
-                    held.append(np.fromiter(map(names.__getitem__, words), np.int64, len(words)))
+                    held.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
                     chars += len(text or "") + 100
                     if chars >= chunk_chars:
-                        yield _chunk(two, number, keys, held, list(names))
-                        keys, held, names, chars, number = [], [], _Numbers(), 0, number + 1
+                        yield _chunk(two, number, keys, held, _strings(names), alone)
+                        keys, held, names, alone, chars, number = [], [], _Numbers(), set(), 0, number + 1
         if keys:
-            yield _chunk(two, number, keys, held, list(names))
+            yield _chunk(two, number, keys, held, _strings(names), alone)
+        del keys, held, names
+        release()
     return make
 
 
