@@ -22,7 +22,7 @@ row; extra columns are passed through. Memory: a text, its distinct words, and t
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,35 +98,75 @@ class Model:
                     count[row[unit], place[x]] += n
             self.logs[size] = np.log(count / (count.sum(axis=0) + 0.5)).astype(np.float32)
 
-    def of_word(self, word: str) -> np.ndarray | None:
-        if word in self.row[0]:
-            return self.logs[0][self.row[0][word]]
-        for step, n in enumerate(GRAMS, 1):
-            found = [self.row[n][g] for g in grams(word, n) if g in self.row[n]]
-            if found:
-                return self.logs[n][found].mean(axis=0) - STEP * step
-        return None
-
-    def predict(self, text: str | None, seen: dict) -> tuple[str, float]:
-        """Language and probability; ``seen`` remembers words between calls."""
-        found = Counter(words(text))
-        if not found or not self.langs:
-            return "und", 0.0
-        total, number = np.zeros(len(self.langs)), 0
-        for word, n in found.items():
-            if word in seen:
-                logs = seen[word]
+    def of_words(self, some: list[str]) -> np.ndarray:
+        """A row per word: log frequencies of the word or of its longest known n-grams; a last
+        column is 1, or 0 where nothing is known (then all are)."""
+        out = np.zeros((len(some), len(self.langs) + 1))
+        which: dict[int, tuple[list, list, list]] = {size: ([], [], []) for size in self.row}
+        whole = self.row[0]
+        for i, word in enumerate(some):
+            if word in whole:
+                found, size = [whole[word]], 0
             else:
-                logs = self.of_word(word)
-                if len(word) <= LONGEST and len(seen) < HELD:
-                    seen[word] = logs
-            if logs is not None:
-                total += n * logs
-                number += n
-        z = self.prior + total / max(1.0, number) ** 0.5 if number else self.prior
-        p = np.exp(z - z.max())
-        best = int(p.argmax())
-        return self.langs[best], float(p[best] / p.sum())
+                for size in GRAMS:
+                    row = self.row[size]
+                    found = [row[g] for g in grams(word, size) if g in row]
+                    if found:
+                        break
+            if found:
+                at, count, rows = which[size]
+                at.append(i)
+                count.append(len(found))
+                rows += found
+        for size, (at, count, rows) in which.items():
+            if at:
+                n = np.array(count)
+                sums = np.add.reduceat(self.logs[size][rows].astype(np.float64), np.cumsum(n) - n)
+                step = 0 if size == 0 else STEP * (GRAMS.index(size) + 1)
+                out[at, :-1] = sums / n[:, None] - step
+                out[at, -1] = 1
+        return out
+
+    def predict(self, texts: list[str | None], memory: Memory) -> list[tuple[str, float]]:
+        """Language and probability of each text."""
+        found = [Counter(words(t)) for t in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        place = memory.places({w for c in found for w in c}, self)
+        out = []
+        for count in found:
+            if not count:
+                out.append(("und", 0.0))
+                continue
+            n = np.fromiter(count.values(), np.float64, len(count))
+            total = n @ memory.rows[np.fromiter(map(place.__getitem__, count), np.int64, len(count))]
+            z = self.prior + total[:-1] / max(1.0, total[-1]) ** 0.5
+            p = np.exp(z - z.max())
+            best = int(p.argmax())
+            out.append((self.langs[best], float(p[best] / p.sum())))
+        return out
+
+
+class Memory:
+    """Rows of the words met by a task: the first ``HELD`` stay, the others are made anew."""
+
+    def __init__(self, langs: int):
+        self.known: dict[str, int] = {}
+        self.rows = np.zeros((1024, langs + 1))
+
+    def places(self, some: set[str], model: Model) -> dict[str, int]:
+        new = [w for w in some if w not in self.known]
+        if not new:
+            return self.known
+        at = len(self.known)
+        if at + len(new) > len(self.rows):
+            self.rows = np.concatenate([self.rows[:at], np.zeros((at + 2 * len(new), self.rows.shape[1]))])
+        self.rows[at:at + len(new)] = model.of_words(new)
+        places = dict(zip(new, range(at, at + len(new))))
+        if at + len(new) <= HELD and max(map(len, new)) <= LONGEST:
+            self.known.update(places)
+            return self.known
+        return ChainMap(places, self.known)
 
 
 def _most_frequent(units: DataFrame, words: int, grams: int) -> DataFrame:
@@ -170,11 +210,11 @@ def with_language(docs: DataFrame, labelled: DataFrame, lang: str = "lang", text
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def predicted(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        seen: dict = {}
+        memory = Memory(len(model.value.langs))
         for some in texts:
             found = []
             for at in range(0, len(some), 64):  # few texts at a time are Python strings
-                found += [model.value.predict(t, seen) for t in some.slice(at, 64).to_pylist()]
+                found += model.value.predict(some.slice(at, 64).to_pylist(), memory)
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())],
                                              names=["lang", "score"])
 
