@@ -7,8 +7,6 @@ row counts here and by numpy references in the unit tests.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -191,81 +189,146 @@ def q_cluster_report(spark, sf):
              .select("series", ts_text("ts").alias("ts"), "PC1", "PC2", "cluster", "silhouette"))
 
 
-# --- DBSCAN on a fine grid (J5, C13, C14) -------------------------------------------
+# --- nearest neighbours and DBSCAN on all rows of W (J4, J5, O5, C13, C14) -----------
 
 from demandflow.operators import dbscan as DB  # noqa: E402
+from demandflow.operators import features as FE  # noqa: E402
+from demandflow.operators import spatial as SP  # noqa: E402
+from demandflow.operators.clean import impute_mean  # noqa: E402
+from demandflow.operators.quantiles import quantiles  # noqa: E402
+
+EPS, MIN_SAMPLES = 0.3, 10
+Z3 = ["z0", "z1", "z2"]
+
+
+def _z(spark, sf):
+    """The three clustering features of every W row, standardised, to six decimals (so that
+    both engines start from the same numbers), with an id in (series, ts) order."""
+    w = FE.standardize(impute_mean(V.weather(spark, sf), FEATS), FEATS, suffix="__z")
+    ts = ts_text("ts")
+    return w.select("series", ts.alias("ts"), F.concat_ws("|", "series", ts).alias("id"), *FEATS,
+                    *[r6(f"{c}__z").alias(z) for c, z in zip(FEATS, Z3)])
+
+
+Z_CTES = [
+    ("z", "SELECT series, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, series || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') AS id, "
+     + ", ".join(FEATS) + ", " + ", ".join(
+         f"""round(({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () = 0 THEN 1
+             ELSE stddev_pop({c}) OVER () END, 6) AS z{i}""" for i, c in enumerate(FEATS)) + " FROM w"),
+    ("far", """SELECT a.id AS a, b.id AS b, sqrt((a.z0 - b.z0) * (a.z0 - b.z0) + (a.z1 - b.z1) * (a.z1 - b.z1)
+                      + (a.z2 - b.z2) * (a.z2 - b.z2)) AS d FROM z a, z b"""),
+    ("kd", "SELECT a AS id, min(d, 50) AS l FROM far GROUP BY a"),
+    ("dist", "SELECT id, l[least(5, len(l))] AS d5, l[least(6, len(l))] AS d6, l[least(50, len(l))] AS d50 FROM kd"),
+]
 
-EPS, MIN_SAMPLES = 0.08, 10
-E3 = ["e0", "e1", "e2"]
 
+@query("kth_neighbor_distance", V.with_views("""SELECT series, ts, round(d5, 4) AS distance_5, round(d50, 4) AS distance_50
+FROM z JOIN dist USING (id)""", "w", ctes=Z_CTES))
+def q_kth_neighbor_distance(spark, sf):
+    out = SP.kth_neighbor_distance(_z(spark, sf), "id", Z3, [5, 50])
+    return out.select("series", "ts", *[F.round(c, 4).alias(c) for c in ("distance_5", "distance_50")])
 
-def _emb3(spark, sf):
-    e = V.vectors(spark, sf)
-    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(c)
-                                         for i, c in enumerate(E3)])
 
+@query("k_distance_curve", V.with_views("""SELECT row_number() OVER (ORDER BY d50, id) AS position, round(d50, 4) AS distance
+FROM dist""", "w", ctes=Z_CTES))
+def q_k_distance_curve(spark, sf):
+    return SP.k_distance_curve(_z(spark, sf), "id", Z3, 50).withColumn("distance", F.round("distance", 4))
 
-E3_CTES = [
-    ("e3", "SELECT vec_id, embedding[1]::DOUBLE AS e0, embedding[2]::DOUBLE AS e1, "
-           "embedding[3]::DOUBLE AS e2 FROM embeddings"),
-    ("nb", f"""SELECT a.vec_id AS a, b.vec_id AS b FROM e3 a JOIN e3 b
-               ON (a.e0 - b.e0) * (a.e0 - b.e0) + (a.e1 - b.e1) * (a.e1 - b.e1)
-                  + (a.e2 - b.e2) * (a.e2 - b.e2) <= {EPS} * {EPS}"""),
-]
+
+@query("k_distance_percentiles", V.with_views("""SELECT 6 AS k, 1 AS percent, round(quantile_cont(d6, 0.01), 6) AS eps FROM dist
+UNION ALL SELECT 50, 10, round(quantile_cont(d50, 0.1), 6) FROM dist
+UNION ALL SELECT 50, 15, round(quantile_cont(d50, 0.15), 6) FROM dist
+UNION ALL SELECT 50, 20, round(quantile_cont(d50, 0.2), 6) FROM dist""", "w", ctes=Z_CTES))
+def q_k_distance_percentiles(spark, sf):
+    """The eps candidates: 1 % of the distance to the max(5, 2 d)-th row, 10, 15 and 20 % of the 50th."""
+    rows = SP.kth_neighbor_distance(_z(spark, sf), "id", Z3, [6, 50])
+    q = quantiles(rows, ["distance_6", "distance_50"], [0.01, 0.1, 0.15, 0.2])
+    q = q.select(F.substring("column", 10, 9).cast("int").alias("k"), F.round(F.col("p") * 100).cast("int").alias("percent"),
+                 r6("value").alias("eps"))
+    return q.where("(k = 6 AND percent = 1) OR (k = 50 AND percent > 1)")
 
 
-@query("epsilon_neighbor_counts", "WITH " + ",\n".join(f"{n} AS ({q})" for n, q in E3_CTES)
-       + "\nSELECT a AS vec_id, count(*) AS n_neighbors FROM nb GROUP BY a")
+@query("epsilon_neighbor_counts", V.with_views(f"""SELECT series, ts, n_neighbors FROM z JOIN (
+SELECT a AS id, count(*) AS n_neighbors FROM far WHERE d <= {EPS} GROUP BY a) USING (id)""", "w", ctes=Z_CTES))
 def q_epsilon_neighbor_counts(spark, sf):
-    return DB.neighbor_counts(_emb3(spark, sf), "vec_id", E3, EPS)
+    return SP.neighbor_counts(_z(spark, sf), "id", Z3, EPS).select("series", "ts", "n_neighbors")
+
+
+#: DBSCAN for every row of ``runs`` (run, eps, ms): cores, cells of side eps / sqrt(3) with cores
+#: as nodes, nodes joined by core pairs within eps, borders.
+LABEL_CTES = [
+    ("near", "SELECT * FROM far WHERE d <= (SELECT max(eps) FROM runs)"),
+    ("core", "SELECT run, a AS id FROM near JOIN runs ON d <= eps GROUP BY run, a, ms HAVING count(*) >= ms"),
+    ("cell", """SELECT run, id, [floor(z0 / (eps / sqrt(3))), floor(z1 / (eps / sqrt(3))), floor(z2 / (eps / sqrt(3)))] AS c
+                FROM core JOIN runs USING (run) JOIN z USING (id)"""),
+    ("nd", "SELECT run, id, min(id) OVER (PARTITION BY run, c) AS node FROM cell"),
+    ("ce", """SELECT DISTINCT x.run, x.node AS a, y.node AS b FROM near JOIN nd x ON x.id = near.a
+              JOIN nd y ON y.id = near.b AND y.run = x.run JOIN runs ON runs.run = x.run AND d <= eps WHERE x.node <> y.node"""),
+    ("reach(run, src, dst)", """SELECT DISTINCT run, node, node FROM nd
+              UNION SELECT r.run, r.src, ce.b FROM reach r JOIN ce ON ce.run = r.run AND ce.a = r.dst"""),
+    ("comp", "SELECT run, src AS node, min(dst) AS c FROM reach GROUP BY run, src"),
+    ("num", "SELECT run, node, CAST(dense_rank() OVER (PARTITION BY run ORDER BY c) - 1 AS INTEGER) AS cluster FROM comp"),
+    ("cl", "SELECT run, id, cluster FROM nd JOIN num USING (run, node)"),
+    ("border", """SELECT cl.run, near.a AS id, min(cluster) AS cluster FROM near JOIN cl ON cl.id = near.b
+                  JOIN runs ON runs.run = cl.run AND d <= eps GROUP BY cl.run, near.a"""),
+    ("lab", """SELECT runs.run, z.id, cl.id IS NOT NULL AS is_core, coalesce(cl.cluster, border.cluster, -1) AS label
+               FROM z CROSS JOIN runs LEFT JOIN cl ON cl.run = runs.run AND cl.id = z.id
+               LEFT JOIN border ON border.run = runs.run AND border.id = z.id"""),
+]
 
 
-DBSCAN_CTES = E3_CTES + [
-    ("cnt", f"SELECT a AS id, count(*) >= {MIN_SAMPLES} AS core FROM nb GROUP BY a"),
-    ("ce", """SELECT nb.a, nb.b FROM nb JOIN cnt ca ON ca.id = nb.a AND ca.core
-              JOIN cnt cb ON cb.id = nb.b AND cb.core"""),
-]
-DBSCAN_SQL = "WITH RECURSIVE " + ",\n".join(f"{n} AS ({q})" for n, q in DBSCAN_CTES) + """,
-reach(src, dst) AS (SELECT id, id FROM cnt WHERE core
-                    UNION SELECT r.src, ce.b FROM reach r JOIN ce ON ce.a = r.dst),
-comp AS (SELECT src AS id, min(dst) AS c FROM reach GROUP BY src),
-num AS (SELECT id, CAST(dense_rank() OVER (ORDER BY c) - 1 AS INTEGER) AS cluster FROM comp),
-border AS (SELECT nb.a AS id, min(num.cluster) AS cluster FROM nb JOIN num ON num.id = nb.b GROUP BY nb.a)
-SELECT cnt.id AS vec_id, cnt.core AS is_core, coalesce(num.cluster, border.cluster, -1) AS label
-FROM cnt LEFT JOIN num USING (id) LEFT JOIN border USING (id)"""
+def _recursive(sql):
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+ONE_RUN = Z_CTES[:2] + [("runs", f"SELECT 0 AS run, {EPS} AS eps, {MIN_SAMPLES} AS ms")] + LABEL_CTES
+DBSCAN_SQL = _recursive(V.with_views("SELECT series, ts, is_core, label FROM lab JOIN z USING (id)", "w", ctes=ONE_RUN))
 
 
 @query("dbscan", DBSCAN_SQL)
 def q_dbscan(spark, sf):
-    out = DB.dbscan(_emb3(spark, sf).drop("label"), "vec_id", E3, EPS, MIN_SAMPLES)
-    return out.select("vec_id", "is_core", "label")
+    return DB.dbscan(_z(spark, sf), "id", Z3, EPS, MIN_SAMPLES).select("series", "ts", "is_core", "label")
+
+
+@query("dbscan_cluster_means", _recursive(V.with_views(f"""SELECT label, count(*) AS n, {", ".join(f"round(avg({c}), 6) AS {c}" for c in FEATS)}
+FROM lab JOIN z USING (id) WHERE label >= 0 GROUP BY label""", "w", ctes=ONE_RUN)))
+def q_dbscan_cluster_means(spark, sf):
+    """Mean of each feature per DBSCAN cluster, noise left out (D3)."""
+    lab = DB.dbscan(_z(spark, sf), "id", Z3, EPS, MIN_SAMPLES).where("label >= 0")
+    return lab.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(c)).alias(c) for c in FEATS])
+
+
+GRID_CTES = Z_CTES + [
+    ("eps", """SELECT unnest([0, 1, 2]) AS e, unnest([quantile_cont(d50, 0.1), quantile_cont(d50, 0.15), quantile_cont(d50, 0.2)]) AS eps
+               FROM dist"""),
+    ("runs", "SELECT 3 * e + m AS run, eps, 10 + 5 * m AS ms FROM eps, (SELECT unnest([0, 1, 2]) AS m)"),
+] + LABEL_CTES + [
+    ("pts", "SELECT run, id, label, z0, z1, z2, z0 * z0 + z1 * z1 + z2 * z2 AS n2 FROM lab JOIN z USING (id) WHERE label >= 0"),
+    ("cs", """SELECT run, label AS cl, count(*) AS n, sum(n2) AS q, sum(z0) AS s0, sum(z1) AS s1, sum(z2) AS s2
+              FROM pts GROUP BY run, label"""),
+    ("dd", "SELECT p.run, id, label, cl, n, n * n2 - 2 * (z0 * s0 + z1 * s1 + z2 * s2) + q AS summed FROM pts p JOIN cs USING (run)"),
+    ("ab", """SELECT run, id, max(CASE WHEN cl = label THEN n END) AS own, max(CASE WHEN cl = label AND n > 1 THEN summed / (n - 1) END) AS a,
+              min(CASE WHEN cl <> label THEN summed / n END) AS b FROM dd GROUP BY run, id"""),
+    ("sil", """SELECT run, avg(CASE WHEN own <= 1 THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END) AS s
+               FROM ab WHERE b IS NOT NULL GROUP BY run"""),
+    ("cnt", """SELECT run, count(DISTINCT CASE WHEN label >= 0 THEN label END) AS n,
+               avg(CASE WHEN label < 0 THEN 1.0 ELSE 0.0 END) AS noise FROM lab GROUP BY run"""),
+    ("res", """SELECT run, eps, ms, n, noise, s, n > 1 AND noise < 0.5 AS ok FROM runs JOIN cnt USING (run) LEFT JOIN sil USING (run)"""),
+    ("win", "SELECT run FROM res WHERE ok AND s > -1 ORDER BY s DESC, run LIMIT 1"),
+]
+GRID_SQL = _recursive(V.with_views("""SELECT round(eps, 6) AS eps, ms AS min_samples, n AS n_clusters, round(noise, 6) AS noise_share,
+round(s, 6) AS silhouette, ok AS admissible, run IN (SELECT run FROM win) AS best FROM res""", "w", ctes=GRID_CTES))
 
 
-@query("dbscan_grid")
+@query("dbscan_grid", GRID_SQL)
 def q_dbscan_grid(spark, sf):
-    """eps x min_samples grid (C14): clusters, noise share, silhouette
-    (squared, noise left out); admissible when more than one cluster and
-    less than half noise; ``best`` marks the highest silhouette."""
-    pts = _emb3(spark, sf).drop("label").persist()
-
-    def run(setting):
-        eps, ms = setting
-        lab = DB.dbscan(pts, "vec_id", E3, eps, ms).persist()
-        s = DB.dbscan_summary(lab).first()
-        sil = None
-        if s["n_clusters"] and s["n_clusters"] > 1:
-            vec = C.assemble(lab.where(F.col("label") >= 0), E3)
-            sil = C.silhouette_sq(vec, "label").first()["silhouette"]
-        ok = bool(s["n_clusters"] and s["n_clusters"] > 1 and s["noise_share"] < 0.5)
-        lab.unpersist()
-        return (eps, ms, int(s["n_clusters"]), float(s["noise_share"]),
-                float(sil) if sil is not None else None, ok)
-
-    grid = [(eps, ms) for eps in (0.06, 0.08, 0.1) for ms in (10, 15, 20)]
-    with ThreadPoolExecutor(max_workers=3) as pool:       # independent runs as concurrent jobs
-        rows = list(pool.map(run, grid))
-    adm = [r for r in rows if r[5] and r[4] is not None]
-    best = max(adm, key=lambda r: (r[4], -r[0], -r[1]))[:2] if adm else None
-    return spark.createDataFrame([(*r, r[:2] == best) for r in rows],
-                                 "eps double, min_samples int, n_clusters int, noise_share double, "
-                                 "silhouette double, admissible boolean, best boolean")
+    """eps from the k-distances x min_samples (C14), one run of all settings."""
+    table = DB.Grid(_z(spark, sf), "id", Z3).table
+    return table.withColumns({c: r6(c) for c in ("eps", "noise_share", "silhouette")})
+
+
+@query("dbscan_best", _recursive(V.with_views("""SELECT series, ts, label FROM z LEFT JOIN (
+SELECT id, label FROM lab WHERE run IN (SELECT run FROM win)) USING (id)""", "w", ctes=GRID_CTES)))
+def q_dbscan_best(spark, sf):
+    """Labels of the best setting of the grid."""
+    return DB.Grid(_z(spark, sf), "id", Z3).labelled().select("series", "ts", "label")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: UTC wall clock (timestamps compare equal to
 # DuckDB's naive timestamps), ANSI arithmetic, and AQE for runtime re-planning
@@ -82,3 +83,12 @@ def ship_package(spark: SparkSession) -> None:
                                   base_dir=os.path.basename(pkg))
     sc.addPyFile(archive)
     _SHIPPED.add(sc.applicationId)
+
+
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back: cuts the lineage, keeps
+    column pruning, and a lost executor costs no recomputation."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
