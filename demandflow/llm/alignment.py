@@ -8,13 +8,13 @@ of it. A pair of ids counts the documents that hold it linked; a document report
 of its links are their A id's most frequent pair, and the sum of its links' counts.
 
 How it scales. Documents are cut into chunks of bounded length, in place. Neither tokenizer
-joins bytes across a single space or line feed between visible characters, so a chunk
-encodes and coalesces each distinct word once; other texts (runs of spaces, tabs, control
-characters) are encoded whole. Chunks are written to the shared folder with the distinct
-pairs they hold and in how many documents each occurs; only those pairs are exchanged, once
-by pair for the counts and once back to their chunk. Nothing is collected and nothing that
-grows with the data is broadcast (the best count of every A id has at most as many rows as
-the vocabulary).
+joins bytes across a single space or line feed between visible characters, so a task
+encodes and coalesces each distinct word once (a bounded number is remembered); other texts
+(runs of spaces, tabs, control characters) are encoded whole. Chunks are written to the
+shared folder with the distinct pairs they hold and in how many documents each occurs; only
+those pairs are exchanged, by pair for the counts and then back to their chunk. Nothing is
+collected; the best count of every A id (at most a row per id of the vocabulary) is
+broadcast, and the counts of all pairs where they are at most ``SENT_PAIRS``.
 
 Defined cases: a text that is null, empty, or whose joined token bytes differ from the
 space and the text has no tokens: zeros and an empty digest; null keys are kept; repeated
@@ -40,12 +40,16 @@ from demandflow.llm.common import release, stored
 from demandflow.session import ship_package
 
 #: Characters of a chunk of documents (a longer document is a chunk of its own).
-CHUNK_CHARS = 5_000_000
+CHUNK_CHARS = 4_000_000
 #: Characters of the words that go through a tokenizer at a time.
 RUN_CHARS = 8_000
 #: Distinct words whose tokens are held at a time.
-PIECES = 32_768
-CHUNKS = ("chunk long, codes array<long>, docs_with array<int>, piece_at binary, piece_pair binary, piece_links binary, "
+PIECES = 16_384
+#: Distinct words whose groups a task remembers from chunk to chunk.
+REMEMBERED = 250_000
+#: Distinct pairs up to which their counts are sent to every task (16 bytes each); more are joined by exchange.
+SENT_PAIRS = 1_000_000
+CHUNKS = ("chunk long, codes array<long>, docs_with array<int>, sizes array<int>, piece_at binary, piece_pair binary, piece_links binary, "
           "doc_at binary, doc_piece binary, doc_times binary, "
           "docs array<struct<key: long, n_a: long, n_b: long, n_groups: long, n_links: long, sha256: string>>")
 RESULT = "key long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -233,103 +237,147 @@ class Aligned:
         self.texts = ["".join(said[s:e]) for s, e in zip(cuts, cuts[1:])]
 
 
-def aligned(two: Pair, pieces: list[str], alone: set[int]) -> SimpleNamespace:
-    """The arrays of :class:`Aligned` for all pieces, made for ``PIECES`` of them at a time."""
-    parts = [Aligned(two, pieces[at:at + PIECES], [i in alone for i in range(at, min(at + PIECES, len(pieces)))])
-             for at in range(0, max(1, len(pieces)), PIECES)]
-    for i, p in enumerate(parts):
-        p.link_piece += i * PIECES
-    out = {n: np.concatenate([getattr(p, n) for p in parts]) for n in
-           ("good", "n_a", "n_b", "n_groups", "n_links", "link_piece", "link_code", "link_n")}
-    return SimpleNamespace(**out, texts=[t for p in parts for t in p.texts])
+class Words:
+    """What a task knows of the words it met: their numbers, and by number the arrays of
+    :class:`Aligned`, links from ``link_at[i]`` to ``link_at[i + 1]``."""
+
+    FIELDS = ("good", "n_a", "n_b", "n_groups", "n_links")
+
+    def __init__(self, two: Pair):
+        self.two, self.number, self.alone, self.texts = two, _Numbers(), set(), []
+        self.fields = {n: [] for n in self.FIELDS}
+        self.codes, self.counts, self.sizes = [], [], []
+
+    def learn(self) -> None:
+        """Align the words met since the last call, ``PIECES`` at a time."""
+        new = self.number.new
+        done = len(self.number) - len(new)
+        for at in range(0, len(new), PIECES):
+            some = new[at:at + PIECES]
+            al = Aligned(self.two, [x if isinstance(x, str) else " " + x[0] for x in some],
+                         [done + at + i in self.alone for i in range(len(some))])
+            for n in self.FIELDS:
+                self.fields[n].append(getattr(al, n))
+            self.texts += al.texts
+            self.codes.append(al.link_code)
+            self.counts.append(al.link_n.astype(np.int32))
+            self.sizes.append(np.bincount(al.link_piece, minlength=len(some)))
+        self.number.new = []
+        for held in (*self.fields.values(), self.codes, self.counts, self.sizes):
+            held[:] = [np.concatenate(held)] if held else []
+
+    def table(self) -> SimpleNamespace:
+        none = np.zeros(0, np.int64)
+        get = lambda held: held[0] if held else none
+        return SimpleNamespace(**{n: get(v) for n, v in self.fields.items()}, texts=self.texts, codes=get(self.codes),
+                               counts=get(self.counts), link_at=np.r_[0, np.cumsum(get(self.sizes))])
 
 
 class _Numbers(dict):
-    """Numbers 0, 1, ... in the order of first use."""
+    """Numbers 0, 1, ... in the order of first use; ``new`` lists the latest keys."""
+
+    def __init__(self):
+        self.new: list = []
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.new.append(key)
         return n
 
 
-def _chunk(two: Pair, number: int, keys: list, held: list[np.ndarray], names: list[str], alone: set[int]) -> pa.RecordBatch:
-    al = aligned(two, names, alone)
+def _packed(x: np.ndarray) -> pa.Buffer:
+    """Differences of neighbours as compressed 32-bit integers: ascending or equal numbers get small."""
+    return pa.compress(np.diff(x, prepend=0).astype("<i4").tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(data, n * 4, "zstd"), "<i4").astype(np.int64))
+
+
+def _chunk(words: Words, number: int, keys: list, held: list[np.ndarray]) -> pa.RecordBatch:
+    words.learn()
+    al = words.table()
     count = np.array([len(x) for x in held], np.int64)
-    piece = np.concatenate([*held, np.zeros(0, np.int64)])  # 64 bits
+    piece = np.concatenate([np.zeros(0, np.int32), *held])
     doc = np.repeat(np.arange(len(held)), count)
-    bad = np.bincount(doc[~al.good[piece]], minlength=len(held)) > 0
+    bad = np.bincount(doc[~al.good[piece]], minlength=len(held)) > 0 if len(piece) else np.zeros(len(held), bool)
     docs = []
     sums = [np.bincount(doc, weights=v[piece].astype(np.float64), minlength=len(held)).astype(np.int64)
             for v in (al.n_a, al.n_b, al.n_groups, al.n_links)]
-    for i, (key, words) in enumerate(zip(keys, held)):
-        none = bad[i] or not len(words)
-        sha = "" if none else hashlib.sha256(";".join([al.texts[w] for w in words.tolist()]).encode()).hexdigest()
+    for i, (key, own) in enumerate(zip(keys, held)):
+        none = bad[i] or not len(own)
+        sha = "" if none else hashlib.sha256(";".join([al.texts[w] for w in own.tolist()]).encode()).hexdigest()
         docs.append({"key": key, "sha256": sha} | {
             n: 0 if none else int(s[i]) for n, s in zip(("n_a", "n_b", "n_groups", "n_links"), sums)})
+    # words of the chunk, numbered within it, and the words of each document with their numbers
     piece, doc = piece[~bad[doc]], doc[~bad[doc]]
-    both, times = _counted(doc * len(names) + piece)
-    doc, piece = both // max(1, len(names)), both % max(1, len(names))
-    codes = _counted(al.link_code)[0]
-    link_pair = np.searchsorted(codes, al.link_code)
-    piece_at = np.searchsorted(al.link_piece, np.arange(len(names) + 1))
+    used = _counted(piece)[0]
+    both, times = _counted(doc * max(1, len(used)) + np.searchsorted(used, piece))
+    doc, piece = both // max(1, len(used)), both % max(1, len(used))
+    many = (al.link_at[1:] - al.link_at[:-1])[used]
+    links = _ranges(al.link_at[:-1][used], many)
+    codes = _counted(al.codes[links])[0]
+    link_pair = np.searchsorted(codes, al.codes[links])
+    link_at = np.r_[0, np.cumsum(many)]
     # documents that hold each pair linked: distinct (document, pair)
-    many = np.diff(piece_at)[piece]
-    both = _counted(np.repeat(doc, many) * len(codes) + link_pair[_ranges(piece_at[:-1][piece], many)])[0]
+    own = _ranges(link_at[:-1][piece], many[piece])
+    both = _counted(np.repeat(doc, many[piece]) * max(1, len(codes)) + link_pair[own])[0]
     docs_with = np.bincount(both % max(1, len(codes)), minlength=len(codes)).astype(np.int32)
     doc_at = np.searchsorted(doc, np.arange(len(held) + 1))
-    row = [number, codes, docs_with, *[x.astype("<i4").tobytes() for x in
-                                       (piece_at, link_pair, al.link_n, doc_at, piece, times)], docs]
+    arrays = (link_at, link_pair, al.counts[links], doc_at, piece, times)
+    row = [number, codes, docs_with, [len(x) for x in arrays], *[_packed(x) for x in arrays], docs]
     return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCHEMA)], schema=_SCHEMA)
 
 
 _SCHEMA = pa.schema([
-    ("chunk", pa.int64()), ("codes", pa.list_(pa.int64())), ("docs_with", pa.list_(pa.int32())),
+    ("chunk", pa.int64()), ("codes", pa.list_(pa.int64())), ("docs_with", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
     *[(n, pa.binary()) for n in ("piece_at", "piece_pair", "piece_links", "doc_at", "doc_piece", "doc_times")],
     ("docs", pa.list_(pa.struct([("key", pa.int64()), *[(n, pa.int64()) for n in ("n_a", "n_b", "n_groups", "n_links")],
                                  ("sha256", pa.string())])))])
 
 
-def _strings(names: _Numbers) -> list[str]:
-    return [x if isinstance(x, str) else " " + x[0] for x in names]
-
-
 def _chunks(byte_level: str, piece_model: str, chunk_chars: int):
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         two = pair(byte_level, piece_model)
         number, chars = TaskContext.get().partitionId() << 32, 0
-        keys, held, names, alone = [], [], _Numbers(), set()
+        keys, held, words = [], [], Words(two)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):  # few texts at a time are Python strings
                 for key, text in zip(batch.column(0).slice(at, 64).to_pylist(), batch.column(1).slice(at, 64).to_pylist()):
-                    words = two.words_of(text) if text else []
-                    if words is None:  # encoded whole; a key of its own keeps it apart from the words
-                        alone.add(names[text, None])
-                        words = [(text, None)]
+                    some = two.words_of(text) if text else []
+                    if some is None:  # encoded whole; a key of its own keeps it apart from the words
+                        words.alone.add(words.number[text, None])
+                        some = [(text, None)]
                     keys.append(key)
-                    held.append(np.fromiter(map(names.__getitem__, words), np.int32, len(words)))
+                    held.append(np.fromiter(map(words.number.__getitem__, some), np.int32, len(some)))
                     chars += len(text or "") + 100
                     if chars >= chunk_chars:
-                        yield _chunk(two, number, keys, held, _strings(names), alone)
-                        keys, held, names, alone, chars, number = [], [], _Numbers(), set(), 0, number + 1
+                        yield _chunk(words, number, keys, held)
+                        keys, held, chars, number = [], [], 0, number + 1
+                        if len(words.number) > REMEMBERED or words.alone:
+                            words = Words(two)
         if keys:
-            yield _chunk(two, number, keys, held, _strings(names), alone)
-        del keys, held, names
+            yield _chunk(words, number, keys, held)
+        del keys, held, words
         release()
     return make
 
 
+#: Bits below a pair's place in its chunk: number of documents (35), whether it is its A id's best (1).
+FACT_BITS = 36
+
+
 def _scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a chunk with the counts of its pairs, to one row per document."""
     for batch in batches:
         for at in range(batch.num_rows):
             row = {n: batch.column(n)[at] for n in batch.schema.names}
-            facts = row["facts"].values
-            pos, total = facts.field("pos").to_numpy(), facts.field("total").to_numpy()
-            best = facts.field("best").to_numpy(zero_copy_only=False)
+            facts = row["facts"].values.to_numpy()
+            pos, total = facts >> FACT_BITS, (facts & ((1 << FACT_BITS) - 1)) >> 1
             value = np.zeros((2, len(pos)), np.int64)
-            value[0, pos], value[1, pos] = best, total
-            ints = {n: np.frombuffer(row[n].as_buffer(), "<i4").astype(np.int64) for n in (
-                "piece_at", "piece_pair", "piece_links", "doc_at", "doc_piece", "doc_times")}
+            value[0, pos], value[1, pos] = facts & 1, total
+            ints = {n: _unpacked(row[n].as_buffer(), k) for n, k in zip(
+                ("piece_at", "piece_pair", "piece_links", "doc_at", "doc_piece", "doc_times"), row["sizes"].as_py())}
             sums = []
             for v in value:  # links of a piece, then pieces of a document
                 links = np.r_[0, np.cumsum(v[ints["piece_pair"]] * ints["piece_links"])]
@@ -352,8 +400,13 @@ def align(docs: DataFrame, byte_level: str, piece_model: str, key: str = "doc_id
     counts = stored(pairs.groupBy("code").agg(F.sum("n").alias("total")), "pair-counts")
     a = F.shiftright("code", 32)
     best = counts.groupBy(a.alias("a")).agg(F.max("total").alias("most"))  # a row per id of the vocabulary at most
-    counts = counts.join(F.broadcast(best), a == F.col("a")).select("code", "total", (F.col("total") == F.col("most")).alias("best"))
-    facts = pairs.join(counts, "code").groupBy("chunk").agg(F.collect_list(F.struct("pos", "total", "best")).alias("facts"))
-    none = F.array().cast("array<struct<pos: int, total: bigint, best: boolean>>")
-    whole = chunks.drop("codes", "docs_with").join(facts, "chunk", "left").withColumn("facts", F.coalesce("facts", none))
+    counts = counts.join(F.broadcast(best), a == F.col("a")).select(
+        "code", (F.col("total") * 2 + (F.col("total") == F.col("most")).cast("long")).alias("fact"))
+    if counts.count() <= SENT_PAIRS:
+        counts = F.broadcast(counts)
+    facts = pairs.select("chunk", "pos", "code").join(counts, "code").select(
+        "chunk", F.shiftleft(F.col("pos").cast("long"), FACT_BITS).bitwiseOR(F.col("fact")).alias("fact"))
+    facts = facts.groupBy("chunk").agg(F.collect_list("fact").alias("facts"))  # the pairs of a chunk: bounded
+    whole = chunks.drop("codes", "docs_with").join(facts, "chunk", "left").withColumn(
+        "facts", F.coalesce("facts", F.array().cast("array<bigint>")))
     return whole.mapInArrow(_scored, RESULT)
