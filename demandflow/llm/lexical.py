@@ -6,8 +6,9 @@ lower-cased. A document of n terms has the normaliser m = 100 - b + (b * n * N)
 w * (10**9 * tf div (1000 * tf + 8 * m)).
 
 Index: documents are cut into segments of bounded length, in place, and grouped by equal m
-within a segment. Such a stratum is one row of the index table: its documents, its terms in
-order, and each term's postings in runs of equal tf, highest tf first. Inside a stratum the
+within a segment. Such a stratum is one row of the index table, its postings a compressed
+Arrow record: the documents, the terms in order, and each term's postings in runs of equal
+tf, highest tf first. Inside a stratum the
 impact depends on tf alone, so it is computed once per tf, and the first run of a term gives
 its bound. Every document lies in one stratum, so index rows are searched where they are
 stored: no posting is exchanged.
@@ -33,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.ipc as ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -44,8 +46,7 @@ SEGMENT_CHARS, BLOCK_CHARS = 4_000_000, 1_000_000
 #: Strata whose bounds are held at a time.
 STRATA = 64
 SLOPE = 75
-INDEX = ("segment long, m long, keys array<long>, terms array<binary>, term_runs array<int>, "
-         "run_tf array<int>, run_docs array<int>, docs array<int>")
+INDEX = "segment long, m long, n_docs int, postings binary"
 NULL_KEY = -(1 << 63)  # stands for a null key inside tasks: sorts first
 
 #: Separators (ASCII but letters and digits) to a space, A-Z to a-z, other bytes as they are.
@@ -82,8 +83,15 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([total])], names=["docs", "total"])
 
 
-_SCHEMA = pa.schema([("segment", pa.int64()), ("m", pa.int64()), ("keys", pa.list_(pa.int64())), ("terms", pa.list_(pa.binary())),
-                     *[(n, pa.list_(pa.int32())) for n in ("term_runs", "run_tf", "run_docs", "docs")]])
+_PACK = ipc.IpcWriteOptions(compression="zstd", use_threads=False)
+_FIELDS = ("m", "keys", "terms", "term_runs", "run_tf", "run_docs", "docs")
+
+
+def _stored(record: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with ipc.new_stream(sink, record.schema, options=_PACK) as writer:
+        writer.write_batch(record)
+    return sink.getvalue().to_pybytes()
 
 
 def _heads(*keys: np.ndarray) -> np.ndarray:
@@ -106,7 +114,7 @@ def _segment(number: int, keys: list[int], held: list[np.ndarray], names: list[b
     doc, term, sorted_names = posting // len(names), posting % len(names), sorted(names)
     first = _heads(m)  # first document of each stratum
     stratum = np.searchsorted(first, doc, "right") - 1
-    order = np.lexsort((doc, -tf, term, stratum))
+    order = np.lexsort((-tf, stratum * len(names) + term))  # documents stay in order
     doc, term, tf, stratum = doc[order], term[order], tf[order].astype(np.int32), stratum[order]
     runs, lists = _heads(stratum, term, tf), _heads(stratum, term)
     run_docs = np.diff(np.r_[runs, len(tf)]).astype(np.int32)
@@ -114,12 +122,20 @@ def _segment(number: int, keys: list[int], held: list[np.ndarray], names: list[b
     term_runs = np.diff(np.r_[list_run, len(runs)]).astype(np.int32)
     of = np.arange(len(first) + 1)
     at, run_at, list_at = (np.searchsorted(stratum[x], of) for x in (np.arange(len(doc)), runs, lists))
+    def lists_of(values, ends):
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
     ends = np.r_[first, len(m)]
-    for s in range(len(first)):
-        a, r, t = (slice(x[s], x[s + 1]) for x in (at, run_at, list_at))
-        row = [number, int(m[first[s]]), pa.array(key[ends[s]:ends[s + 1]], mask=key[ends[s]:ends[s + 1]] == NULL_KEY),
-               [sorted_names[i] for i in term[lists[t]].tolist()], term_runs[t], tf[runs[r]], run_docs[r], (doc[a] - first[s]).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _SCHEMA)], schema=_SCHEMA)
+    names = pa.array(sorted_names, pa.binary()).take(pa.array(term[lists]))
+    record = pa.RecordBatch.from_arrays(
+        [pa.array(m[first]), lists_of(pa.array(key, mask=key == NULL_KEY), ends), lists_of(names, list_at), lists_of(term_runs, list_at),
+         lists_of(tf[runs], run_at), lists_of(run_docs, run_at), lists_of((doc - first[stratum]).astype(np.int32), at)],
+        names=list(_FIELDS))
+    for s in range(0, len(first), STRATA):
+        some = range(s, min(s + STRATA, len(first)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(some), number)), pa.array(m[first[some]]), pa.array(np.diff(ends[s:s + len(some) + 1]).astype(np.int32)),
+             pa.array([_stored(record.slice(i, 1)) for i in some], pa.binary())], names=["segment", "m", "n_docs", "postings"])
 
 
 def _build(n_docs: int, n_terms: int, segment_chars: int):
@@ -154,21 +170,27 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", segment_char
     return Index(stored(strata, "strata"), n.d or 0, n.t or 0)
 
 
+def _flat(rows: pa.RecordBatch, name: str) -> tuple[pa.Array, np.ndarray]:
+    """The elements of a list column and where each row's begin."""
+    column = rows.column(name)
+    return column.flatten(), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+
+
+def _numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return _flat(rows, name)[0].to_numpy().astype(np.int64)
+
+
 class _Strata:
     """The postings of the block's terms in some strata."""
 
     def __init__(self, rows: pa.RecordBatch, words: pa.Array):
-        def flat(name):
-            column = rows.column(name)
-            return column.flatten(), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
-
         self.m = rows.column("m").to_numpy()
-        keys, self.doc_at = flat("keys")
+        keys, self.doc_at = _flat(rows, "keys")
         self.keys = keys.fill_null(NULL_KEY).to_numpy()
-        found, at = flat("terms")
+        found, at = _flat(rows, "terms")
         term = pc.index_in(found, value_set=words).fill_null(-1).to_numpy()
         stratum = np.repeat(np.arange(rows.num_rows), np.diff(at))
-        n_runs, tf, n_docs, docs = (flat(n)[0].to_numpy().astype(np.int64) for n in ("term_runs", "run_tf", "run_docs", "docs"))
+        n_runs, tf, n_docs, docs = (_numbers(rows, n) for n in ("term_runs", "run_tf", "run_docs", "docs"))
         run_at = np.r_[0, np.cumsum(n_runs)]
         doc_at = np.r_[0, np.cumsum(n_docs)]
         keep = np.flatnonzero(term >= 0)
@@ -184,19 +206,26 @@ class _Strata:
         return ((1_000_000_000 * tf) // (1000 * tf + 8 * self.m[pairs >> 32]))[of]
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], fields: tuple = _FIELDS) -> Iterator[pa.RecordBatch]:
+    options = ipc.IpcReadOptions(use_threads=False, included_fields=[_FIELDS.index(f) for f in fields])
     for batch in batches:
+        packed = batch.column("postings")
         for at in range(0, batch.num_rows, STRATA):
-            yield batch.slice(at, STRATA)
+            some = [b for i in range(at, min(at + STRATA, batch.num_rows))
+                    for b in ipc.open_stream(packed[i].as_buffer(), options=options)]
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
 
 
 def _counter(block):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = pa.array(block.value[1], pa.binary())
         df = np.zeros(len(words), np.int64)
-        for rows in _batches(batches):
-            s = _Strata(rows, words)
-            np.add.at(df, s.term, s.last - s.first)
+        for rows in _batches(batches, ("terms", "term_runs", "run_docs")):
+            term = pc.index_in(_flat(rows, "terms")[0], value_set=words).fill_null(-1).to_numpy()
+            run_at = np.r_[0, np.cumsum(_numbers(rows, "term_runs"))]
+            doc_at = np.r_[0, np.cumsum(_numbers(rows, "run_docs"))]
+            keep = np.flatnonzero(term >= 0)
+            np.add.at(df, term[keep], doc_at[run_at[keep + 1]] - doc_at[run_at[keep]])
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], names=["term", "df"])
     return count
 
