@@ -12,18 +12,17 @@ in the shared folder:
   in the file's flat id stream (a document may span sequences).
 
 Defined cases: a null text counts as empty and yields just the end id; null keys
-come first; rows that repeat (same key, same text) are all kept; ties of a key are
-ordered by text; columns beyond key and text are ignored; an empty table writes
-no file and returns no row. Memory: a task holds one record batch of sequences
-plus one document's ids.
+come first; rows that repeat (same key, same text) are all kept; rows of equal key
+are next to each other in an order of their own; special strings in a text become their
+ids, as the library does by default; columns beyond key and text are ignored; an empty
+table writes no file and returns no row. Memory: a task holds one record batch of
+sequences, some documents' ids, and a bounded number of remembered words, dropped at its end.
 """
 
 from __future__ import annotations
 
 import os
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +32,25 @@ import pyarrow.ipc as ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from demandflow.llm.alignment import byte_alphabet
+from demandflow.llm.common import release
 from demandflow.session import ship_package
 
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
-#: Pieces remembered per Python worker in each of two generations, and the longest one remembered.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+#: Words that a task remembers, and characters of new words that are encoded together.
+CACHE_WORDS, RUN_CHARS = 300_000, 8_000
+
+
+class _Places(dict):
+    """Places 1, 2, ... of words in the order of first use; ``new`` lists the latest."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self) + 1
+        self.new.append(word)
+        return n
 
 
 class Encoder:
@@ -45,56 +58,81 @@ class Encoder:
 
     Byte-level BPE never merges across the start of a space or line feed that
     follows a visible character, so a text whose white space is single spaces and
-    line feeds is the concatenation of its pieces' ids; pieces repeat, so their ids
-    are remembered (bounded). Any other text is given to the tokenizer whole.
+    line feeds is the concatenation of its words' ids. Each word is encoded once and
+    its ids kept in one array; a text is gathered from that array by index. Texts with
+    other white space or special strings are given to the tokenizer whole.
     """
 
-    def __init__(self, path: str, pieces: bool = True):
+    def __init__(self, path: str, end_id: int | None = None, pieces: bool = True, cache_words: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # special strings in a text are plain text
-        assert sys.byteorder == "little"  # ids are kept as the machine's bytes
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        self.pieces, self.known, self.older = pieces, {}, {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        kind = "H" if self.dtype.itemsize == 2 else "I"
-        return [array(kind, x.ids).tobytes() for x in got]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of ``dtype``."""
-        split: list[list[str] | None] = []
+        special = self.tok.get_added_tokens_decoder().values()
+        self.special = [t.content for t in special]
+        byte = byte_alphabet()
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        self.length = np.array([len(x) if all(c in byte for c in x) else len(x.encode()) for x in names], np.int64)
+        self.pieces, self.end, self.cache_words = pieces, [] if end_id is None else [end_id], cache_words
+        self._clear()
+
+    def _clear(self) -> None:
+        """Word 0 is the end of a document."""
+        self.known = _Places()
+        self.size, self.ids = [np.array([len(self.end)])], [np.array(self.end, self.dtype)]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        runs, run, chars = [], [], 0
+        for w in words:
+            run.append(w if w[:1] == "\n" else " " + w)
+            chars += len(w) + 1
+            if chars >= RUN_CHARS:
+                runs.append(run)
+                run, chars = [], 0
+        runs.append(run)
+        for at in range(0, len(runs), 32):
+            some = runs[at:at + 32]
+            for run, ids in zip(some, self._ids(["".join(r) for r in some])):
+                ids = np.array(ids, np.int64)
+                ends, cut = np.cumsum(self.length[ids]), np.cumsum([len(w.encode()) for w in run])
+                place = np.searchsorted(ends, cut)
+                if len(run) and (place[-1] >= len(ends) or not (ends[place] == cut).all()):
+                    parts = self._ids(run)  # a vocabulary with other joins: word by word
+                    self.size.append(np.array([len(x) for x in parts]))
+                    ids = np.array([i for x in parts for i in x], np.int64)
+                elif len(run):
+                    self.size.append(np.diff(place, prepend=-1))
+                self.ids.append(ids.astype(self.dtype))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts one after the other, each with the end id, and their numbers."""
+        if len(self.known) > self.cache_words:
+            self._clear()
+        places, alone = [], []
         for s in texts:
             flat = s.replace("\n", " ")
-            plain = self.pieces and "  " not in flat and flat.isprintable()
-            split.append(s.replace("\n", " \n").split(" ") if plain else None)
-        if len(self.known) > CACHE_ENTRIES:  # what is used again comes back from the older generation
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = {p for x in split if x for p in x[1:] if p not in known}
-        known.update((p, older[p]) for p in new if p in older)
-        fresh = [p for p in new if p not in older]
-        known.update(zip(fresh, self._ids([p if p[:1] == "\n" else " " + p for p in fresh])))
-        heads = iter(self._ids([x[0] if x else s for x, s in zip(split, texts)]))
-        get = known.__getitem__
-        out = [next(heads) + (b"".join(map(get, x[1:])) if x else b"") for x in split]
-        for p in fresh:
-            if len(p) > CACHE_CHARS:
-                del known[p]
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+            plain = self.pieces and "  " not in flat and flat.isprintable() and not any(x in s for x in self.special)
+            part = s.replace("\n", " \n").split(" ") if plain else [s]
+            alone.append(part[0])
+            places.append(np.fromiter(map(self.known.__getitem__, part[1:]), np.int64, len(part) - 1))
+        self._learn(self.known.new)
+        self.known.new = []
+        size, ids = (np.concatenate(x) for x in (self.size, self.ids))
+        self.size, self.ids = [size], [ids]
+        # heads and whole texts follow the remembered words, for this call only
+        heads = self._ids(alone)
+        size = np.concatenate([size, np.array([len(x) for x in heads], np.int64)])
+        ids = np.concatenate([ids, *[np.array(x, self.dtype) for x in heads]])
+        first = len(self.known) + 1
+        place = np.concatenate([np.zeros(0, np.int64), *[x for k, p in enumerate(places) for x in ([first + k], p, [0])]])
+        count = np.array([len(p) + 2 for p in places], np.int64)
+        n, start = size[place], np.cumsum(size) - size
+        flat = np.repeat(start[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return ids[flat], np.add.reduceat(n, np.cumsum(count) - count) if len(texts) else count
 
 
 class _Packer:
@@ -106,16 +144,16 @@ class _Packer:
         self.schema = pa.schema([("ids", pa.list_(kind, seq_len)),
                                  ("mask", pa.list_(pa.bool_(), seq_len))])
         self.writer = ipc.new_file(sink, self.schema)
-        self.held, self.bytes, self.sequences = [], 0, 0
+        self.held, self.n, self.sequences = [], 0, 0
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
-        self.bytes += len(ids)
-        if self.bytes >= self.len * self.batch * self.dtype.itemsize:
+        self.n += len(ids)
+        if self.n >= self.len * self.batch:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        flat = np.frombuffer(b"".join(self.held), dtype=self.dtype)
+        flat = np.concatenate([np.zeros(0, self.dtype), *self.held])
         step, at = self.len * self.batch, 0
         while len(flat) - at >= step or (last and at < len(flat)):
             part = flat[at:at + step]
@@ -128,8 +166,7 @@ class _Packer:
                 schema=self.schema))
             self.sequences += n
             at += len(part)
-        rest = flat[at:].tobytes()
-        self.held, self.bytes = ([rest] if rest else []), len(rest)
+        self.held, self.n = [flat[at:].copy()], len(flat) - at
 
     def close(self) -> None:
         self._flush(True)
@@ -146,8 +183,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, seq_len: int, batch_seqs:
         fs, base = _place(folder)
         ctx = TaskContext.get()
         part, tag = ctx.partitionId(), f"{ctx.stageId()}-{ctx.taskAttemptId()}"
-        enc = encoder(vocabulary)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
+        enc = Encoder(vocabulary, end_id)
         temp = {k: f"{base}/_tmp-{k}-{part:05d}-{tag}" for k in ("seq", "doc")}
         packer = docs = None
         n_docs = start = 0
@@ -161,11 +197,8 @@ def _writer(folder: str, vocabulary: str, end_id: int, seq_len: int, batch_seqs:
                     sinks = {k: fs.open_output_stream(v) for k, v in temp.items()}
                     packer = _Packer(sinks["seq"], enc.dtype, seq_len, batch_seqs)
                     docs = ipc.new_file(sinks["doc"], doc_schema)
-                sizes = []
-                for ids in enc.encode(some):
-                    packer.add(ids + end)
-                    sizes.append(len(ids) // enc.dtype.itemsize + 1)
-                size = np.array(sizes, dtype=np.int64)
+                ids, size = enc.encode(some)
+                packer.add(ids)
                 ends = start + np.cumsum(size)
                 docs.write_batch(pa.record_batch([keys.slice(at, 256), pa.array(ends - size), pa.array(size)],
                                                  schema=doc_schema))
@@ -179,6 +212,8 @@ def _writer(folder: str, vocabulary: str, end_id: int, seq_len: int, batch_seqs:
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n_docs]), pa.array([start]),
                                    pa.array([packer.sequences])],
                                   names=["part", "n_docs", "n_tokens", "n_sequences"])
+        del enc, packer
+        release()
     return write
 
 
@@ -246,8 +281,10 @@ def _reader(folder: str):
                 for k in range(file.docs.num_record_batches):
                     docs = file.docs.get_batch(k)
                     starts, sizes = docs.column(1).to_numpy(), docs.column(2).to_numpy()
-                    crc = [zlib.crc32(file.ids(int(s), int(n)).astype("<u4").tobytes())
-                           for s, n in zip(starts, sizes)]
+                    first = int(starts[0]) if len(starts) else 0
+                    flat = memoryview(file.ids(first, int(sizes.sum())).astype("<u4")).cast("B")
+                    at = (starts - first) * 4
+                    crc = [zlib.crc32(flat[a:b]) for a, b in zip(at.tolist(), (at + sizes * 4).tolist())]
                     yield pa.record_batch(
                         [docs.column(0), pa.array(starts + base), docs.column(2), pa.array(crc, pa.int64()),
                          pa.array(np.full(len(crc), part, np.int32)), pa.array(starts)],
