@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from demandflow.llm.common import free_name, stored
+from demandflow.llm.common import release, free_name, stored
 from demandflow.llm.components import components
 from demandflow.session import ship_package
 
@@ -75,6 +75,7 @@ def _fingerprints(shingle: int):
                     fps[at + k] = fingerprint(t, shingle)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))],
                                   names=["key", "row_hash", "fp"])
+        release()
     return run
 
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from demandflow.llm.common import stored
+from demandflow.llm.common import release, stored
 from demandflow.session import ship_package
 
 BITS, GRAMS = 17, (3, 4)
@@ -188,10 +188,13 @@ def with_score(docs: DataFrame, labelled: DataFrame, label: str = "quality", key
     numbers, bias = fit([r.text for r in rows], np.array([r.label for r in rows], dtype=np.int64), bits)
     model = docs.sparkSession.sparkContext.broadcast((numbers, bias))  # 2**bits numbers, whatever the data
 
-    @F.pandas_udf("double")
-    def scored(texts):
+    @F.arrow_udf("double")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, b = model.value
-        return texts.map(lambda t: score(t if isinstance(t, str) else "", table, b, bits)).astype("float64")
+        for texts in batches:  # few texts at a time are Python strings
+            yield pa.array([score(t, table, b, bits) for at in range(0, len(texts), 64) for t in texts.slice(at, 64).to_pylist()],
+                           pa.float64())
+        release()
 
     return docs.withColumn(out, scored(F.col(text).cast("string")))
 
