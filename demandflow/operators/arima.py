@@ -6,9 +6,10 @@ Fitting is conditional least squares (e and d before the first row are 0) on
 all train rows of the series, by a grid of (phi, theta) pairs refined around
 the best. No task holds a whole series: inside a chunk of consecutive rows the
 residual is affine in the residual that comes in, e = u + v * e_in, so a chunk
-returns per pair the outgoing u and v and the sums of u*u, u*v and v*v. The
-chunks of a series are then combined in order, which gives exactly the sum of
-squares of one pass over all rows.
+returns per pair the outgoing u and v and the sums of u*u, u*v and v*v. Two
+neighbouring chunks compose to one of the same form, so the chunks of a series are
+combined in a tree, ``FAN`` neighbours at a time, which gives exactly the sum of
+squares of one pass over all rows, whatever the number of chunks.
 
 Forecasting needs only (y_T, d_T, e_T) per series and is plain Spark SQL:
 e_T unrolls to sum_t (-theta)^(T-t) * (d_t - phi * d_{t-1}), a grouped
@@ -18,6 +19,8 @@ aggregate, and the h-step level forecast is
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,6 +33,8 @@ BOUND = 0.99
 STEPS = (0.05, 0.01, 0.002)
 CHUNK_ROWS = 100_000
 TERMS = ["u", "v", "uu", "uv", "vv"]
+#: Neighbouring chunks that one task composes.
+FAN = 64
 
 
 def grid(box: tuple[float, float, float, float], step: float) -> tuple[np.ndarray, np.ndarray]:
@@ -52,13 +57,18 @@ def chunk_terms(d: np.ndarray, prev: np.ndarray, phis: np.ndarray, thetas: np.nd
     return dict(zip(TERMS, (u, v, uu, uv, vv)))
 
 
+def compose(a: dict, b: dict) -> dict:
+    """Two chunks in order as one: what b sees come in is u_a + v_a e."""
+    u, v = a["u"], a["v"]
+    return {"u": b["u"] + b["v"] * u, "v": b["v"] * v,
+            "uu": a["uu"] + b["uu"] + 2 * u * b["uv"] + u * u * b["vv"],
+            "uv": a["uv"] + v * b["uv"] + u * v * b["vv"],
+            "vv": a["vv"] + v * v * b["vv"]}
+
+
 def combine(chunks: list[dict]) -> np.ndarray:
-    """Sum of squares per pair over the chunks of one series, in order."""
-    e = ss = 0.0
-    for c in chunks:
-        ss = ss + c["uu"] + 2 * e * c["uv"] + e * e * c["vv"]
-        e = c["u"] + c["v"] * e
-    return ss
+    """Sum of squares per pair over the chunks of one series, in order (nothing comes in)."""
+    return reduce(compose, chunks)["uu"]
 
 
 def narrowed(phi: float, theta: float, step: float) -> tuple[float, float, float, float]:
@@ -95,6 +105,50 @@ def _with_positions(df, keys, ts, target, train_frac, **layout):
     return out.withColumn("_ntrain", F.floor(F.col(S.N) * F.lit(train_frac)).cast("long"))
 
 
+def composed(chunk: DataFrame, keys: list[str], chunks: int, schema: str) -> DataFrame:
+    """One row per series from at most ``chunks`` rows (keys, _c, _n, ..., terms) of each: ``FAN``
+    neighbours become one row, again and again."""
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_c")
+        one = reduce(compose, ({x: np.asarray(r[x]) for x in TERMS} for _, r in pdf.iterrows()))
+        out = pdf.iloc[[0]].copy()
+        out["_c"], out["_n"] = out["_c"] // FAN, pdf["_n"].sum()
+        for x in TERMS:
+            out[x] = [one[x]]
+        return out[[c for c in pdf.columns if c != "_g"]]
+
+    while chunks > 1:
+        grouped = chunk.withColumn("_g", F.floor(F.col("_c") / FAN)).groupBy(*keys, "_g")
+        chunk = grouped.applyInPandas(some, schema)
+        chunks = -(-chunks // FAN)
+    return chunk
+
+
+def css_grid(df: DataFrame, keys, ts: str, target: str, phis, thetas, train_frac: float = 0.8,
+             chunk_rows: int = CHUNK_ROWS, **layout) -> DataFrame:
+    """(keys, phi, theta, css): the conditional sum of squares of every given pair over the train
+    rows of each series, from chunks composed in a tree."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    ship_package(df.sparkSession)
+    p, t = (x.ravel() for x in np.meshgrid(np.asarray(phis, float), np.asarray(thetas, float), indexing="ij"))
+    pos = _with_positions(df, keys, ts, target, train_frac, **layout)
+    rows = pos.where((F.col(S.ROW) < F.col("_ntrain")) & (F.col(S.ROW) >= 1)).select(
+        *keys, S.ROW, "_d", F.coalesce("_dprev", F.lit(0.0)).alias("_dprev"), F.floor(F.col(S.ROW) / chunk_rows).cast("long").alias("_c"))
+
+    def terms(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(S.ROW)
+        got = chunk_terms(pdf["_d"].to_numpy(float), pdf["_dprev"].to_numpy(float), p, t)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "_c": [pdf["_c"].iloc[0]], "_n": [len(pdf)], **{x: [v] for x, v in got.items()}})
+
+    named = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{named}, _c long, _n long, " + ", ".join(f"{x} array<double>" for x in TERMS)
+    chunks = (rows.agg(F.max("_c")).first()[0] or 0) + 1
+    whole = composed(rows.groupBy(*keys, "_c").applyInPandas(terms, schema), keys, chunks, schema)
+    pairs = F.array(*[F.struct(F.lit(float(a)).alias("phi"), F.lit(float(b)).alias("theta")) for a, b in zip(p, t)])
+    each = whole.select(*keys, F.explode(F.arrays_zip(pairs.alias("pair"), F.col("uu").alias("css"))).alias("r"))
+    return each.select(*keys, "r.pair.phi", "r.pair.theta", "r.css")
+
+
 def fit_arima(df: DataFrame, keys, ts: str, target: str, train_frac: float = 0.8,
               chunk_rows: int = CHUNK_ROWS, **layout) -> DataFrame:
     """One (phi, theta, sigma2, n_train) row per series, fitted on all rows of
@@ -119,10 +173,9 @@ def fit_arima(df: DataFrame, keys, ts: str, target: str, train_frac: float = 0.8
                                  **{f"_b{i}": [box[i]] for i in range(4)}, **{t: [x] for t, x in got.items()}})
 
         def best(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_c")
-            n = int(pdf["_n"].sum())
+            n = int(pdf["_n"].iloc[0])
             p, t = grid(tuple(pdf[f"_b{i}"].iloc[0] for i in range(4)), step)
-            ss = combine([{x: np.asarray(r[x]) for x in TERMS} for _, r in pdf.iterrows()])
+            ss = np.asarray(pdf["uu"].iloc[0])
             i = int(np.argmin(ss))
             fitted = n > 3
             phi, theta = (float(p[i]), float(t[i])) if fitted else (0.0, 0.0)
@@ -131,12 +184,14 @@ def fit_arima(df: DataFrame, keys, ts: str, target: str, train_frac: float = 0.8
                                  "phi": [round(phi, 6)], "theta": [round(theta, 6)],
                                  "sigma2": [float(ss[i] / (n - 1)) if fitted else None], "n_train": [n]})
         boxed = ", ".join(f"_b{i} double" for i in range(4))
-        chunk = rows.join(boxes, keys).groupBy(*keys, "_c").applyInPandas(
-            terms, f"{named}, _c long, _n long, {boxed}, " + ", ".join(f"{t} array<double>" for t in TERMS))
+        schema = f"{named}, _c long, _n long, {boxed}, " + ", ".join(f"{t} array<double>" for t in TERMS)
+        chunk = rows.join(boxes, keys).groupBy(*keys, "_c").applyInPandas(terms, schema)
+        chunk = composed(chunk, keys, chunks, schema)
         return chunk.groupBy(*keys).applyInPandas(
             best, f"{named}, {boxed}, phi double, theta double, sigma2 double, n_train long")
 
     ensure_checkpoint_dir(df.sparkSession)
+    chunks = (rows.agg(F.max("_c")).first()[0] or 0) + 1
     for step in STEPS:                            # one row per series: cut, not nested
         fit = round_(boxes, step).checkpoint(eager=True)
         boxes = fit.select(*keys, *[f"_b{i}" for i in range(4)])

@@ -34,11 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from demandflow.operators import spatial as SP
+from demandflow.operators.cluster import label_silhouettes
 from demandflow.session import ship_package, written
 
 MAX_DIMS = 4
-#: Most boxes of a cell that a task holds, and clusters in one array of the silhouette.
-PARTS, CLUSTERS = 512, 1000
+#: Most boxes of a cell that a task holds.
+PARTS = 512
 
 neighbor_counts = SP.neighbor_counts
 
@@ -228,29 +229,6 @@ def dbscan_summary(labelled: DataFrame, label: str = "label") -> DataFrame:
 
 # --- settings from the data (C14) -------------------------------------------------------
 
-def silhouettes(points: DataFrame, d: int, clusters: int = CLUSTERS) -> DataFrame:
-    """(run, silhouette) for points (run, x, w, label >= 0): mean silhouette with squared
-    Euclidean distance from the sums of each cluster. Clusters are compared with a point in
-    arrays of at most ``clusters``; settings with one cluster have no row."""
-    norm = reduce(add, [F.col("x")[i] * F.col("x")[i] for i in range(d)])
-    pts = points.withColumn("n2", norm)
-    sums = pts.groupBy("run", "label").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("n2")).alias("q"),
-                                           F.array(*[F.sum(F.col("w") * F.col("x")[i]) for i in range(d)]).alias("s"))
-    sums = written(sums, "sums")
-    own = sums.select("run", "label", F.struct("n", "q", "s").alias("own"))
-    packs = sums.groupBy("run", F.floor(F.col("label") / clusters).alias("pack")).agg(
-        F.collect_list(F.struct("label", "n", "q", "s")).alias("cs"))
-
-    def summed(c):                                       # squared distances to all rows of a cluster
-        return c["n"] * F.col("n2") - 2 * reduce(add, [F.col("x")[i] * c["s"][i] for i in range(d)]) + c["q"]
-    others = F.transform(F.filter("cs", lambda c: c["label"] != F.col("label")), lambda c: summed(c) / c["n"])
-    near = pts.join(packs, "run").withColumn("b", F.array_min(others))
-    near = near.groupBy("run", "label", "pid", "w", "n2", "x").agg(F.min("b").alias("b")).join(own, ["run", "label"])
-    a = F.when(F.col("own.n") > 1, summed(F.col("own")) / (F.col("own.n") - 1))
-    s = F.when(F.col("own.n") <= 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - a, F.greatest("b", a)), F.lit(0.0)))
-    return near.where("b IS NOT NULL").groupBy("run").agg((F.sum(s * F.col("w")) / F.sum("w")).alias("silhouette"))
-
-
 class Grid:
     """DBSCAN with eps at ``percents`` of the distance to the min(``k``, n - 1)-th nearest row and
     each ``min_samples``: all settings labelled in one run. ``table`` has a row per setting (eps,
@@ -283,7 +261,8 @@ class Grid:
         count = {r.run: r for r in rows.groupBy("run").agg(
             F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("n"),
             (F.sum(F.when(F.col("label") < 0, F.col("w")).otherwise(0)) / F.sum("w")).alias("noise")).collect()}
-        sil = {r.run: r.silhouette for r in silhouettes(rows.where("label >= 0"), len(self.cols)).collect()}
+        sil = {r.run: r.silhouette for r in label_silhouettes(
+            rows.where("label >= 0"), len(self.cols), weight="w").collect()}                # a row per setting
         out, self.best, top = [], None, -1.0
         for i, (e, m) in enumerate(self.runs):
             ok = count[i].n > 1 and count[i].noise < 0.5

@@ -12,7 +12,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from operator import add
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +56,22 @@ def design(table: DataFrame, features: Sequence[str]) -> DataFrame:
     return assemble(scaled, [f"{f}__z" for f in feats], VEC).drop(*[f"{f}__z" for f in feats])
 
 
+ROWS_PER_PARTITION = 100_000
+
+
+def compact(data: DataFrame) -> DataFrame:
+    """``data`` cached with as many partitions as its counted rows need: tree fits run hundreds
+    of short jobs, which pay for every task. Merging needs no shuffle."""
+    held = data.persist()
+    want = max(1, -(-held.count() // ROWS_PER_PARTITION))
+    if want >= held.rdd.getNumPartitions():
+        return held
+    small = held.coalesce(want).persist()
+    small.count()
+    held.unpersist()
+    return small
+
+
 def make_estimator(name: str, target: str = "demand", n_train: int | None = None,
                    y_std: float | None = None, alpha: float = 1.0, seed: int = 42):
     """Estimator by model name (M8); unknown names raise ``ValueError``."""
@@ -105,46 +124,124 @@ def feature_importance(model, features: Sequence[str]) -> list[tuple[str, float]
     return sorted(zip(features, [float(x) for x in imp]), key=lambda t: (-t[1], t[0]))
 
 
+# --- linear fits from sums (M1, M2, M6) ---------------------------------------------------
+
+class Gram:
+    """Sums of the products of all features and the target, in one number array per group: a
+    least-squares or ridge fit needs nothing else, and sums of groups add and subtract."""
+
+    def __init__(self, n: float, x: np.ndarray, y: float, xx: np.ndarray, xy: np.ndarray):
+        self.n, self.x, self.y, self.xx, self.xy = n, x, y, xx, xy
+
+    def __add__(self, o: "Gram") -> "Gram":
+        return Gram(self.n + o.n, self.x + o.x, self.y + o.y, self.xx + o.xx, self.xy + o.xy)
+
+    def __sub__(self, o: "Gram") -> "Gram":
+        return Gram(self.n - o.n, self.x - o.x, self.y - o.y, self.xx - o.xx, self.xy - o.xy)
+
+    def solve(self, alpha: float = 0.0) -> tuple[np.ndarray, float]:
+        """Coefficients and intercept of |y - Xw - b|^2 + alpha |w|^2 (least norm if singular)."""
+        if self.n < 1:
+            return np.zeros(len(self.x)), 0.0
+        mx, my = self.x / self.n, self.y / self.n
+        a = self.xx - self.n * np.outer(mx, mx) + alpha * np.eye(len(mx))
+        w = np.linalg.lstsq(a, self.xy - self.n * mx * my, rcond=1e-12)[0]
+        return w, float(my - w @ mx)
+
+
+def gram_by(df: DataFrame, features: Sequence, target: str, group: str | None = None) -> dict:
+    """group value -> :class:`Gram` over the columns ``features`` (names or expressions): one
+    aggregate, one row per group. ``group`` must have few values (folds)."""
+    x = [F.col(f) if isinstance(f, str) else f for f in features]
+    d, y = len(x), F.col(target)
+    named = df.select(*([group] if group else []), y.cast("double").alias("_y"), *[c.cast("double").alias(f"_x{i}") for i, c in enumerate(x)])
+    v = [F.col(f"_x{i}") for i in range(d)]
+    sums = [F.count(F.lit(1)), F.sum("_y"), *[F.sum(c) for c in v], *[F.sum(c * F.col("_y")) for c in v],
+            *[F.sum(v[i] * v[j]) for i in range(d) for j in range(i, d)]]
+    out = {}
+    for r in named.groupBy(*([group] if group else [])).agg(*[c.alias(f"s{i}") for i, c in enumerate(sums)]).collect():
+        key, s = (r[0], r[1:]) if group else (None, tuple(r))
+        s = np.array([0.0 if q is None else q for q in s])
+        xx = np.zeros((d, d))
+        xx[np.triu_indices(d)] = s[2 + 2 * d:]
+        out[key] = Gram(s[0], s[2:2 + d], s[1], xx + np.triu(xx, 1).T, s[2 + d:2 + 2 * d])
+    return out
+
+
+def linear_column(features: Sequence, w: np.ndarray, b: float):
+    """The fitted line as an expression."""
+    x = [F.col(f) if isinstance(f, str) else f for f in features]
+    return reduce(add, [c * F.lit(float(q)) for c, q in zip(x, w)], F.lit(float(b)))
+
+
+ALPHAS = {"linear": 0.0, "ridge": 1.0}
+
+
+def out_of_fold(train: DataFrame, features: Sequence, target: str, alpha: float = 0.0, fold: str = "fold",
+                out: str = "predicted") -> DataFrame:
+    """``train`` with the prediction of a linear model fitted on the other folds: the sums of all
+    rows less those of the fold, from one aggregate."""
+    sums = gram_by(train, features, target, fold)
+    if not sums:
+        return train.withColumn(out, F.lit(None).cast("double"))
+    total = reduce(add, sums.values())
+    column = F.lit(None).cast("double")
+    for k, own in sums.items():
+        column = F.when(F.col(fold) == k, linear_column(features, *(total - own).solve(alpha))).otherwise(column)
+    return train.withColumn(out, column)
+
+
 def stacking(data: DataFrame, bases: Sequence[str], keys=("series",), ts: str = "ts",
              target: str = "demand", n_folds: int = 5, alpha: float = 1.0,
-             parallelism: int = 2, **layout) -> DataFrame:
+             parallelism: int = 4, fitted: dict | None = None, **layout) -> DataFrame:
     """Stacked regression (M6): out-of-fold predictions of each base model
     over contiguous folds of the train rows (per series, as an unshuffled
-    K-fold), a ridge model on those, bases refit on all train rows.
+    K-fold), a ridge model on those, bases refit on all train rows (``fitted``
+    models by name are taken as they are). Linear bases and the final model
+    come from sums; tree fits run as concurrent jobs.
     Returns ``data`` with ``predicted``."""
-    keys = list(keys)
+    keys, bases = list(keys), list(bases)
     # the fold is a column of the rows themselves and every base adds a column of
     # predictions: nothing is joined, so rows with tied times stay single
-    train = S.stacking_folds(data.where(F.col("split") == "train"), keys, ts, n_folds, **layout).persist()
+    train = compact(S.stacking_folds(data.where(F.col("split") == "train"), keys, ts, n_folds, **layout))
+    d = train.select(F.size(vector_to_array(VEC)).alias("d")).first()
+    x = [vector_to_array(VEC)[i] for i in range(d.d if d else 0)]
+    linear = [b for b in bases if b in ALPHAS]
+    trees = [b for b in bases if b not in ALPHAS]
+    models = dict(fitted or {})
 
     def fit_one(job):
         # one base model without fold f, or on all train rows (f is None)
         b, f = job
         rows = train if f is None else train.where(F.col("fold") != f)
-        return _sized(b, rows, target, alpha).fit(rows)
-
-    def predict(rows, f):
-        for b in bases:
-            rows = fitted[(b, f)].transform(rows).withColumnRenamed("predicted", b)
-        return rows
-
-    jobs = [(b, f) for f in [*range(n_folds), None] for b in bases]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:   # independent fits, concurrent jobs
-        fitted = dict(zip(jobs, pool.map(fit_one, jobs)))
-    oof = [predict(train.where(F.col("fold") == f), f).select(target, *bases) for f in range(n_folds)]
-    meta_train = reduce(DataFrame.unionByName, oof)
-    preds = predict(data, None)
-    meta_in = assemble(meta_train, list(bases), "_m")
-    st = meta_in.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
-    meta = LinearRegression(featuresCol="_m", labelCol=target, predictionCol="predicted",
-                            solver="normal", regParam=alpha * (st["s"] or 1.0) / max(st["n"], 1),
-                            elasticNetParam=0.0, standardization=False).fit(meta_in)
+        return make_estimator(b, target).fit(rows)
+
+    jobs = [(b, f) for b in trees for f in [*range(n_folds), None] if f is not None or b not in models]
+    if jobs and not train.isEmpty():
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:   # independent fits, concurrent jobs
+            done = dict(zip(jobs, pool.map(fit_one, jobs)))
+    else:
+        done, trees, linear = {}, [], bases if not trees else []
+    oof = train
+    for b in linear:
+        oof = out_of_fold(oof, x, target, ALPHAS[b], out=b)
+    parts = []
+    for f in range(n_folds) if trees else ():
+        rows = oof.where(F.col("fold") == f)
+        for b in trees:
+            rows = done[b, f].transform(rows).withColumnRenamed("predicted", b)
+        parts.append(rows.select(target, *bases))
+    meta_in = reduce(DataFrame.unionByName, parts) if parts else oof.select(target, *(linear or [F.lit(0.0).alias(b) for b in bases]))
+    whole = gram_by(train, x, target).get(None) if linear else None
+    meta = gram_by(meta_in, bases, target).get(None)
+    preds = data
+    for b in bases:
+        if b in ALPHAS:
+            preds = preds.withColumn(b, linear_column(x, *whole.solve(ALPHAS[b])) if whole else F.lit(0.0))
+        elif (b, None) in done or b in models:
+            preds = (done.get((b, None)) or models[b]).transform(preds).withColumnRenamed("predicted", b)
+        else:
+            preds = preds.withColumn(b, F.lit(0.0))
+    out = preds.withColumn("predicted", linear_column(bases, *meta.solve(alpha)))
     train.unpersist()
-    return meta.transform(assemble(preds, list(bases), "_m")).drop("_m")
-
-
-def _sized(name, train, target, alpha):
-    if name == "ridge":
-        st = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(target).alias("s")).first()
-        return make_estimator(name, target, n_train=st["n"], y_std=st["s"], alpha=alpha)
-    return make_estimator(name, target)
+    return out

@@ -169,12 +169,7 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
 
     # --- chunked plan: bucket table -> first row of each bucket -> chunks ----
     by_series = Window.partitionBy(*keys)
-    wb = by_series.orderBy(BUCKET)
-    bt = (counts
-          .withColumn("_start", F.coalesce(
-              F.sum("_cnt").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-          .withColumn(N, F.sum("_cnt").over(by_series))
-          .withColumn("_k", F.floor(F.col("_start") / F.lit(chunk_rows))))
+    bt = bucket_starts(counts, keys).withColumn("_k", F.floor(F.col("_start") / F.lit(chunk_rows)))
     ch = bt.groupBy(*keys, "_k").agg(F.min("_start").alias("_f"))
     wk = by_series.orderBy("_k")
     ch = (ch.withColumn("_k1", F.lead("_k", 1).over(wk)).withColumn("_f1", F.lead("_f", 1).over(wk))
@@ -206,6 +201,31 @@ def index_series(df: DataFrame, keys, order, halo: int = 0,
     return frame, Window.partitionBy(*keys, CHUNK).orderBy(BUCKET, *order_ext)
 
 
+#: Buckets of a series that one task orders.
+BLOCK_BUCKETS = 4096
+
+
+def bucket_starts(counts: DataFrame, keys) -> DataFrame:
+    """The bucket table (keys, bucket, _cnt) with ``_start``, the rows of the series before each
+    bucket, and the series' length. Prefix sums in two levels: totals of blocks of buckets, then
+    inside each block, so no task holds all buckets of a long series. Blocks are ranges of
+    bucket numbers, sized by the longest range that any series covers."""
+    number = F.col(f"{BUCKET}.b") if isinstance(counts.schema[BUCKET].dataType, T.StructType) else F.col(BUCKET)
+    span = counts.groupBy(*keys).agg((F.max(number) - F.min(number) + 1).alias("s"), F.count(F.lit(1)).alias("c")).agg(
+        F.max("s").alias("s"), F.max("c").alias("c")).first()
+    wide = max(1, int(span["s"] or 1) // max(1, -(-int(span["c"] or 1) // BLOCK_BUCKETS)))
+    parts = counts.withColumn("_blk", F.floor(number / F.lit(wide)))
+    by_series = Window.partitionBy(*keys)
+    blocks = parts.groupBy(*keys, "_blk").agg(F.sum("_cnt").alias("_tot"))
+    before = by_series.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*keys, "_blk", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_blk0"),
+                           F.sum("_tot").over(by_series).alias(N))
+    inside = Window.partitionBy(*keys, "_blk").orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    return (parts.withColumn("_in", F.coalesce(F.sum("_cnt").over(inside), F.lit(0)))
+                 .join(blocks, [*keys, "_blk"])
+                 .withColumn("_start", F.col("_blk0") + F.col("_in")).drop("_blk", "_blk0", "_in"))
+
+
 def _single_window(df, keys, order, max_n):
     w = Window.partitionBy(*keys).orderBy(*order, TB)
     frame = (with_tie_break(df).withColumn(ROW, F.row_number().over(w) - 1)

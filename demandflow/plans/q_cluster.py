@@ -182,7 +182,8 @@ def q_cluster_report(spark, sf):
     w = V.weather(spark, sf)
     vec = C.cached_vectors(w, FEATS)
     model = C.kmeans_best(vec, 3)
-    labelled = model.transform(vec)
+    vec.unpersist()
+    labelled = model.transform(C.scaled_vectors(w, FEATS))
     sil = C.silhouette_sq(labelled, "cluster").first()["silhouette"]
     # the projection is one more transform of the labelled rows: nothing is joined on time
     return (C.pca_columns(labelled, FEATS, k=2).withColumn("silhouette", F.lit(sil).cast("double"))
@@ -332,3 +333,24 @@ SELECT id, label FROM lab WHERE run IN (SELECT run FROM win)) USING (id)""", "w"
 def q_dbscan_best(spark, sf):
     """Labels of the best setting of the grid."""
     return DB.Grid(_z(spark, sf), "id", Z3).labelled().select("series", "ts", "label")
+
+
+# --- one K-Means step from given centres (C5) -----------------------------------------
+
+@query("kmeans_step", V.with_views("""SELECT c AS start, count(*) AS n, round(sum(d2), 4) AS cost,
+       round(avg(z0), 5) AS z0, round(avg(z1), 5) AS z1, round(avg(z2), 5) AS z2
+FROM (SELECT id, arg_min(c, (d2, c)) AS c, min(d2) AS d2 FROM (
+        SELECT z.id, cen.c, (z0 - m0) * (z0 - m0) + (z1 - m1) * (z1 - m1) + (z2 - m2) * (z2 - m2) AS d2 FROM z, cen) GROUP BY id)
+JOIN z USING (id) GROUP BY c""", "w", ctes=[Z_CTES[0], (
+    "cen", "SELECT series AS c, avg(z0) AS m0, avg(z1) AS m1, avg(z2) AS m2 FROM z GROUP BY series")]))
+def q_kmeans_step(spark, sf):
+    """Assignment to given centres (the mean of every series) and the centres that follow: the
+    step that all fits repeat."""
+    z = _z(spark, sf).select("series", F.array(*Z3).alias("x"))
+    given = sorted(C.label_centroids(z, "series", "x").collect())                  # a row per series
+    start = C.CentreSet(len(given), 0)
+    start.centres = C.np.array([r.centre for r in given])
+    names = F.array(*[F.lit(r.series) for r in given])
+    step = C.lloyd_sums(z.select("x"), [start])
+    return step.select(names[F.col("centre")].alias("start"), "n", F.round("cost", 4).alias("cost"),
+                       *[F.round(F.col("sums")[i] / F.col("n"), 5).alias(c) for i, c in enumerate(Z3)])
