@@ -38,7 +38,7 @@ from demandflow.session import ship_package
 
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
 #: Words that a task remembers, and characters of new words that are encoded together.
-CACHE_WORDS, RUN_CHARS = 300_000, 8_000
+CACHE_WORDS, RUN_CHARS = 450_000, 8_000
 
 
 class _Places(dict):
