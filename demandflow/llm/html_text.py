@@ -62,21 +62,25 @@ MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner br
                   "signup skip social sponsor sponsored subscribe subscription teaser toolbar widget widgets complementary "
                   "contentinfo search alert modal".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']++|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+# every part is possessive and no name holds "<", so an attempt never looks at a character twice
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/><]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>"
+                    r"|<(/?)([a-zA-Z][^\s/><]*+)([^>]*+)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:$|[\s=])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _MARKS = re.compile(r"[.,;:!?…。，！？、]")
 
 
-def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(tag path, section number, text) of each block that may be content, in page order."""
-    out: list[tuple[str, int, str]] = []
+def blocks(page: str) -> list[tuple[int, int, str]]:
+    """(number of the tag path, section number, text) of each block that may be content, in page order."""
+    out: list[tuple[int, int, str]] = []
+    paths: dict[tuple[int, str], int] = {}  # path around and last step -> path; 0 is the page
+    role = [""]  # per path: "article" or "main" if such an element is on it (or its name begins so)
     inside: list[int] = []  # per block: the innermost suspect around it, or -1
     outer: list[int] = []  # per suspect: the next one around it, or -1
     part: list[float] = []
     holds: list[str] = []
-    stack: list[tuple[str, str, bool, int, int]] = [("", "", False, 0, -1)]  # tag, path, boilerplate, section, suspect
+    stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, -1)]  # tag, path, boilerplate, section, suspect
     held: list[str] = []
     held_at = stack[0]
     sections = 0
@@ -98,16 +102,26 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
                 held_at = next((x for x in reversed(stack) if x[0] not in INLINE))
             held.append(text)
 
+    opened: dict[str, int] = defaultdict(int)  # open elements by name
+
     def close(names: frozenset, stop: frozenset) -> None:
+        if not any(opened[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in names:
+                for x in stack[k:]:
+                    opened[x[0]] -= 1
                 del stack[k:]
                 return
             if stack[k][0] in stop:
                 return
 
     at, n = 0, len(page)
+    last = page.rfind(">")
     while at < n:
+        if at > last:  # no tag ends any more: text up to an open comment
+            add(page[at:].partition("<!--")[0])
+            break
         m = _TOKEN.search(page, at)
         if not m:
             add(page[at:])
@@ -147,7 +161,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         words = set().union(*parts)
         parent = stack[-1]
         whole = any(x and x <= MARKS for x in parts)
-        junk = parent[2] or (name in BOILERPLATE and not (name == "header" and "article" in parent[1])) or (
+        junk = parent[2] or (name in BOILERPLATE and not (name == "header" and role[parent[1]] == "article")) or (
             name in INLINE and whole) or (bool(attributes) and bool(_HIDDEN.search(attributes)))
         suspect = parent[4]
         if name in ("article", "main"):
@@ -156,7 +170,7 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
                 holds[around] = name
                 around = outer[around]
         elif name not in INLINE and name not in ("html", "body") and not junk and (
-                whole or (words & MARKS and "/article" not in parent[1])):
+                whole or (words & MARKS and role[parent[1]] != "article")):
             outer.append(suspect)
             part.append(WHOLE if whole else PART)
             holds.append("")
@@ -165,22 +179,28 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         if name in SECTIONS:
             sections += 1
             section = sections
-        path = parent[1] if name in INLINE else f"{parent[1]}/{name}" + "".join(f".{w}" for w in sorted(words)[:3])
+        path = parent[1]
+        if name not in INLINE:
+            path = paths.setdefault((parent[1], name + "".join(f".{w}" for w in sorted(words)[:3])), len(role))
+            if path == len(role):
+                role.append("article" if name == "article" else role[parent[1]] or ("main" if name == "main" else ""))
         stack.append((name, path, junk, section, suspect))
+        opened[name] += 1
     flush()
     if not outer:
         return out
-    kept = _cleared(out, inside, outer, part, holds)
+    kept = _cleared(out, inside, outer, part, holds, role)
     return [x for x, i in zip(out, inside) if i in kept]
 
 
-def _cleared(found: list[tuple[str, int, str]], inside: list[int], outer: list[int], part: list[float], holds: list[str]) -> set[int]:
+def _cleared(found: list[tuple[int, int, str]], inside: list[int], outer: list[int], part: list[float], holds: list[str],
+             role: list[str]) -> set[int]:
     """The suspects that are content after all, heaviest first, and -1 for none."""
     own = [0.0] * (len(outer) + 1)  # the last place: outside all suspects
     alone = True
     for (path, _, text), i in zip(found, inside):
         own[i] += len(text) * (1 + len(_MARKS.findall(text)))
-        alone = alone and not (i < 0 and ("/article" in path or "/main" in path))
+        alone = alone and not (i < 0 and role[path])
     free, total = own.pop(), own.copy()
     within = defaultdict(list)
     for i in range(len(outer) - 1, -1, -1):
@@ -195,7 +215,8 @@ def _cleared(found: list[tuple[str, int, str]], inside: list[int], outer: list[i
 
     kept, heap = {-1}, [(-weight(i), i) for i in within[-1]]
     heapq.heapify(heap)
-    while heap and -heap[0][0] >= max(free, LEAST):
+    # on a page without other text the heaviest part of a name is content, however short
+    while heap and -heap[0][0] >= (max(free, LEAST) if free or part[heap[0][1]] == WHOLE else 0):
         i = heapq.heappop(heap)[1]
         kept.add(i)
         free += own[i]
