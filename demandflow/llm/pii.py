@@ -5,11 +5,14 @@ them, high-recall generators propose overlapping candidates: anything around an
 a spelled-out one, dotted or colon-separated groups, digit runs with separators. Each
 candidate is described by format features (digits, groups, separators, checksum, range
 of parts) and context features (neighbouring characters, cue words before it). Boosted
-trees learn on a bounded sample which candidates of a kind are personal data as the base
-rules mark it; their output is calibrated on the sample's other documents, and per kind
-the threshold is the least at which the selected candidates are right with the wanted
-precision. A selected candidate that overlaps no base span is added, with the kind's name
-and ``_like``, best first, without overlaps; base spans always stay.
+trees learn on a bounded sample from weak labels: base spans, and candidates that a word of
+their kind announces, are personal data, the others are not, and what overlaps a base span
+without being one is left out. The base rules' own tests (checksum, range of parts, leading
+plus) are no features, so a candidate is judged by its shape and surroundings. The output is
+calibrated on the sample's other documents, and per kind the threshold is the least at which
+the selected candidates are right with the wanted precision. A selected candidate that
+overlaps no base span is added, with the kind's name and ``_like``, best first, without
+overlaps; base spans always stay.
 
 Every rule runs in time linear in the text. Defined cases: null and empty texts have no
 spans; repeated rows are each scanned; without candidates in the sample nothing is added;
@@ -19,6 +22,7 @@ extra columns are passed through; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +36,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Bound of the sample: documents looked at, and candidates kept of them.
 MAX_DOCS, MAX_CANDIDATES = 20_000, 40_000
 #: Share of the selected candidates that must be right on the documents kept for calibration.
-PRECISION = 0.995
+PRECISION = 0.95
 #: Words that announce personal data.
 CUES = ("mail email e-mail contact write", "ip address host server client", "card visa mastercard credit account",
         "phone tel telephone call mobile fax")
@@ -98,14 +102,70 @@ _WIDE = (
 )
 
 
-def candidates(text: str) -> list[tuple[int, int, int]]:
+#: A run of digits with separators, and the groups in it.
+_RUN = re.compile(r"[+(]?[0-9](?:[ ().\-/]{0,3}[0-9])*+")
+_GROUP = re.compile(r"[^ ]+")
+
+
+def _parts(text: str) -> set[tuple[int, int, int]]:
+    """The numbers of runs that hold several, as phones and cards: a run is cut before a plus and
+    around a group of 13 digits or more, or four groups of four."""
+    out = set()
+    for m in _RUN.finditer(text):
+        groups = list(_GROUP.finditer(m.group()))
+        digits = [len(_digits(g.group())) for g in groups]
+        cuts = {0, len(groups)}
+        for i, g in enumerate(groups):
+            if g.group()[:1] == "+":
+                cuts.add(i)
+            if digits[i] >= 13:
+                cuts |= {i, i + 1}
+            elif digits[i:i + 4] == [4] * 4 and all(len(x.group()) == 4 for x in groups[i:i + 4]):
+                cuts |= {i, i + 4}
+        cuts = sorted(cuts)
+        for i, j in zip(cuts, cuts[1:]) if len(cuts) > 2 else ():
+            n, span = sum(digits[i:j]), (m.start() + groups[i].start(), m.start() + groups[j - 1].end())
+            out |= {(kind, *span) for kind, least, most in ((2, 13, 24), (3, 7, 18)) if least <= n <= most}
+    return out
+
+
+class Spans:
+    """Disjoint intervals in order; whether one overlaps them takes a binary search."""
+
+    def __init__(self, spans=()):
+        self.start, self.end = [], []
+        for a, b in sorted(spans):
+            if self.end and a < self.end[-1]:
+                self.end[-1] = max(self.end[-1], b)
+            else:
+                self.start.append(a)
+                self.end.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        i = bisect_left(self.start, b) - 1
+        return i >= 0 and self.end[i] > a
+
+    def add(self, a: int, b: int) -> None:
+        """A further interval that meets none."""
+        i = bisect_left(self.start, a)
+        self.start.insert(i, a)
+        self.end.insert(i, b)
+
+
+def candidates(text: str, base: list | None = None) -> list[tuple[int, int, int]]:
     """Overlapping proposals (kind, start, end), the base spans among them."""
-    out = set(base_spans(text))
+    out = set(base_spans(text) if base is None else base)
     for n, (kind, pattern) in enumerate(_WIDE):
         if n == 0 and "@" not in text or n == 1 and not _SPELLED.search(text):
             continue
         out |= {(kind, m.start(), m.end()) for m in pattern.finditer(text)}
-    return sorted(out)
+    return sorted(out | _parts(text))
+
+
+def announced(text: str, kind: int, start: int) -> bool:
+    """Whether a word of the kind stands shortly before."""
+    lead = text[max(0, start - 40):start].lower()
+    return bool(lead.strip()) and any(re.search(rf"\b{w}\b", lead) for w in CUES[kind].split())
 
 
 def describe(text: str, kind: int, start: int, end: int) -> list[float]:
@@ -119,7 +179,6 @@ def describe(text: str, kind: int, start: int, end: int) -> list[float]:
     return [
         kind, len(s), len(d), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0),
         s.count(" "), s.count("-"), s.count("."), s.count("(") + s.count(")"), s.count("/") + s.count(":"), s.count("@"),
-        s[:1] == "+", luhn(d) if d else -1, all(len(g) < 4 and int(g) <= 255 for g in groups) if groups else -1,
         len(s.partition("@")[0]), tail.isalpha() * len(tail), sum(c.isalpha() for c in s),
         before.isalnum(), before.isspace() or not before, after.isalnum(), after.isspace() or not after, after in tuple(".,;:!?"),
         *(any(re.search(rf"\b{w}\b", lead) for w in c.split()) if lead.strip() else False for c in CUES),
@@ -205,15 +264,17 @@ class Selector:
         """Selected candidates that overlap no base span and no better one."""
         if self.trees is None:
             return []
-        free = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for _, a, b in base)]
+        own = Spans((a, b) for _, a, b in base)
+        free = [c for c in candidates(text, base) if not own.meets(c[1], c[2])]
         if not free:
             return []
         p = self.probability(np.array([describe(text, *c) for c in free], dtype=np.float64))
-        taken: list[tuple[int, int, int]] = []
-        for q, c in sorted(zip(-p, free)):
-            if -q >= self.limits[c[0]] and not any(a < c[2] and c[1] < b for _, a, b in taken):
-                taken.append(c)
-        return sorted(taken)
+        taken, got = Spans(), []
+        for _, _, c in sorted((-q, c[1] - c[2], c) for q, c in zip(p, free) if q >= self.limits[c[0]]):  # best, then longest
+            if not taken.meets(c[1], c[2]):
+                taken.add(c[1], c[2])
+                got.append(c)
+        return sorted(got)
 
 
 def _examples(df: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +292,9 @@ def _examples(df: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarra
             for t, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if t and _ANY.search(t):
                     base = set(base_spans(t))
-                    rows += [([float(v) for v in describe(t, *c)], c in base, held) for c in candidates(t)]
+                    own = Spans((a, b) for _, a, b in base)
+                    rows += [([float(v) for v in describe(t, *c)], c in base or announced(t, c[0], c[1]), held)
+                             for c in candidates(t, base) if c in base or not own.meets(c[1], c[2])]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.list_(pa.float64())), pa.array([r[1] for r in rows], pa.bool_()),
                                    pa.array([r[2] for r in rows], pa.bool_())], names=["x", "y", "held"])
 
