@@ -23,5 +23,5 @@ def query(name: str, sql: str | None = None):
 def load_all() -> dict:
     # importing the modules registers their queries
     from demandflow.plans import (q_forecast, q_profile, q_clean, q_features,  # noqa: F401
-                                  q_cluster, q_models, q_interpret, q_closed)
+                                  q_cluster, q_models, q_interpret, q_closed, q_requests)
     return REGISTRY

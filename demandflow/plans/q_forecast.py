@@ -92,6 +92,7 @@ NORM_SQL = """SELECT *,
    CASE WHEN mape IS NULL THEN 0.5 ELSE 1 - least(1, mape / 100) END AS mape_norm
 FROM mu"""
 
+# Weights of the score, its grades and their limits.
 SCORE_SQL = """SELECT *, mae_norm * 0.3 + rmse_norm * 0.3 + r2_norm * 0.3 + mape_norm * 0.1 AS performance_score
 FROM nm"""
 
