@@ -16,7 +16,8 @@ come first; rows that repeat (same key, same text) are all kept; rows of equal k
 are next to each other in an order of their own; special strings in a text become their
 ids, as the library does by default; columns beyond key and text are ignored; an empty
 table writes no file and returns no row. Memory: a task holds one record batch of
-sequences, some documents' ids, and a bounded number of remembered words, dropped at its end.
+sequences, some documents' ids, and a bounded number of remembered words; few of them stay
+in the worker.
 """
 
 from __future__ import annotations
@@ -37,8 +38,9 @@ from demandflow.llm.common import release
 from demandflow.session import ship_package
 
 MANIFEST = "part int, n_docs long, n_tokens long, n_sequences long"
-#: Words that a task remembers, and characters of new words that are encoded together.
-CACHE_WORDS, RUN_CHARS = 450_000, 8_000
+#: Words that a task remembers, the repeated ones that a worker keeps for its next task (some
+#: 20 MB), and characters of new words that are encoded together.
+CACHE_WORDS, KEPT_WORDS, RUN_CHARS = 450_000, 120_000, 8_000
 
 
 class _Places(dict):
@@ -81,6 +83,21 @@ class Encoder:
         """Word 0 is the end of a document."""
         self.known = _Places()
         self.size, self.ids = [np.array([len(self.end)])], [np.array(self.end, self.dtype)]
+        self.met = np.zeros(1, np.int64)
+
+    def shrink(self, most: int = KEPT_WORDS) -> None:
+        """Forget all words but the most frequent ones met more than once."""
+        size, ids = (np.concatenate(x) for x in (self.size, self.ids))
+        met = self.met[1:]
+        keep = np.flatnonzero(met > 1)
+        if len(keep) > most:
+            keep = np.sort(keep[np.argsort(-met[keep], kind="stable")[:most]])
+        words, known = list(self.known), _Places()
+        known.update((words[i], n) for n, i in enumerate(keep.tolist(), 1))
+        keep = np.r_[0, keep + 1]
+        start, n = (np.cumsum(size) - size)[keep], size[keep]
+        flat = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        self.known, self.size, self.ids, self.met = known, [n], [ids[flat]], np.ones(len(keep), np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -111,7 +128,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after the other, each with the end id, and their numbers."""
         if len(self.known) > self.cache_words:
-            self._clear()
+            self.shrink(min(KEPT_WORDS, self.cache_words // 2))
         places, alone = [], []
         for s in texts:
             flat = s.replace("\n", " ")
@@ -130,11 +147,24 @@ class Encoder:
         first = len(self.known) + 1
         place = np.concatenate([np.zeros(0, np.int64), *[x for k, p in enumerate(places) for x in ([first + k], p, [0])]])
         count = np.array([len(p) + 2 for p in places], np.int64)
+        met = np.bincount(place, minlength=first)[:first]
+        met[:len(self.met)] += self.met
+        self.met = met
         n, start = size[place], np.cumsum(size) - size
         flat = np.repeat(start[place] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         return ids[flat], np.add.reduceat(n, np.cumsum(count) - count) if len(texts) else count
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder(path: str, end_id: int) -> Encoder:
+    """One encoder per Python worker and vocabulary."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
 class _Packer:
     """Streams ids into fixed-length sequences, one record batch at a time."""
 
@@ -183,7 +213,7 @@ def _writer(folder: str, vocabulary: str, end_id: int, seq_len: int, batch_seqs:
         fs, base = _place(folder)
         ctx = TaskContext.get()
         part, tag = ctx.partitionId(), f"{ctx.stageId()}-{ctx.taskAttemptId()}"
-        enc = Encoder(vocabulary, end_id)
+        enc = encoder(vocabulary, end_id)
         temp = {k: f"{base}/_tmp-{k}-{part:05d}-{tag}" for k in ("seq", "doc")}
         packer = docs = None
         n_docs = start = 0
@@ -212,7 +242,8 @@ def _writer(folder: str, vocabulary: str, end_id: int, seq_len: int, batch_seqs:
             yield pa.record_batch([pa.array([part], pa.int32()), pa.array([n_docs]), pa.array([start]),
                                    pa.array([packer.sequences])],
                                   names=["part", "n_docs", "n_tokens", "n_sequences"])
-        del enc, packer
+        enc.shrink()
+        del packer
         release()
     return write
 
