@@ -193,7 +193,7 @@ def out_of_fold(train: DataFrame, features: Sequence, target: str, alpha: float
 
 def stacking(data: DataFrame, bases: Sequence[str], keys=("series",), ts: str = "ts",
              target: str = "demand", n_folds: int = 5, alpha: float = 1.0,
-             parallelism: int = 4, fitted: dict | None = None, **layout) -> DataFrame:
+             parallelism: int = 8, fitted: dict | None = None, **layout) -> DataFrame:
     """Stacked regression (M6): out-of-fold predictions of each base model
     over contiguous folds of the train rows (per series, as an unshuffled
     K-fold), a ridge model on those, bases refit on all train rows (``fitted``

@@ -4,6 +4,7 @@ numpy normal equations and the ARIMA fit with a simulated series."""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -181,11 +182,14 @@ def forecast_report(rows, models=("linear", "random_forest", "xgboost", "arima")
     test = r.data.where(F.col("split") == "test")
     base = M.regression_metrics(test, ["series"], "demand", "demand_lag24")
     frames, fitted = [M.improvement_over_baseline(base.withColumn("model", F.lit("naive")), base, ["series"])], {}
+    named = [m for m in models if m != "arima"]
+    with ThreadPoolExecutor(max_workers=4) as pool:           # independent fits, concurrent jobs
+        done = dict(zip(named, pool.map(lambda m: MO.fit_predict(r.data, m), named)))
     for name in models:
         if name == "arima":
             frames.append(_arima_eval(r.table).drop("phi", "theta", "sigma2", "n_train"))
         else:
-            fitted[name], pred = MO.fit_predict(r.data, name)
+            fitted[name], pred = done[name]
             frames.append(MO.evaluate(pred, name))
     if stack:
         scored = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames[1:])
