@@ -266,8 +266,8 @@ class Grid:
         out, self.best, top = [], None, -1.0
         for i, (e, m) in enumerate(self.runs):
             ok = count[i].n > 1 and count[i].noise < 0.5
-            if ok and sil.get(i, -1.0) > top:
-                self.best, top = i, sil[i]
+            if ok and round(sil.get(i, -1.0), 10) > top:     # equal labellings tie whatever the order of their sums
+                self.best, top = i, round(sil[i], 10)
             out.append([e, m, count[i].n, float(count[i].noise), sil.get(i), ok])
         self.table = spark.createDataFrame([(*r, i == self.best) for i, r in enumerate(out)], fields)
 

@@ -315,7 +315,7 @@ GRID_CTES = Z_CTES + [
     ("cnt", """SELECT run, count(DISTINCT CASE WHEN label >= 0 THEN label END) AS n,
                avg(CASE WHEN label < 0 THEN 1.0 ELSE 0.0 END) AS noise FROM lab GROUP BY run"""),
     ("res", """SELECT run, eps, ms, n, noise, s, n > 1 AND noise < 0.5 AS ok FROM runs JOIN cnt USING (run) LEFT JOIN sil USING (run)"""),
-    ("win", "SELECT run FROM res WHERE ok AND s > -1 ORDER BY s DESC, run LIMIT 1"),
+    ("win", "SELECT run FROM res WHERE ok AND round(s, 10) > -1 ORDER BY round(s, 10) DESC, run LIMIT 1"),
 ]
 GRID_SQL = _recursive(V.with_views("""SELECT round(eps, 6) AS eps, ms AS min_samples, n AS n_clusters, round(noise, 6) AS noise_share,
 round(s, 6) AS silhouette, ok AS admissible, run IN (SELECT run FROM win) AS best FROM res""", "w", ctes=GRID_CTES))
