@@ -60,9 +60,10 @@ def q_forecast_request(spark, sf):
 def q_cluster_request(spark, sf):
     """Centres in original units for the k of the best silhouette, with the scores of that k."""
     out = RQ.Segments(V.weather(spark, sf), k=None, n_init=3)
-    best = out.scores.where("best").select("k", r6("silhouette").alias("silhouette"), r6("inertia").alias("inertia"))
-    return out.centres.withColumn("k", F.lit(out.k)).join(best, "k").select(
-        "k", "cluster", *[r6(c).alias(c) for c in out.features], "silhouette", "inertia")
+    best = out.scores.where("best").first()                      # one row; none for an empty table
+    figures = {"silhouette": best.silhouette if best else None, "inertia": best.inertia if best else None}
+    return out.centres.select(F.lit(out.k).alias("k"), "cluster", *[r6(c).alias(c) for c in out.features],
+                              *[F.round(F.lit(v).cast("double"), 6).alias(c) for c, v in figures.items()])
 
 
 @query("cluster_request_points")
