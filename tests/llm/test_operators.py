@@ -532,6 +532,38 @@ def test_exchanged_numbers_may_collide_and_one_odd_name_does_not_clear_a_diagona
     assert 3 not in found or found[3].n_exchanged == 0
 
 
+def test_one_pass_over_the_documents_whatever_the_lengths_of_the_items(spark, monkeypatch):
+    """Items of 3 to 9 words, word for word and exchanged, from one scan; marks in texts go, letters of two UTF-16 units count."""
+    words = "red blue green black white brown pink gold grey".split()
+    items = [(n, " ".join(words[:n - 2] + ["then", "Tom"])) for n in range(3, 10)] + [(20, "an old little \U0001d400 Tom has z\ue002 Ab 5 km of thin soft rope here")]
+    texts = [(n, "Start of it: " + t + " - end") for n, t in items] + [
+        (100 + n, t.replace("Tom", "Bob")) for n, t in items] + [(300, "an old little \U0001d400 Bob has z Cd seven miles of thin soft rope here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    scans, build = [], decontaminate._words
+    monkeypatch.setattr(decontaminate, "_words", lambda *a: scans.append(a[1]) or build(*a))
+    found = {r.key: r for r in decontaminate.contaminated(df, bench).collect()}
+    assert scans.count("doc_id") == 1
+    assert all(n in found[n]["items"] for n, _ in items)
+    # by its template a window needs five words that are no placeholders
+    assert {n for n in found if 100 <= n < 300 and n - 100 in found[n]["items"] and found[n].n_exchanged} == {106, 107, 108, 109, 120}
+    assert found[300]["items"] == [20] and found[300].n_exchanged > 0
+
+
+def test_windows_hash_alike_only_if_their_words_do(spark):
+    """Joined hashes of overlapping stretches against the words themselves, for every size."""
+    texts = ["a b b b c a b b b", "b b b b b b b b b b", "a b", "a", "", "a b c d e f g h i a b c d e f g h i", "5 km a 7 miles b five m"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    w = {r.key: (r.tok, r.val or r.tok) for r in decontaminate._words(df, "doc_id", "text").collect()}
+    got = decontaminate._windows(decontaminate._words(df, "doc_id", "text"), list(range(1, 10))).collect()
+    of = {(r.key, r.n, r.pos, r.typed): r.hash for r in got}
+    content = {k: (k[1], *w[k[0]][0 if k[3] else 1][k[2]:k[2] + k[1]]) for k in of}
+    assert len(set(content.values())) == len(set(of.values())) == len(set(zip(content.values(), of.values())))
+    want = {(k, n, p, typed) for k, (tok, val) in w.items() for n in range(1, 10) for p in range(len(tok) - n + 1)
+            for typed in (False, True) if not typed or tok[p:p + n] != val[p:p + n]}
+    assert set(of) == want and len(got) == len(want)
+
+
 # --- empty tables -------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", [n for n in queries.REGISTRY])
